@@ -49,9 +49,9 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 sets AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS d FROM s GROUP BY doc_id),
 reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY d) AS rep FROM sets),
 r AS (SELECT s.* FROM s JOIN reps ON s.doc_id = reps.doc_id AND reps.rep = reps.doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (
-  SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 85 * (na.n + nb.n - x)
+  SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 85 * (na.n + nb.n - x)
   UNION SELECT rep, doc_id FROM reps WHERE rep <> doc_id),
 two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT a AS node, a AS root FROM two UNION SELECT two.b, reach.root FROM reach JOIN two ON two.a = reach.node WHERE two.b > reach.root),
