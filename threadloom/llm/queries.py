@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash
+from . import exact_dedup, line_dedup, minhash, pieces, quadratic, quality_rules, substring_dedup, toxicity
 from .core import table
 
 
@@ -18,10 +18,41 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = quadratic.fold(F.col("doc_id"), 4)
+    model = toxicity.train(docs, labels, training=fold != 2)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (F.coalesce(fold, F.lit(-1)) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_terms")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), as_text=True)
+    return out.select("doc_id", "n_tokens", _sha("ids").alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", _sha("text").alias("kept_sha256"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = quadratic.fold(F.col("doc_id"), 3)
+    out = quadratic.classify(docs, labels, training=fold != 1)
+    return out.select("doc_id", (F.coalesce(fold, F.lit(-1)) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
@@ -29,7 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -44,7 +80,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 sets AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS d FROM s GROUP BY doc_id),
 reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY d) AS rep FROM sets),
@@ -73,4 +109,16 @@ y AS (SELECT k.doc_id, l, i, c.m IS NOT NULL AND c.m <> k.doc_id AS gone FROM k
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM y GROUP BY doc_id""",
+    "op8_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') AS g FROM s),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) > 1 AS twice FROM h),
+c AS (
+  SELECT x.doc_id, x.t, x.i, max(CASE WHEN r.twice THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.i = x.i),
+o AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(t, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(o.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
 }
