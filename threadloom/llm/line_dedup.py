@@ -207,6 +207,20 @@ class LineIndex:
         return _plain(docs).join(drops, "doc_id", "left").mapInArrow(_rewrite, "doc_id long, text string, n_lines long, n_dropped long")
 
 
+    def rewrite(self, docs: DataFrame) -> DataFrame:
+        """All columns of docs, each row's text without its dropped lines."""
+        drops = cut(self.drops(docs), "drops").select(F.col("doc_id").alias("id_"), F.col("drop").alias("drop_"))
+        return docs.join(drops, docs["doc_id"] == drops["id_"], "left").mapInArrow(_rewrite_in_place, docs.schema)
+
+
+def _rewrite_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [n for n in batch.schema.names if n not in ("id_", "drop_")]
+        pair = pa.RecordBatch.from_arrays([batch.column("id_"), batch.column("text"), batch.column("drop_")], names=["doc_id", "text", "drop"])
+        texts = next(_rewrite(iter([pair]))).column("text")
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names=names)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Line dedup of one table: all its documents are added to an empty index and filtered by it."""
     index = LineIndex(docs.sparkSession)

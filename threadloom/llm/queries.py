@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, pieces, quadratic, quality_rules, substring_dedup, toxicity
+from . import exact_dedup, line_dedup, minhash, mixing, pieces, quadratic, quality_rules, substring_dedup, token_counts, toxicity
 from .core import table
 
 
@@ -26,6 +26,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(fold, F.lit(-1)) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_terms")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizers = {"words": None, "byte_bpe_50k": (public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"))}
+    rollup = token_counts.TokenRollup(spark, tokenizers)
+    rollup.commit("documents", table(spark, sf_dir, "documents").withColumn("op", F.lit("insert")))
+    return rollup.totals()
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +75,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
