@@ -26,7 +26,7 @@ from .statistics import base_counts
 SAMPLE = 6000
 BITS = 14  # of the word table and of the byte table
 SCALE = 50.0
-MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 50, 50, 0.5
+MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 50, 50, 0.3
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

@@ -308,7 +308,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     pairs = rows.mapInArrow(_tokens, "word string, toxic int, texts long, context long")
     of = lambda y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("texts"))), F.lit(0))
     counts = cut(pairs.groupBy("word").agg(of(0).alias("c0"), of(1).alias("c1"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("contexts")), "words")
-    chance = math.log(max(2, counts.count()))
+    chance = math.log(max(2, counts.count())) + 2
     base = n1 / (n0 + n1)
     q = F.col("c1") / (F.col("c0") + F.col("c1"))
     entropy = F.col("c1") * F.log(q / base) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - q) / max(1 - base, 1e-9))).otherwise(0)
