@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+QUERIES = dict(text_queries.QUERIES)
+ORACLE_SQL = dict(text_queries.ORACLE_SQL)
