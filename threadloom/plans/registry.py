@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import relational_queries, report_queries, text_queries
 
-QUERIES = dict(text_queries.QUERIES)
-ORACLE_SQL = dict(text_queries.ORACLE_SQL)
+QUERIES = {**text_queries.QUERIES, **relational_queries.QUERIES, **report_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL, **report_queries.ORACLE_SQL}
