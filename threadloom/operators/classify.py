@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .retrieval import TfIdf
 
+#: Rows of a training partition: each of many iterations is a job over all partitions.
+PARTITION_ROWS = 5000
+
 
 def train_guard(examples: DataFrame) -> None:
     """Only rows of the dev split may train."""
@@ -44,8 +47,8 @@ class IntentClassifier:
         counts = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
         self.classes = sorted(counts)
         dims = spark.createDataFrame([(k, float(i), n / (len(counts) * counts[k])) for i, k in enumerate(self.classes)], "label string, y double, weight double")
-        rows = cut(self._vectors(examples).join(examples.join(F.broadcast(dims), "label"), "id").select("features", "y", "weight"), "training")
-        model = LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * n), elasticNetParam=0, standardization=False, maxIter=iterations, family="multinomial", tol=1e-8)
+        rows = cut(self._vectors(examples).join(examples.join(F.broadcast(dims), "label"), "id").select("features", "y", "weight").coalesce(max(1, n // PARTITION_ROWS)), "training")
+        model = LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * n), elasticNetParam=0, standardization=False, maxIter=iterations, family="multinomial", tol=1e-6)
         self.model: LogisticRegressionModel = model.fit(rows)
 
     def _vectors(self, docs: DataFrame) -> DataFrame:

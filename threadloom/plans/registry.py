@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from . import relational_queries, report_queries, text_queries
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES = {**text_queries.QUERIES, **relational_queries.QUERIES, **report_queries.QUERIES}
+from . import pipelines, relational_queries, report_queries, text_queries
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.offline_evaluation(spark, sf_dir)
+
+
+def agent_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns through the gated agent with the offline client and an empty cache."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    none = "array<struct<id:string,message:string,reply:string>>"
+    examples = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("message"), F.array().cast("array<string>").alias("context"), F.lit(False).alias("context_flagged"), F.array().cast(none).alias("evidence"))
+    out = pipelines.gated_agent(examples, spark.createDataFrame([], "fingerprint string, parsed string, metadata string"))
+    return out.select("id", "intent", "route", "reason", "draft", "reply_kind", "model", "api_error", "output_check_violations", "style_version")
+
+
+QUERIES = {**text_queries.QUERIES, **relational_queries.QUERIES, **report_queries.QUERIES, "offline_evaluation": flagship, "agent_run": agent_run}
 ORACLE_SQL = {**text_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL, **report_queries.ORACLE_SQL}
