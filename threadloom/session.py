@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +40,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to Python workers, unless they find it by PYTHONPATH or the working folder."""
+    root = Path(__file__).resolve().parents[1]
+    found = {os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    app = spark.sparkContext.applicationId
+    if str(root) in found or app in _SENT:
+        return
+    _SENT.add(app)
+    path = Path(tempfile.mkdtemp(prefix="threadloom-")) / "threadloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "threadloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
