@@ -5,10 +5,12 @@
    collapsed to their smallest doc_id first, so copies make no pairs.
 2. Star round: within a band bucket each member is held against the bucket's smallest id only.
    Pairs whose signatures agree far too little are dropped, the rest are confirmed on full sets.
-3. Rest round: buckets whose members still lie in several components are cut into blocks of
-   ``BLOCK`` members; every pair of blocks is compared on signatures in numpy, and only pairs of
-   different components that may reach the threshold are confirmed. So no bucket has a cap, pairs
-   are never expanded, and no link that a band shows is lost.
+3. Rest round: buckets whose members still lie in several components. Members outside a bucket's
+   largest component are held against all its members, in blocks of ``BLOCK`` by ``BLOCK`` rows: a
+   pair of different components is looked at in the first bucket that it shares, on signatures and
+   then on its full sets in 32 bits, which never understates a pair. Only links leave a block, one
+   fewer than the components that they join at most, and are confirmed once more on 64 bits. So no
+   bucket has a cap, pairs are never expanded, and no link that a band shows is lost.
 
 A pair at the threshold t misses all 32 bands with probability (1 - t**4)**32: 5e-8 at 0.80 and
 6e-11 at 0.85. A signature check drops a pair at the threshold with probability below 1e-6.
@@ -32,7 +34,7 @@ from .core import U64, binary_array, cut, discard, mix, only_ids, slices, words
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
-BLOCK = 512
+BLOCK = 1024
 
 _RNG = np.random.default_rng(5_0_85)
 _A = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=U64) * U64(2) + U64(1)
@@ -41,7 +43,7 @@ _STEP = _RNG.integers(0, 1 << 63, SHINGLE, dtype=U64) * U64(2) + U64(1)
 _ROW = _RNG.integers(0, 1 << 63, ROWS, dtype=U64) * U64(2) + U64(1)
 _BAND = _RNG.integers(0, 1 << 64, BANDS, dtype=U64)
 
-FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
+FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>, keys binary"
 
 
 def shingle_sets(texts) -> Iterator[np.ndarray]:
@@ -91,8 +93,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     *(pa.array(stat[:, k]) for k in range(3)),
                     binary_array(np.concatenate(low), np.full(len(low), len(_A))),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(bands))),
+                    binary_array(np.concatenate(bands).astype(np.uint32), sizes * 4),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+                names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands", "keys"],
             )
 
 
@@ -139,50 +142,93 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _agree(least: int):
-    """Compares the signatures of pairs of one bucket's blocks, sorted by bucket and block pair."""
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(shingle_sets(batch.column("text")))
+        short = [np.unique(x.astype(np.uint32)).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(short, pa.binary())], names=["doc_id", "size", "short"])
+
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple]:
-        a, b = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == a]
-        right = left if a == b else [r for r in rows if r[3] == b]
-        if not left or not right:
+def _links(least: int, percent: int):
+    """Links between components within one block of one bucket; rows come sorted by block."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        _, _, _, asks, ids, comp, out, size, sig, keys, short = (list(x) for x in zip(*rows, strict=True))
+        bucket = rows[0][0] & 0xFFFFFFFF
+        every, queries = [i for i, q in enumerate(asks) if not q], [i for i, q in enumerate(asks) if q]
+        if not every or not queries:
             return
-        sig = np.stack([np.frombuffer(r[6], np.uint8) for r in right])
-        comp = np.array([r[5] for r in right])
-        ids = np.array([r[4] for r in right])
-        for r in left:
-            ok = (comp != r[5]) & ((sig == np.frombuffer(r[6], np.uint8)).sum(axis=1) >= least)
-            if a == b:
-                ok &= ids > r[4]
-            for other in ids[ok].tolist():
-                yield max(other, r[4]), min(other, r[4])
+        sigs = np.stack([np.frombuffer(sig[i], np.uint8) for i in every])
+        bands = np.stack([np.frombuffer(keys[i], np.uint32) for i in every])
+        n, c, d = (np.array([x[i] for i in every]) for x in (size, comp, ids))
+        outside = np.array([out[i] for i in every])
+        sets = [None] * len(every)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        for q in queries:
+            agree = (sigs == np.frombuffer(sig[q], np.uint8)).sum(axis=1)
+            ok = (c != comp[q]) & (agree >= least) & (100 * np.minimum(n, size[q]) >= percent * np.maximum(n, size[q])) & (~outside | (d < ids[q]))
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            same = bands[at] == np.frombuffer(keys[q], np.uint32)
+            first = bands[at, same.argmax(axis=1)]
+            at = at[same.any(axis=1) & (first == bucket)]
+            mine = np.frombuffer(short[q], np.uint32)
+            for i in at[np.argsort(-agree[at], kind="stable")].tolist():
+                a, b = find(comp[q]), find(int(c[i]))
+                if a == b:
+                    continue
+                if sets[i] is None:
+                    sets[i] = np.frombuffer(short[every[i]], np.uint32)
+                both = len(np.intersect1d(mine, sets[i], assume_unique=True)) + size[q] - len(mine)
+                if 100 * both >= percent * (size[q] + int(n[i]) - both):
+                    root[max(a, b)] = min(a, b)
+                    yield max(ids[q], int(d[i])), min(ids[q], int(d[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
-        names = ["bucket", "a", "b", "block", "doc_id", "component", "sig"]
-
-        def flush():
-            done = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
-            out.clear()
-            return done
-
+        names = ["bucket", "block", "chunk", "asks", "doc_id", "component", "outside", "size", "sig", "keys", "short"]
         for batch in batches:
             for r in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if r[:3] != key:
                     if rows:
-                        out.extend(pairs(rows))
+                        out.extend(links(rows))
                     key, rows = r[:3], []
                 rows.append(r)
-                if len(out) > 50_000:
-                    yield flush()
         if rows:
-            out.extend(pairs(rows))
-        yield flush()
+            out.extend(links(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
+def _rest(placed: DataFrame, feats: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links that the star round had not looked for, from placed (bucket, n, doc_id, component)."""
+    sizes = placed.where("n > 2").groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    main = F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("main")
+    open_ = sizes.groupBy("bucket").agg(main, F.sum("m").alias("n"), F.count("*").alias("k")).where("k > 1")
+    open_ = open_.select("bucket", (-F.col("main.c")).alias("main"), F.ceil(F.col("n") / BLOCK).alias("chunks"), F.ceil((F.col("n") - F.col("main.m")) / BLOCK).alias("blocks"))
+    rest = placed.drop("n").join(open_, "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    rest = cut(rest.select("bucket", "doc_id", "component", "outside", "chunks", "blocks"), "rest")
+    ids = cut(rest.select("doc_id").distinct(), "ids")
+    n = ids.count()
+    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, n=n)
+    short = texts.mapInArrow(_short_sets, "doc_id long, size long, short binary").dropDuplicates(["doc_id"])
+    known = cut(only_ids(feats.select("doc_id", "sig", "keys"), ids, n=n).dropDuplicates(["doc_id"]).join(short, "doc_id"), "known")
+    h = F.xxhash64("doc_id")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    every = rest.select("bucket", F.explode(upto("blocks")).alias("block"), F.pmod(h, "chunks").alias("chunk"), F.lit(False).alias("asks"), "doc_id", "component", "outside")
+    asking = rest.where("outside").select("bucket", F.pmod(h, "blocks").alias("block"), F.explode(upto("chunks")).alias("chunk"), F.lit(True).alias("asks"), "doc_id", "component", "outside")
+    rows = every.union(asking).join(known, "doc_id").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
+    return rows.mapInArrow(_links(least, percent), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row for each row of docs.
 
@@ -209,12 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     placed = shared.join(comp.select(F.col("node").alias("u"), "component"), "u", "left").select("bucket", "n", F.col("u").alias("doc_id"), F.coalesce("component", "u").alias("component"))
     placed = cut(placed, "placed")
-    open_ = placed.where("n > 2").groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    rest = placed.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id", "component").join(sigs, "doc_id")
-    rest = rest.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    more = rest.mapInArrow(_agree(least), "u long, v long").distinct().join(links, ["u", "v"], "left_anti")
+    more = _rest(placed, feats, docs, least, percent)
     links = links.union(confirmed(more, docs, percent))
 
     comp = components(links.union(copies))
