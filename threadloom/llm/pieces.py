@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-REMEMBERED, LONG_PART = 120_000, 48
+REMEMBERED, LONG_PART, SHORT_PART = 300_000, 48, 40
 
 
 class MergeVocabulary:
@@ -38,7 +38,7 @@ class MergeVocabulary:
         self.cost = {p: -lib.get_score(i) for p, i in self.id.items()}
         self.byte_id = {int(self.piece[i][3:5], 16): i for i in range(size) if lib.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
-        self.silent = {i for i in range(size) if lib.is_control(i)}
+        self.shown = ["" if lib.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
         self.end = lib.eos_id()
         if len(self.byte_id) != 256:
             raise ValueError("the vocabulary has no byte pieces")
@@ -53,7 +53,27 @@ class MergeVocabulary:
         self.fresh: list[tuple[str, str]] = []
 
     def merge(self, part: str) -> list[int]:
-        """Ids of one part."""
+        """Ids of one part: by a list of costs while it is short, else by a heap. Both take the best, leftmost pair."""
+        return self._ids(self._merge_short(part) if len(part) <= SHORT_PART else self._merge_long(part))
+
+    def _merge_short(self, part: str) -> list[str]:
+        symbols, cost, none = list(part), self.cost.get, float("inf")
+        agenda = [cost(part[i : i + 2], none) for i in range(len(part) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            p = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = p
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + p, none)
+            if i < len(agenda):
+                agenda[i] = cost(p + symbols[i + 1], none)
+        return symbols
+
+    def _merge_long(self, part: str) -> list[str]:
         symbol: list[str | None] = list(part)
         n, cost = len(part), self.cost
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -75,18 +95,22 @@ class MergeVocabulary:
                 q = symbol[h] + p
                 if q in cost:
                     heappush(agenda, (cost[q], h, i, q))
+        return [s for s in symbol if s is not None]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         ids: list[int] = []
-        for s in symbol:
-            if s is not None:
-                i = self.id.get(s)
-                if i is None:
-                    ids.extend(self.byte_id[b] for b in s.encode("utf-8", "replace"))
-                else:
-                    ids.append(i)
+        for s in symbols:
+            i = self.id.get(s)
+            if i is None:
+                ids.extend([self.byte_id[b] for b in s.encode("utf-8", "replace")])
+            else:
+                ids.append(i)
         return ids
 
     def pieces_text(self, ids: list[int]) -> str:
         """The text of ids, with the space that stands in front of each text."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -95,8 +119,7 @@ class MergeVocabulary:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i not in self.silent:
-                out.append(self.piece[i].replace(SPACE, " "))
+            out.append(self.shown[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
