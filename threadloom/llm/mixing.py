@@ -135,9 +135,10 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the plan says; all columns of docs stay."""
-    plan = mix_plan(docs).select(F.col("doc_id").alias("id_"), F.col("source").alias("of"), "size", "copies").groupBy("id_", "of", "size").agg(F.max("copies").alias("copies"))
-    plan = plan.where("copies > 0").withColumnRenamed("size", "size_")
     columns = docs.columns
-    rows = docs.withColumn("words_", n_words("text"))
-    met = rows.join(cut(plan, "copies"), rows["doc_id"].cast("long").eqNullSafe(F.col("id_")) & rows["source"].eqNullSafe(F.col("of")) & (F.col("words_") == F.col("size_")))
-    return met.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    own = [F.col("doc_id").cast("long").alias("mix_id_"), F.col("source").cast("string").alias("mix_source_"), n_words("text").alias("mix_size_")]
+    plan = mix_plan(docs).select(F.col("doc_id").alias("id_"), F.col("source").alias("of_"), F.col("size").alias("size_"), F.col("copies").alias("copies_"))
+    plan = cut(plan.where("copies_ > 0").groupBy("id_", "of_", "size_").agg(F.max("copies_").alias("copies_")), "copies")
+    same = F.col("mix_id_").eqNullSafe(F.col("id_")) & F.col("mix_source_").eqNullSafe(F.col("of_")) & (F.col("mix_size_") == F.col("size_"))
+    met = docs.select("*", *own).join(plan, same)
+    return met.withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*columns)
