@@ -3,7 +3,8 @@
 Training (labelled rows only, a sample of at most about ``SAMPLE`` of them chosen by hash):
 1. Terms: words that toxic texts hold far more often than clean ones and in many different
    neighbourhoods (so that words of one often-copied toxic text are none) become the lexicon, with
-   their log-odds as weights.
+   their log-odds as weights. Beginnings that many such words share become stems, which stand for
+   their words that are too rare to be terms.
 2. Misspellings: all words of training texts within the edit bound of a term are counted by class,
    which tells ordinary words that happen to be near a term from disguised terms.
 3. Evidence of a text (best hit, sum, kinds of terms, quoted share, length) is fitted to the labels.
@@ -33,7 +34,9 @@ from .core import cut, slices, text_at, words
 from .linear import newton_logistic, sigmoid
 
 SAMPLE = 24_000
-MIN_TERM, MIN_FUZZY, REMEMBERED = 3, 5, 400_000
+MIN_TERM, MIN_FUZZY, REMEMBERED = 3, 5, 700_000
+HEADS = (2, 3, 4, 5, 6)
+STEM_WORDS = 4  # different words that a stem must have; texts that let a word of a stem speak for itself
 THRESHOLD = 0.3
 WINDOW = 8
 #: Signs that stand in for letters, marks of quotation, verbs of reporting, words of address.
@@ -49,8 +52,11 @@ def plain(word: str) -> str:
     return word.lower().strip(_EDGE)
 
 
+_FOLD = str.maketrans(STAND_INS)
+
+
 def folded(word: str) -> str:
-    return "".join(STAND_INS.get(c, c) for c in word)
+    return word.translate(_FOLD)
 
 
 class Trie:
@@ -101,12 +107,18 @@ class Trie:
                     stack.append((child, after))
         return best
 
-    def survives(self, head: str, edits: int = 1) -> bool:
-        """Whether some term can still be reached after the word's first letters; remembered by these letters."""
-        found = self.alive.get(head)
-        if found is None:
-            found = self.alive[head] = self._survives(head, edits)
-        return found
+    def survives(self, word: str, edits: int = 1) -> bool:
+        """Whether some term can still be reached after the word's first two, three, ... letters; remembered by these."""
+        for n in HEADS:
+            head = word[:n]
+            found = self.alive.get(head)
+            if found is None:
+                if len(self.alive) > REMEMBERED:
+                    self.alive.clear()
+                found = self.alive[head] = self._survives(head, edits)
+            if not found:
+                return False
+        return True
 
     def _survives(self, head: str, edits: int) -> bool:
         n = len(head)
@@ -132,9 +144,12 @@ class Lexicon:
     weights: list[float] = field(default_factory=list)
     near: dict[str, float] = field(default_factory=dict)  # words of the training texts that are near a term
     unseen: list[float] = field(default_factory=list)  # by term: weight of a near word that no training text holds
+    stems: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.index = {t: i for i, t in enumerate(self.terms)}
+        self.lengths = sorted({len(x) for x in self.stems}, reverse=True)
+        self.stem_number = {x: len(self.terms) + i for i, x in enumerate(self.stems)}
         self.trie = Trie(self.terms)
 
     def match(self, raw: str) -> tuple[int, int, str] | None:
@@ -143,12 +158,15 @@ class Lexicon:
         i = self.index.get(word)
         if i is not None:
             return i, 0, word
+        for n in self.lengths:
+            if word[:n] in self.stems:
+                return self.stem_number[word[:n]], 1, word
         if len(word) < MIN_FUZZY - 1 or not self.terms:
             return None
-        spelt = folded(word)
+        spelt = word if word.isalpha() else folded(word)
         if spelt != word and (i := self.index.get(spelt)) is not None:
             return i, 1, word
-        if not self.trie.survives(spelt[:4]):
+        if not self.trie.survives(spelt):
             return None
         found = self.trie.within(spelt)
         if found and len(self.terms[found[0]]) >= MIN_FUZZY:
@@ -160,7 +178,12 @@ class Lexicon:
         if not found:
             return None
         term, distance, word = found
-        w = self.weights[term] if not distance else self.near.get(word, self.unseen[term])
+        if not distance:
+            w = self.weights[term]
+        elif term >= len(self.terms):
+            w = self.near.get(word, self.stems[word[: next(n for n in self.lengths if word[:n] in self.stems)]])
+        else:
+            w = self.near.get(word, self.unseen[term])
         return (term, w) if w > 0 else None
 
 
@@ -294,6 +317,27 @@ def _near(lexicon: Lexicon):
     return run
 
 
+def _learn_stems(counts: DataFrame) -> dict[str, float]:
+    """Beginnings of four to ten letters whose words, taken together, speak for toxic texts. None begins another."""
+    all1, all0 = (x or 0 for x in counts.agg(F.sum("c1"), F.sum("c0")).first())
+    if not all1:
+        return {}
+    heads = counts.where(F.length("word") > 4).withColumn("n", F.explode(F.sequence(F.lit(4), F.least(F.lit(10), F.length("word") - 1))))
+    heads = heads.groupBy(F.col("word").substr(F.lit(1), F.col("n")).alias("head")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count_if(F.col("c1") > 0).alias("kinds"))
+    heads = cut(heads.where((F.col("kinds") >= STEM_WORDS) & (F.col("c1") >= 2 * STEM_WORDS)), "heads")
+    base = all1 / (all0 + all1)
+    q = F.col("c1") / (F.col("c0") + F.col("c1"))
+    entropy = F.col("c1") * F.log(q / base) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - q) / max(1 - base, 1e-9))).otherwise(0)
+    # A text holds several words of a stem, so texts are fewer than counts: the bound is thrice that of terms.
+    good = heads.withColumn("e", entropy).where((q > base) & (F.col("e") > 3 * (math.log(max(2, heads.count())) + 2)))
+    w = F.log((F.col("c1") + 0.5) / (all1 + 1)) - F.log((F.col("c0") + 0.5) / (all0 + 1))
+    stems: dict[str, float] = {}
+    for r in good.withColumn("w", w).where("w > 2.5").orderBy(F.desc("e"), F.desc(F.length("head")), "head").collect():
+        if not any(r["head"].startswith(x) or x.startswith(r["head"]) for x in stems):
+            stems[r["head"]] = r["w"]
+    return stems
+
+
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """rows (doc_id, text, toxic) -> terms and weights. The sample bounds both, and what is collected.
 
@@ -314,16 +358,17 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     entropy = F.col("c1") * F.log(q / base) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - q) / max(1 - base, 1e-9))).otherwise(0)
     terms = counts.where((F.col("c1") > 1) & (q > base) & (entropy > chance) & (F.col("contexts") >= 2) & (F.col("contexts") >= 0.3 * F.col("c1")))
     terms = terms.withColumn("w", F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))).where("w > 2").orderBy(F.desc("w"), "word").collect()
-    lexicon = Lexicon([r.word for r in terms], [r.w for r in terms], {}, [0.0] * len(terms))
+    lexicon = Lexicon([r.word for r in terms], [r.w for r in terms], {}, [0.0] * len(terms), _learn_stems(counts))
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
     near, rare = {}, [[0, 0] for _ in terms]
     for r in counts.select("word", "c0", "c1").mapInArrow(_near(lexicon), "word string, c0 long, c1 long, term int").collect():
-        near[r.word] = odds(r.c1, r.c0)
-        if r.c0 + r.c1 <= 2:
+        if r.term < len(terms) or r.c0 + r.c1 >= STEM_WORDS:
+            near[r.word] = odds(r.c1, r.c0)
+        if r.term < len(terms) and r.c0 + r.c1 <= 2:
             rare[r.term][0] += r.c0
             rare[r.term][1] += r.c1
     unseen = [min(w, odds(c1, c0)) for w, (c0, c1) in zip(lexicon.weights, rare, strict=True)]
-    return Lexicon(lexicon.terms, lexicon.weights, near, unseen)
+    return Lexicon(lexicon.terms, lexicon.weights, near, unseen, lexicon.stems)
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, sample: int = SAMPLE) -> ToxicityModel:
