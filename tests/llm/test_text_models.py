@@ -90,6 +90,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert out.count() == docs.count()
 
 
+def test_copies_of_a_toxic_text_drop_no_term(spark):
+    r = random.Random(8)
+    plain, terms = [f"word{i}" for i in range(200)], [f"slur{c}{c}" for c in "abcdefghij"]
+    texts = [(" ".join(r.choices(plain, k=30)), 0) for _ in range(900)]
+    for i in range(300):
+        own = r.choices(plain, k=30)
+        own[i % 30] = terms[i % 10]
+        texts.append((" ".join(own), 1))
+    learn = lambda rows: toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    alone = set(learn(texts).terms)
+    assert alone >= set(terms)
+    hot = " ".join(f"{t} filler{i}" for i, t in enumerate(terms))
+    copied = set(learn(texts + [(hot, 1)] * 400).terms)
+    near = set(learn(texts + [(f"{hot} copy {i}", 1) for i in range(400)]).terms)
+    for found in (copied, near):
+        assert found >= set(terms) and not any(x.startswith("filler") for x in found)
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = spark.createDataFrame([*enumerate(ODD), (None, "some text")], DOCS).selectExpr("*", "'z' as toxic", "1.0D as score")
     none = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int"))

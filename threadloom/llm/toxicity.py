@@ -3,7 +3,8 @@
 Training (labelled rows only, a sample of at most about ``SAMPLE`` of them chosen by hash):
 1. Terms: words that toxic texts hold far more often than clean ones and in many different
    neighbourhoods (so that words of one often-copied toxic text are none) become the lexicon, with
-   their log-odds as weights. Beginnings that many such words share become stems, which stand for
+   their log-odds as weights. Equal texts of a label count once; of near copies, neighbourhoods that
+   suffice by themselves make a term, however many copies hold it beside them. Beginnings that many such words share become stems, which stand for
    their words that are too rare to be terms.
 2. Misspellings: all words of training texts within the edit bound of a term are counted by class,
    which tells ordinary words that happen to be near a term from disguised terms.
@@ -339,12 +340,14 @@ def _learn_stems(counts: DataFrame) -> dict[str, float]:
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """rows (doc_id, text, toxic) -> terms and weights. The sample bounds both, and what is collected.
+    """rows (text, toxic) -> terms and weights. The sample bounds both, and what is collected.
 
     A term's share of toxic texts must exceed the base rate by more than the number of distinct words
     lets chance do (relative entropy times texts), and its neighbourhoods must be as varied as a
-    word's that many texts use by themselves.
+    word's that many texts use by themselves, or exceed chance when they are counted instead of texts.
+    Equal texts of a label are one text here.
     """
+    rows = cut(rows.select("text", "toxic").distinct(), "distinct")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n1:
@@ -354,9 +357,14 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = cut(pairs.groupBy("word").agg(of(0).alias("c0"), of(1).alias("c1"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("contexts")), "words")
     chance = math.log(max(2, counts.count())) + 2
     base = n1 / (n0 + n1)
-    q = F.col("c1") / (F.col("c0") + F.col("c1"))
-    entropy = F.col("c1") * F.log(q / base) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - q) / max(1 - base, 1e-9))).otherwise(0)
-    terms = counts.where((F.col("c1") > 1) & (q > base) & (entropy > chance) & (F.col("contexts") >= 2) & (F.col("contexts") >= 0.3 * F.col("c1")))
+
+    def speaks(c1: Column) -> Column:
+        q = c1 / (F.col("c0") + c1)
+        entropy = c1 * F.log(q / base) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - q) / max(1 - base, 1e-9))).otherwise(0)
+        return (c1 > 1) & (q > base) & (entropy > chance)
+
+    varied = (F.col("contexts") >= 0.3 * F.col("c1")) | speaks(F.col("contexts"))
+    terms = counts.where(speaks(F.col("c1")) & (F.col("contexts") >= 2) & varied)
     terms = terms.withColumn("w", F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))).where("w > 2").orderBy(F.desc("w"), "word").collect()
     lexicon = Lexicon([r.word for r in terms], [r.w for r in terms], {}, [0.0] * len(terms), _learn_stems(counts))
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
