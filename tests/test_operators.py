@@ -1,5 +1,6 @@
 """Operators against brute force and pinned small cases."""
 
+import hashlib
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.rates import wilson
 from threadloom.operators import classify, graph, metrics, modelcall, retrieval, sampling, similarity, stores, threads
 from threadloom.plans import fixtures as X
+from threadloom.plans import relational_queries as Q
 
 
 def test_components_join_through_absent_ids(spark):
@@ -30,6 +32,45 @@ def test_chains(spark):
     assert len(got) == len(X.CHAINS)
 
 
+def _walk(links, start):
+    path, seen, at = [], {start}, start
+    while (up := links[at][0]) is not None:
+        flags = (up not in seen and up not in links, up in seen, up not in seen and up in links and links[up][1] > links[at][1])
+        if any(flags):
+            return (path, *flags)
+        path, at = [up, *path], up
+        seen.add(up)
+    return path, False, False, False
+
+
+def test_chains_match_a_walk(spark):
+    r = random.Random(5)
+    links = {i: (r.choice([None, *range(40), 999]), r.choice([1, 1, 1, 1, 2])) for i in range(30)} | {100 + i: (100 + (i + 1) % 7, 1) for i in range(7)}
+    links |= {200: (201, 2), 201: (202, 3), 202: (200, 1), 300: (300, 1), 301: (300, 1)}
+    rows = spark.createDataFrame([(i, *x) for i, x in links.items()], "id long, parent long, ts long")
+    got = {x.id: tuple(x)[1:] for x in graph.ancestor_chains(rows, rows.select("id")).collect()}
+    assert got == {i: _walk(links, i) for i in links}
+
+
+def test_chains_of_over_1000_ancestors(spark):
+    rows = spark.range(1500).selectExpr("id", "nullif(id, 0) - 1 as parent", "id as ts")
+    got = {x.id: tuple(x)[1:] for x in graph.ancestor_chains(rows, rows.where("id in (0, 999, 1001, 1499)").select("id")).collect()}
+    assert got == {i: (list(range(i)), False, False, False) for i in (0, 999, 1001, 1499)}
+
+
+def test_turns_of_a_long_conversation_meet_no_other(spark, tmp_path):
+    turns = [(1, t) for t in range(1203)] + [(2, t) for t in range(3)]
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c}-{t}") for c, t in turns]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    depths = sorted(tuple(x) for x in Q.thread_depth(spark, str(tmp_path)).collect())
+    assert depths == sorted((c * 1000 + t, t) for c, t in turns)
+    pairs = sorted((x.customer_text, x.support_text) for x in Q.reply_pairs(spark, str(tmp_path)).collect())
+    assert pairs == sorted((f"{c}-{t - 1}", f"{c}-{t}") for c, t in turns if t % 2)
+    cited = sorted(tuple(x) for x in Q.evidence_resolve(spark, str(tmp_path)).collect())
+    shown = lambda c, t: f"{c * 1000 + t}:{hashlib.md5(f'{c}-{t}'.encode()).hexdigest()}"
+    assert cited == sorted((c * 1000 + t, ",".join(shown(c, t + k) for k in (-1, 1, 7) if (c, t + k) in set(turns))) for c, t in turns if t % 2 == 0)
+
+
 def _texts(n, seed=3):
     r = random.Random(seed)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,10 +26,15 @@ def query(sql: str | None = None):
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as messages: user is inbound, the parent is the turn before."""
+    """Turns as messages: user is inbound, the parent is the turn before. Ids are structs, as numbers of long conversations meet."""
     rows = table(spark, d, "conversations").where("role in ('user', 'assistant')")
-    key = F.col("conv_id") * 1000 + F.col("turn")
-    return rows.select(key.alias("id"), (key - 1).alias("parent_id"), (F.col("role") == "user").alias("inbound"), "text", F.col("turn").alias("ts"), "conv_id", "role")
+    key = lambda turn: F.struct("conv_id", turn.cast("long").alias("turn"))
+    return rows.select(key(F.col("turn")).alias("id"), key(F.col("turn") - 1).alias("parent_id"), (F.col("role") == "user").alias("inbound"), "text", F.col("turn").alias("ts"), "conv_id", "role")
+
+
+def _number(key: Column) -> Column:
+    """The number that the SQL shows for a turn; for output only, never to join by."""
+    return key["conv_id"] * 1000 + key["turn"]
 
 
 _TURNS = "(SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS parent_id, role = 'user' AS inbound, text, turn AS ts, conv_id, role FROM conversations WHERE role IN ('user', 'assistant'))"
@@ -38,7 +43,8 @@ _TURNS = "(SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS pare
 @query(f"""SELECT c.id AS customer_id, s.id AS support_id, c.text AS customer_text, s.text AS support_text FROM {_TURNS} s JOIN {_TURNS} c ON s.parent_id = c.id
   WHERE NOT s.inbound AND c.inbound AND s.ts >= c.ts""")
 def reply_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return threads.reply_pairs(_turns(spark, d))
+    pairs = threads.reply_pairs(_turns(spark, d))
+    return pairs.withColumns({c: _number(F.col(c)) for c in ("customer_id", "support_id")})
 
 
 @query("""
@@ -78,7 +84,7 @@ w AS (SELECT id, parent_id AS nxt, 0::BIGINT AS depth FROM t UNION ALL SELECT w.
 SELECT id, max(depth) AS depth FROM w GROUP BY id""")
 def thread_depth(spark: SparkSession, d: str) -> DataFrame:
     rows = _turns(spark, d).select("id", F.col("parent_id").alias("parent"), "ts")
-    return graph.ancestor_chains(rows, rows.select("id")).select("id", F.size("path").cast("long").alias("depth"))
+    return graph.ancestor_depths(rows).select(_number(F.col("id")).alias("id"), "depth")
 
 
 @query("""SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant') AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""")
@@ -209,9 +215,11 @@ c AS (SELECT id, unnest(cited) AS e, unnest([1, 2, 3]) AS pos FROM u)
 SELECT u.id, coalesce(string_agg(h.id::VARCHAR || ':' || md5(h.text), ',' ORDER BY c.pos), '') AS evidence FROM u JOIN c ON c.id = u.id LEFT JOIN {_TURNS} h ON h.id::VARCHAR = c.e GROUP BY u.id""")
 def evidence_resolve(spark: SparkSession, d: str) -> DataFrame:
     turns = _turns(spark, d)
-    cited = turns.where("inbound").select("id", F.array(*(((F.col("conv_id") * 1000 + F.col("ts") + k).cast("string")) for k in (-1, 1, 7))).alias("evidence_ids"))
-    out = threads.resolve_evidence(cited, turns.select(F.col("id").cast("string").alias("evidence_id"), "text"))
-    return out.select("id", F.array_join(F.transform("evidence", lambda e: F.concat(e["evidence_id"], F.lit(":"), F.md5(e["text"]))), ",").alias("evidence"))
+    key = lambda k: F.concat_ws("/", "conv_id", F.col("ts") + k)
+    cited = turns.where("inbound").select("id", F.array(*(key(k) for k in (-1, 1, 7))).alias("evidence_ids"))
+    out = threads.resolve_evidence(cited, turns.select(key(0).alias("evidence_id"), "text"))
+    number = lambda x: F.split_part(x, F.lit("/"), F.lit(1)).cast("long") * 1000 + F.split_part(x, F.lit("/"), F.lit(2)).cast("long")
+    return out.select(_number(F.col("id")).alias("id"), F.array_join(F.transform("evidence", lambda e: F.concat(number(e["evidence_id"]).cast("string"), F.lit(":"), F.md5(e["text"]))), ",").alias("evidence"))
 
 
 @query("""SELECT substr(sha256(s.system || ':' || conv_id::VARCHAR || 'salt'), 1, 12) AS rating_id, s.system, conv_id AS id FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES ('trivial'), ('simple'), ('guarded')) AS s(system)""")
@@ -252,7 +260,7 @@ def model_call_stub(spark: SparkSession, d: str) -> DataFrame:
     """User turns through payload, fingerprint, stub client and output contract; failed rows fall back to a hand-off."""
     turns = _turns(spark, d).where("inbound")
     body = F.to_json(F.struct(T.privacy_redact(F.col("text")).alias("message")))
-    requests = modelcall.with_fingerprint(turns.select(F.col("id").cast("string").alias("id"), body.alias("body")), "stub")
+    requests = modelcall.with_fingerprint(turns.select(_number(F.col("id")).cast("string").alias("id"), body.alias("body")), "stub")
     answers = cut(modelcall.call_misses(requests, modelcall.offline_stub, ["stub"]), "answers")
     out = requests.select("id", "fingerprint").join(answers.drop("id"), "fingerprint", "left").withColumn("p", modelcall.parsed_output("parsed"))
     return out.select("id", "fingerprint", F.coalesce("p.intent", F.lit("other_unclear")).alias("intent"), F.coalesce("p.route", F.lit("escalate")).alias("route"), F.coalesce("p.reason", F.lit("generation unavailable")).alias("reason"), "model", "api_error")
