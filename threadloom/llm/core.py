@@ -1,7 +1,8 @@
 """Shared parts of the corpus operators: durable tables, and vectorised words of whole texts.
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``. All work is done on slices of
-bounded size (``SLICE_BYTES``), so memory in a Python worker does not follow the batch.
+bounded size (``SLICE_BYTES``), so memory in a Python worker does not follow the batch; a text
+longer than a slice is one by itself, so memory follows the longest text (some tens of bytes a byte).
 """
 
 from __future__ import annotations
@@ -26,22 +27,38 @@ BROADCAST_IDS = 2_000_000
 U64 = np.uint64
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is configured."""
+    """The folder that all executors share. Where none is configured a local session gets one of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="threadloom-"))
     return found.rstrip("/")
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to BATCH_BYTES, unless they are held to less already."""
+    """Holds Arrow batches to BATCH_BYTES, unless they are held to less already; called where a job of ours begins."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def clear_of(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores until no column is called so, whatever the case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
 
@@ -63,6 +80,11 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -118,6 +140,13 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of a linear form of the bytes, and what a difference of two is multiplied by to hang on content alone."""
+        up, down = _powers(len(self.data) + 1)
+        out = np.zeros(len(self.data) + 1, U64)
+        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=out[1:])
+        return out, down
+
 
 @dataclass
 class Words:

@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, then hashed n-gram logistic regression against a fixed threshold.
 
-The model sees shares of hashed words, word pairs and byte four-grams of the whole text; lang,
-source and ids are no inputs. It is trained on labelled rows, on a sample of at most about
+The model sees shares of hashed words, word pairs and grams of four code points of the whole text,
+none of which reaches into another text; lang, source and ids are no inputs. It is trained on labelled rows, on a sample of at most about
 ``SAMPLE`` of them chosen by hash (in one task; the bound is what allows that), with a fifth of them
 held back to calibrate its probabilities (Platt). Scoring runs over all texts in Arrow batches.
 
@@ -26,12 +26,17 @@ from .statistics import base_counts
 SAMPLE = 6000
 BITS = 14  # of the word table and of the byte table
 SCALE = 50.0
+GRAM = 4  # code points
+FIXED = 1 << 36  # weights are summed as whole numbers, so that sums do not hang on neighbours
 MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 50, 50, 0.3
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def hashed(t: Texts, w: Words) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """Buckets and bounds by text: of words and pairs, then of byte four-grams, in tables side by side."""
+    """Buckets and bounds by text: of words and pairs, then of four code points in a row, in tables side by side.
+
+    Each pair and each gram lies within one text, so a text has the same buckets in any slice.
+    """
     h = w.hashes(lower=True)
     shift = U64(64 - BITS)
     pair = h.copy()
@@ -40,11 +45,17 @@ def hashed(t: Texts, w: Words) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
         last = w.doc_first[1:][np.diff(w.doc_first) > 0] - 1
         pair[last] = h[last]
     both = np.stack([h >> shift, pair >> shift], axis=1).reshape(-1).astype(np.int32)
-    grams = np.zeros(len(t.data), np.uint32)
-    for k in range(4):
-        grams[: len(grams) - k] += t.data[k:].astype(np.uint32) << np.uint32(8 * k)
-    grams *= np.uint32(2654435761)
-    return (both, w.doc_first * 2), ((grams >> np.uint32(32 - BITS)).astype(np.int32) + (1 << BITS), t.offsets)
+    begin = np.append(np.flatnonzero((t.data & 0xC0) != 0x80), len(t.data))
+    points = np.searchsorted(begin, t.offsets)  # code points points[i]:points[i+1] belong to text i
+    n = np.maximum(np.diff(points) - GRAM + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(bounds[-1]) + np.repeat(points[:-1] - bounds[:-1], n)
+    sums, down = t.sums()
+    a, b = begin[at], begin[at + GRAM]
+    grams = (sums[b] - sums[a]) * down[a] * U64(0x9E3779B97F4A7C15)
+    grams ^= grams >> U64(29)
+    grams *= U64(0xBF58476D1CE4E5B9)
+    return (both, w.doc_first * 2), ((grams >> shift).astype(np.int32) + (1 << BITS), bounds)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +110,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def scores(t: Texts, w: Words, weights: np.ndarray, platt: np.ndarray) -> np.ndarray:
+    whole = np.rint(weights.astype(np.float64) * FIXED).astype(np.int64)
     logit = np.full(len(t), float(weights[-1]))
     for bucket, bounds in hashed(t, w):
-        sums = np.concatenate([[0.0], np.cumsum(weights[bucket], dtype=np.float64)])
+        sums = np.zeros(len(bucket) + 1, np.int64)
+        np.cumsum(whole[bucket], out=sums[1:])
         n = np.diff(bounds)
-        logit += SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)
+        logit += SCALE * ((sums[bounds[1:]] - sums[bounds[:-1]]) / FIXED) / np.maximum(n, 1)
     return sigmoid(platt[0] * logit + platt[1])
 
 
