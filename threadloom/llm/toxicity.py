@@ -13,25 +13,30 @@ Training (labelled rows only, a sample of at most about ``SAMPLE`` of them chose
 Scoring: each distinct word runs as a Levenshtein automaton through the trie (letters that stand in
 for others, as 0 for o, are folded first). A hit's weight falls where quotation marks stand around it or
 a reporting verb stands near, and rises near words of address. Words are told by hash, so that each
-distinct word of a worker is looked up once.
+distinct word of a worker is looked up once. Words of any length are looked up; marks at their ends go first,
+and words with marks inside are looked up by parts as well. One edit (a letter more, less, other, or two
+swapped) is borne for terms of five letters or more; shorter terms and stems must be spelt right.
 
 Defined cases: null and empty texts have no hits and the score of such a text; labels other than 0
 and 1 are none; without toxic labelled rows the lexicon is empty and the score is the base rate;
-repeated rows are scored each; a null doc_id is passed through; an empty table gives no rows.
+repeated rows are scored each, and of rows with one id the least text is learnt from; a null doc_id is
+passed through; an empty table gives no rows; memory follows the longest text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import cut, slices, text_at, words
+from .core import cut, discard, slices, text_at, words
 from .linear import newton_logistic, sigmoid
 
 SAMPLE = 24_000
@@ -48,12 +53,16 @@ ADDRESS = frozenset("you your you're u du dich dein tu te toi vous votre usted u
 _EDGE = QUOTES + ".,;:?!()[]{}<>*#%&|_-+=~^/\\"
 
 
+_INNER = re.compile(f"[{re.escape(_EDGE)}]+")
+
+
 def plain(word: str) -> str:
     """A word in lower case without marks at its ends."""
     return word.lower().strip(_EDGE)
 
 
 _FOLD = str.maketrans(STAND_INS)
+_SIGNS = "".join(STAND_INS)
 
 
 def folded(word: str) -> str:
@@ -61,11 +70,14 @@ def folded(word: str) -> str:
 
 
 class Trie:
-    """A lexicon; within() intersects the Levenshtein automaton of a word with it."""
+    """A lexicon; within() intersects the Levenshtein automaton of a word with it. Two letters swapped are one edit."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], shortest: int = 0):
+        """Terms below `shortest` letters are not in the trie, but count for the numbers of the others."""
         self.root: dict = {}
         for i, term in enumerate(terms):
+            if len(term) < shortest:
+                continue
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
@@ -76,7 +88,8 @@ class Trie:
     def within(self, word: str, edits: int = 1) -> tuple[int, int] | None:
         """(term, distance) of the nearest term at so many edits at most; ties go to the first in the lexicon.
 
-        States of the automaton are bit sets of positions in the word, one set for each count of edits.
+        States of the automaton are bit sets of positions in the word, one set for each count of edits;
+        beside them stand the positions whose next letter but one was met, half of a swap.
         """
         n = len(word)
         masks: dict[str, int] = {}
@@ -87,9 +100,9 @@ class Trie:
         start = [1]
         for _ in range(edits):
             start.append((start[-1] | start[-1] << 1) & full)
-        stack = [(self.root, start)]
+        stack = [(self.root, start, [0] * (edits + 1))]
         while stack:
-            node, sets = stack.pop()
+            node, sets, half = stack.pop()
             end = node.get("")
             if end is not None:
                 for d, s in enumerate(sets):
@@ -101,11 +114,12 @@ class Trie:
                 if c == "":
                     continue
                 hit = masks.get(c, 0)
-                after = [(sets[0] & hit) << 1]
+                after, begun = [(sets[0] & hit) << 1], [0]
                 for d in range(1, edits + 1):
-                    after.append(((sets[d] & hit) << 1 | sets[d - 1] | sets[d - 1] << 1 | after[d - 1] << 1) & full)
-                if after[-1]:
-                    stack.append((child, after))
+                    after.append(((sets[d] & hit) << 1 | sets[d - 1] | sets[d - 1] << 1 | after[d - 1] << 1 | (half[d] & hit) << 2) & full)
+                    begun.append(sets[d - 1] & hit >> 1)
+                if after[-1] or any(begun):
+                    stack.append((child, after, begun))
         return best
 
     def survives(self, word: str, edits: int = 1) -> bool:
@@ -123,9 +137,10 @@ class Trie:
 
     def _survives(self, head: str, edits: int) -> bool:
         n = len(head)
-        stack = [(self.root, list(range(n + 1)))]  # a row of edit distances between head's beginnings and the path
+        # Rows of edit distances between head's beginnings and the path, the row before, and the path's last letter.
+        stack = [(self.root, list(range(n + 1)), None, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, before, last = stack.pop()
             if row[n] <= edits:
                 return True
             for c, child in node.items():
@@ -133,9 +148,12 @@ class Trie:
                     continue
                 after = [row[0] + 1]
                 for i in range(1, n + 1):
-                    after.append(min(row[i] + 1, after[-1] + 1, row[i - 1] + (head[i - 1] != c)))
+                    least = min(row[i] + 1, after[-1] + 1, row[i - 1] + (head[i - 1] != c))
+                    if before and i > 1 and head[i - 1] == last and head[i - 2] == c:
+                        least = min(least, before[i - 2] + 1)
+                    after.append(least)
                 if min(after) <= edits:
-                    stack.append((child, after))
+                    stack.append((child, after, row, c))
         return False
 
 
@@ -151,11 +169,18 @@ class Lexicon:
         self.index = {t: i for i, t in enumerate(self.terms)}
         self.lengths = sorted({len(x) for x in self.stems}, reverse=True)
         self.stem_number = {x: len(self.terms) + i for i, x in enumerate(self.stems)}
-        self.trie = Trie(self.terms)
+        self.trie = Trie(self.terms, MIN_FUZZY)
 
     def match(self, raw: str) -> tuple[int, int, str] | None:
-        """(term, distance, word) of a raw word."""
+        """(term, distance, word) of a raw word; where the whole says nothing, of the part between inner marks that weighs most."""
         word = plain(raw)
+        found = self._match(word)
+        if found or not _INNER.search(word):
+            return found
+        parts = [f for x in dict.fromkeys(_INNER.split(word)) if (f := self._match(x))]
+        return max(parts, key=lambda f: (self._weight(*f), -f[0]), default=None)
+
+    def _match(self, word: str) -> tuple[int, int, str] | None:
         i = self.index.get(word)
         if i is not None:
             return i, 0, word
@@ -164,28 +189,27 @@ class Lexicon:
                 return self.stem_number[word[:n]], 1, word
         if len(word) < MIN_FUZZY - 1 or not self.terms:
             return None
-        spelt = word if word.isalpha() else folded(word)
-        if spelt != word and (i := self.index.get(spelt)) is not None:
-            return i, 1, word
+        spelt = word
+        if not word.isalpha():
+            for spelt in (word.strip(_SIGNS), folded(word)):
+                if (i := self.index.get(spelt)) is not None:
+                    return i, 1, word
         if not self.trie.survives(spelt):
             return None
         found = self.trie.within(spelt)
-        if found and len(self.terms[found[0]]) >= MIN_FUZZY:
-            return found[0], max(1, found[1]), word
-        return None
+        return (found[0], max(1, found[1]), word) if found else None
+
+    def _weight(self, term: int, distance: int, word: str) -> float:
+        if not distance:
+            return self.weights[term]
+        if term >= len(self.terms):
+            return self.near.get(word, self.stems[word[: next(n for n in self.lengths if word[:n] in self.stems)]])
+        return self.near.get(word, self.unseen[term])
 
     def weight(self, raw: str) -> tuple[int, float] | None:
         found = self.match(raw)
-        if not found:
-            return None
-        term, distance, word = found
-        if not distance:
-            w = self.weights[term]
-        elif term >= len(self.terms):
-            w = self.near.get(word, self.stems[word[: next(n for n in self.lengths if word[:n] in self.stems)]])
-        else:
-            w = self.near.get(word, self.unseen[term])
-        return (term, w) if w > 0 else None
+        w = self._weight(*found) if found else 0
+        return (found[0], w) if w > 0 else None
 
 
 class _Known:
@@ -201,12 +225,13 @@ class _Known:
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.codes) > REMEMBERED:
             self.codes.clear()
+            self.found = [None]
         codes, data, out = self.codes, w.texts.data, np.zeros(len(distinct), np.int32)
         begin, end = w.start[first].tolist(), w.end[first].tolist()
         for k, key in enumerate(distinct.tolist()):
             code = codes.get(key)
             if code is None:
-                hit = find(data[begin[k] : end[k]].tobytes().decode("utf-8", "replace")) if end[k] - begin[k] < 80 else None
+                hit = find(data[begin[k] : end[k]].tobytes().decode("utf-8", "replace"))
                 code = 0
                 if hit:
                     code = len(self.found)
@@ -272,11 +297,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, x in enumerate(own):
                     if x not in seen:
                         seen.add(x)
-                        # By letters, not by hash(), which differs between Python workers.
-                        rows.append((x, 1, int.from_bytes(f"{own[k - 1] if k else ''}\0{own[k + 1] if k + 1 < len(own) else ''}".encode()[:40], "little") % (2**61 - 1)))
+                        # Not by hash(), which differs between Python workers.
+                        around = f"{own[k - 1] if k else ''}\0{own[k + 1] if k + 1 < len(own) else ''}"
+                        rows.append((x, 1, xxhash.xxh3_64_intdigest(around.encode("utf-8", "replace")) >> 1))
             every = [(x, n, 0) for x, n in clean.items()]
             out = [(x, 0, n, c) for x, n, c in every] + [(x, 1, n, c) for x, n, c in rows]
-            out = [r for r in out if MIN_TERM <= len(r[0]) <= 40]
+            out = [r for r in out if len(r[0]) >= MIN_TERM]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["word", "toxic", "texts", "context"])
 
 
@@ -308,7 +334,7 @@ def _near(lexicon: Lexicon):
         for batch in batches:
             keep, term = [], []
             for i, word in enumerate(batch.column("word").to_pylist()):
-                found = lexicon.match(word)
+                found = lexicon._match(word)
                 if found and found[1]:
                     keep.append(i)
                     term.append(found[0])
@@ -319,7 +345,10 @@ def _near(lexicon: Lexicon):
 
 
 def _learn_stems(counts: DataFrame) -> dict[str, float]:
-    """Beginnings of four to ten letters whose words, taken together, speak for toxic texts. None begins another."""
+    """Beginnings of four to ten letters whose words, taken together, speak for toxic texts. None begins another.
+
+    Words with a longer beginning in common have its first ten letters in common, so no length of words is left out.
+    """
     all1, all0 = (x or 0 for x in counts.agg(F.sum("c1"), F.sum("c0")).first())
     if not all1:
         return {}
@@ -385,11 +414,14 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, sa
     if training is not None:
         rows = rows.where(training)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.distinct()
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n))))
-    texts = _plain(docs).join(F.broadcast(chosen), "doc_id")
+    # One text for each label, so that rows are as bounded as labels are; written once, for three passes.
+    texts = cut(_plain(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     lexicon = learn_lexicon(texts)
-    found = texts.mapInArrow(_evidence(lexicon), "doc_id long, toxic int, x array<double>").orderBy("doc_id").collect()
+    found = texts.mapInArrow(_evidence(lexicon), "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic").collect()
+    discard(texts)
     y = np.array([r.toxic for r in found], float)
     if not len(y) or not y.any():
         return ToxicityModel(lexicon, np.append(np.zeros(EVIDENCE), -6.0))
