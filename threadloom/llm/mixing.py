@@ -2,80 +2,102 @@
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words by
 weight; a target stops at CAP times its source's size and the excess is shared again by weight, down
-to the level at which nothing is above (closed form over the sources' table).
+to the level at which nothing is above. Sources are numbered by ranges and the level is found by
+sums over all sources, so no task holds them all.
 
-Rates: document rates w in (0, CAP) stay as near as can be, in relative entropy, to one copy each,
-with the source's expected words equal to its target. The dual has one multiplier for each source:
-w = CAP / (1 + (CAP - 1) * exp(-m * size)), a tilted rate with bounds. The dual is convex; Newton
-iterations with a bracket solve it for all sources in parallel, over each source's histogram of
-sizes, which is bounded by the number of different lengths and not by the number of documents.
+Rates: document rates w in [0, CAP] are as near as can be to one copy each, in relative entropy
+(sum of w log w - w + 1), with the source's expected words equal to its target. The optimum is an
+exponential tilt, w = min(CAP, exp(m * size)), with one multiplier m for each source, the dual's
+variable. The dual is convex; Newton iterations with a bracket solve it for all sources at once: in
+each, Spark sums value and slope over the histogram (source, size) and moves all multipliers.
 
 Copies: rates are rounded by systematic sampling along falling size: cells of (source, size bin,
 hash) have their start from the cells before, so no source is ordered in one task. What a source
 still lacks or has too much is made up with single copies of few documents of fitting sizes, a
-bounded choice for each source. Sums are of integers throughout, so reruns agree.
+bounded choice for each source. All sums that decide are of whole numbers, so reruns agree.
 
 Defined cases: null source is a source; null or wordless text has size 0 and takes nothing; an empty
 table gives no rows; a null doc_id is a document; of repeated rows each is a document, and a
-correction of one falls on all its repeats.
+correction of one falls on all its repeats. Only doc_id, source and text are read.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import BROADCAST_IDS, cut, n_words
+from ..operators.sampling import numbered
+from .core import BROADCAST_IDS, clear_of, cut, discard, n_words
 
 CAP = 3
 ONE = 1 << 30  # a whole copy in fixed point
 BINS = 8  # for each doubling of the size
-CELL = 20_000  # documents of the largest source's bin in one cell, about
+CELL, CELLS = 2_000, 4_096  # documents of one cell, about, and the most cells of a bin
 CHOICES = 4  # documents of a bin that corrections may choose from
+SUM = 1 << 20  # a word in the dual's sums, which are of whole numbers
+ROUNDS, CLOSE = 100, 1e-9
 
 
 def targets(sources: DataFrame) -> DataFrame:
     """(source, source_size) -> with weight and target."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    out = sources.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * CAP)
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    of = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    level = (F.sum("source_size").over(every) - of("cap")) / (F.sum("weight").over(every) - of("weight"))
-    out = out.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return out.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
-
-
-def multiplier(size: np.ndarray, count: np.ndarray, target: float) -> float:
-    """The dual's solution for one source, as the exponent at its mean size; infinite at a bound."""
-    words = (size * count).astype(np.float64)
-    total = words.sum()
-    if target >= CAP * total * (1 - 1e-9):
-        return float("inf")
-    if target <= 0:
-        return float("-inf")
-    x = size / (total / count.sum())
-    low, high, m = -700.0, 700.0, 0.0
-    for _ in range(200):
-        w = CAP / (1 + (CAP - 1) * np.exp(np.clip(-m * x, -700, 700)))
-        gap = (words * w).sum() - target
-        if abs(gap) <= 1e-9 * target:
+    ranked = numbered(sources.withColumn("nil_", F.col("source").isNull()), "nil_", "source", name="n_").drop("nil_")
+    out = cut(ranked.withColumns({"weight": (F.col("n_") - 1) % 3 + 1, "cap": F.col("source_size") * CAP}).drop("n_"), "weights")
+    # Sources at their cap leave the sharing until the level stands; it only rises, and few values are ever met.
+    level, full = None, F.lit(False)
+    while True:
+        every = out.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not every[0] or not every[2]:
             break
-        low, high = (m, high) if gap < 0 else (low, m)
-        slope = (words * x * w * (1 - w / CAP)).sum()
-        step = m - gap / slope if slope > 0 else np.inf
-        m = step if low < step < high else (low + high) / 2
-    return float(f"{m:.12g}")
+        after = (every[0] - (every[1] or 0)) / every[2]
+        if after == level:
+            break
+        level = after
+        full = F.col("cap") / F.col("weight") < level
+    share = F.col("weight") * F.lit(float(level or 0))
+    return out.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), share).alias("target"))
+
+
+def rate(m: Column, size: Column, mean: Column) -> Column:
+    """The tilted rate of a document; m is the exponent at its source's mean size, infinite at a bound."""
+    tilt = F.least(F.lit(float(CAP)), F.exp(F.least(F.lit(50.0), m * size / mean)))
+    return F.when(size == 0, 0.0).when(m == float("inf"), float(CAP)).when(m == float("-inf"), 0.0).otherwise(tilt)
 
 
-def _solve(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("size")
-    size, count = (rows[c].to_numpy() for c in ("size", "n"))
-    m = multiplier(size, count, rows["target"][0].as_py())
-    mean = float(max((size * count).sum() / count.sum(), 1e-9))
-    return pa.table({"source": pa.array([key[0].as_py()], pa.string()), "m": pa.array([m], pa.float64()), "mean": pa.array([mean], pa.float64())})
+def multipliers(hist: DataFrame, sources: DataFrame) -> DataFrame:
+    """hist (source, size, n), sources (source, source_size, target) -> (of, mean, target, m): the dual's solution of each source.
+
+    Each round is one sum over the histogram and one table of a row for each source.
+    """
+    hist = hist.where("size > 0")
+    s = sources.count()
+    size, words = F.col("size"), F.col("size") * F.col("n")
+    means = hist.groupBy("source").agg((F.sum(words) / F.sum("n")).alias("mean")).withColumnRenamed("source", "s_")
+    now = sources.join(means, F.col("source").eqNullSafe(F.col("s_")), "left").select(F.col("source").alias("of"), F.coalesce("mean", F.lit(1.0)).alias("mean"), "target", "source_size")
+    bound = F.when(F.col("target") <= 0, float("-inf")).when(F.col("target") >= CAP * F.col("source_size") * (1 - CLOSE), float("inf"))
+    now = cut(now.select("of", "mean", "target", F.coalesce(bound, F.lit(0.0)).alias("m"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), bound.isNotNull().alias("done")), "dual")
+    for _ in range(ROUNDS):
+        if now.where("not done").isEmpty():
+            break
+        open_ = now.where("not done").select("of", "mean", F.col("m").alias("at"))
+        w = rate(F.col("at"), size, F.col("mean"))
+        whole = lambda x: F.sum(F.floor(x * SUM).cast("decimal(38,0)"))
+        free = F.when(w < CAP, words * w * size / F.col("mean")).otherwise(0.0)
+        met = hist.join(_small(open_, s), F.col("source").eqNullSafe(F.col("of")))
+        sums = met.groupBy("of").agg((whole(words * w) / SUM).cast("double").alias("value"), (whole(free) / SUM).cast("double").alias("slope")).withColumnRenamed("of", "s_")
+        gap = F.col("value") - F.col("target")
+        near = F.abs(gap) <= CLOSE * F.col("target") + F.lit(1e-3)
+        low, high = F.when(gap < 0, F.col("m")).otherwise(F.col("low")), F.when(gap < 0, F.col("high")).otherwise(F.col("m"))
+        step = F.col("m") - F.try_divide(gap, F.col("slope"))
+        moved = F.when(step.isNotNull() & (step > low) & (step < high), step).otherwise((low + high) / 2)
+        stuck = (high - low) < 1e-13 * F.greatest(F.lit(1.0), F.abs("m"))
+        fresh = now.join(_small(sums, s), F.col("of").eqNullSafe(F.col("s_")), "left")
+        hold = F.col("done") | F.coalesce(near, F.lit(True))
+        fresh = fresh.select("of", "mean", "target", F.when(hold, F.col("m")).otherwise(moved).alias("m"), F.when(hold, F.col("low")).otherwise(low).alias("low"), F.when(hold, F.col("high")).otherwise(high).alias("high"), (hold | stuck).alias("done"))
+        after = cut(fresh, "dual")
+        discard(now)
+        now = after
+    return now.select("of", "mean", "target", "m")
 
 
 def _correct(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -97,27 +119,23 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, text) -> (doc_id, source, size, source_size, target, copies), one row for each row."""
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size")), "sized")
+    text = F.col("text").cast("string")
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("tie")), "sized")
     hist = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = cut(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "sources")
     s = sources.count()
-    on = lambda a, b: a["source"].eqNullSafe(b["source"])
-    aimed = hist.alias("h").join(_small(sources.select(F.col("source").alias("of"), "target"), s), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    solved = cut(aimed.groupBy("source").applyInArrow(_solve, "source string, m double, mean double"), "multipliers")
-    known = sources.join(solved.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "weight").withColumnRenamed("source", "of")
+    known = multipliers(hist, sources).select(F.col("of").alias("s_"), "mean", "m")
+    known = cut(sources.join(_small(known, s), F.col("source").eqNullSafe(F.col("s_"))).select(F.col("source").alias("of"), "source_size", "target", "mean", "m"), "multipliers")
     rows = sized.join(_small(known, s), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rate = CAP / (1 + (CAP - 1) * F.exp(-F.col("m") * F.col("size") / F.col("mean")))
-    rate = F.when(F.col("size") == 0, 0).when(F.col("m") == float("inf"), CAP).when(F.col("m") == float("-inf"), 0).otherwise(rate)
-    rows = rows.withColumn("fixed", F.least(F.floor(rate * ONE).cast("long"), F.lit(CAP * ONE)))
-    largest = hist.agg(F.max("n"), F.sum("n")).first()
-    cells = max(1, (largest[1] or 0) // (CELL * BINS))
-    rows = rows.withColumns({"bin": F.floor(F.log2(F.col("size") + 1) * BINS).cast("int"), "cell": F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int")})
+    rows = rows.withColumn("fixed", F.least(F.floor(rate(F.col("m"), F.col("size"), F.col("mean")) * ONE).cast("long"), F.lit(CAP * ONE)))
+    cells = min(CELLS, max(1, (hist.agg(F.sum("n")).first()[0] or 0) // (CELL * BINS)))
+    rows = rows.withColumns({"bin": F.floor(F.log2(F.col("size") + 1) * BINS).cast("int"), "cell": F.pmod("tie", F.lit(cells)).cast("int")})
     rows = rows.withColumn("part", F.col("fixed") % ONE)
     totals = rows.groupBy("source", "bin", "cell").agg(F.sum("part").alias("sum"))
     earlier = Window.partitionBy("source").orderBy(F.desc("bin"), "cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut(totals.select(F.col("source").alias("s_"), F.col("bin").alias("b_"), F.col("cell").alias("c_"), (F.coalesce(F.sum("sum").over(earlier), F.lit(0)) % ONE + ONE // 2).alias("start")), "cells")
     rows = rows.join(_small(totals, totals.count()), F.col("source").eqNullSafe(F.col("s_")) & (F.col("bin") == F.col("b_")) & (F.col("cell") == F.col("c_"))).drop("s_", "b_", "c_")
-    inside = Window.partitionBy("source", "bin", "cell").orderBy(F.desc("size"), F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bin", "cell").orderBy(F.desc("size"), "tie", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("start") + F.sum("part").over(inside)
     copies = F.floor(F.col("fixed") / ONE) + F.floor(upto / ONE) - F.floor((upto - F.col("part")) / ONE)
     plan = cut(rows.withColumn("copies", F.least(copies, F.lit(CAP)).cast("int")).select("doc_id", "source", "size", "source_size", "target", "copies", "bin"), "plan")
@@ -126,19 +144,22 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     choice = Window.partitionBy("source", "bin").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "copies")
     few = plan.where("size > 0 and doc_id is not null").withColumn("k", F.row_number().over(choice)).where(F.col("k") <= CHOICES)
     few = few.join(_small(lack.withColumnRenamed("source", "of"), s), F.col("source").eqNullSafe(F.col("of"))).select("source", "doc_id", "size", "copies", "lack")
-    changes = cut(few.groupBy("source").applyInArrow(_correct, "source string, doc_id long, change int"), "changes").select(F.col("source").alias("of"), F.col("doc_id").alias("id_"), "change")
-    changes = changes.groupBy("of", "id_").agg(F.first("change").alias("change"))
-    out = plan.join(_small(changes, s * 40), (F.col("doc_id") == F.col("id_")) & F.col("source").eqNullSafe(F.col("of")), "left")
+    changes = few.groupBy("source").applyInArrow(_correct, "source string, doc_id long, change int").select(F.col("source").alias("of"), F.col("doc_id").alias("id_"), "change")
+    changes = cut(changes.groupBy("of", "id_").agg(F.first("change").alias("change")), "changes")
+    out = plan.join(_small(changes, changes.count()), (F.col("doc_id") == F.col("id_")) & F.col("source").eqNullSafe(F.col("of")), "left")
     copies = F.greatest(F.lit(0), F.least(F.lit(CAP), F.col("copies") + F.coalesce("change", F.lit(0)))).cast("int")
+    for x in (sized, hist, sources, known, totals):
+        discard(x)
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the plan says; all columns of docs stay."""
+    """The rows of docs, each as often as the plan says; all columns of docs stay, whatever their names."""
     columns = docs.columns
-    own = [F.col("doc_id").cast("long").alias("mix_id_"), F.col("source").cast("string").alias("mix_source_"), n_words("text").alias("mix_size_")]
-    plan = mix_plan(docs).select(F.col("doc_id").alias("id_"), F.col("source").alias("of_"), F.col("size").alias("size_"), F.col("copies").alias("copies_"))
-    plan = cut(plan.where("copies_ > 0").groupBy("id_", "of_", "size_").agg(F.max("copies_").alias("copies_")), "copies")
-    same = F.col("mix_id_").eqNullSafe(F.col("id_")) & F.col("mix_source_").eqNullSafe(F.col("of_")) & (F.col("mix_size_") == F.col("size_"))
+    of, id_, size, copies, id2, of2, size2, copy = clear_of(columns, "of", "id", "size", "copies", "own_id", "own_of", "own_size", "copy")
+    own = [F.col("doc_id").cast("long").alias(id2), F.col("source").cast("string").alias(of2), n_words("text").alias(size2)]
+    plan = mix_plan(docs).select(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("size").alias(size), F.col("copies").alias(copies))
+    plan = cut(plan.where(F.col(copies) > 0).groupBy(id_, of, size).agg(F.max(copies).alias(copies)), "copies")
+    same = F.col(id2).eqNullSafe(F.col(id_)) & F.col(of2).eqNullSafe(F.col(of)) & (F.col(size2) == F.col(size))
     met = docs.select("*", *own).join(plan, same)
-    return met.withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*columns)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)
