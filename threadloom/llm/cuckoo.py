@@ -12,9 +12,9 @@ SLOTS = 4
 class CuckooFilter:
     """16-bit fingerprints in buckets of four slots. Absent keys are told absent except about one in 8,000.
 
-    A key that was added (and not removed as often as added) is always found: an insertion that finds
-    no room doubles the number of buckets and adds all stored keys again, so keys are never lost.
-    The exact tables behind the filter supply these keys; only keys that are stored may be removed.
+    A key that was added (and not removed as often as added) is always found. Where an insertion finds
+    no room, the caller makes a larger filter from the exact tables behind it, so keys are never lost.
+    Only keys that are stored may be removed.
     """
 
     def __init__(self, capacity: int):
@@ -61,26 +61,34 @@ class CuckooFilter:
                 return True
         return False
 
+    def add_all(self, keys: np.ndarray) -> bool:
+        """Adds distinct keys; those whose first free slot can be told at once go in together. False as in add()."""
+        left = np.asarray(keys).astype(U64)
+        for side in (1, 2):
+            for slot in range(SLOTS):
+                if not len(left):
+                    return True
+                places = self._places(left)
+                at, finger = places[side], places[0]
+                free = self.table[at, slot] == 0
+                _, firsts = np.unique(at[free], return_index=True)
+                chosen = np.flatnonzero(free)[firsts]
+                self.table[at[chosen], slot] = finger[chosen]
+                left = np.delete(left, chosen)
+        return all(self.add(int(k)) for k in left)
+
+    def room(self) -> int:
+        """Keys that still go in easily."""
+        return int(self.table.size * 0.9) - int(np.count_nonzero(self.table))
+
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
-        """A filter of distinct keys. Keys whose first free slot can be told at once go in together."""
+        """A filter of distinct keys."""
         keys = np.unique(np.asarray(keys).astype(U64))
         size = len(keys)
         while True:
             out = cls(size)
-            left = keys
-            for side in (1, 2):
-                for slot in range(SLOTS):
-                    if not len(left):
-                        break
-                    places = out._places(left)
-                    at, finger = places[side], places[0]
-                    free = out.table[at, slot] == 0
-                    _, firsts = np.unique(at[free], return_index=True)
-                    chosen = np.flatnonzero(free)[firsts]
-                    out.table[at[chosen], slot] = finger[chosen]
-                    left = np.delete(left, chosen)
-            if all(out.add(int(k)) for k in left):
+            if out.add_all(keys):
                 return out
             size = int((1 << out.bits) * SLOTS * 0.86) + SLOTS
 
