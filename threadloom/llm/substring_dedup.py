@@ -12,12 +12,15 @@ a window of w words holds a symbol that is fixed by the window alone. Of these s
 spanning most words (then by hash, then leftmost) is the window's anchor: equal windows have equal
 anchors. Rows keyed by the anchor's name carry the hashes of its windows; a name that occurs once
 has no repeat, and in a shared name equal window hashes verify the repeats. Windows that repeat in
-one slice of a batch are settled there and shipped once, so a passage that a third of all texts
-share sends a row for each slice, not for each text.
+one slice are settled there, after their words are held against each other one by one, and shipped
+once; what a task has found repeated it remembers (up to ``REMEMBERED``; beyond, it ships again) and
+settles from then on. So a passage that a third of all texts share sends its windows once for each
+task, not for each text, and its name's rows grow with the tasks only.
 
 Defined cases: null or wordless texts and texts shorter than a window lose nothing; repeated rows
 are repeats of each other; a null doc_id is a text like any other; an empty table gives no rows.
-Other columns are not read. Windows are told by 64-bit anchor names with 48-bit window hashes.
+Other columns are not read. Between tasks windows are told by 64-bit anchor names together with 64-bit
+window hashes. Memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ WINDOW = 35
 REACH, SPAN = (0, 1, 3, 7), (1, 2, 4, 8)
 _COIN = np.random.default_rng(8).integers(0, 1 << 64, 4, dtype=U64)
 _LEFT, _RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
+#: Window hashes that a task keeps of what it has found repeated: 32 MB.
+REMEMBERED = 4 << 20
 ROWS = "name long, id long, text_hash long, first int, windows binary"
 
 
@@ -116,17 +121,55 @@ def _runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(change))
 
 
+class _Hot:
+    """Windows that a task has shipped and knows to be repeated."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, U64)
+
+    def holds(self, hashed: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashed), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+        return self.keys[at] == hashed
+
+    def add(self, hashed: np.ndarray) -> None:
+        self.keys = np.unique(np.concatenate([self.keys if len(self.keys) + len(hashed) <= REMEMBERED else self.keys[:0], hashed]))
+
+
 def _map(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _Hot()
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash"))
             for part in slices(batch.column("text")):
-                yield _slice(part, ids[part.first : part.first + len(part)], hashes[part.first : part.first + len(part)], window)
+                yield _slice(part, ids[part.first : part.first + len(part)], hashes[part.first : part.first + len(part)], window, hot)
 
     return run
 
 
-def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int) -> pa.RecordBatch:
+def verified(hashed: np.ndarray, h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """hashed, where two windows of one hash have other words made different; at: the windows' first words."""
+    order = np.argsort(hashed, kind="stable")
+    same = np.flatnonzero(hashed[order[1:]] == hashed[order[:-1]])
+    a, b = at[order[same]], at[order[same + 1]]
+    equal = np.ones(len(same), bool)
+    for k in range(window):
+        equal &= h[a + k] == h[b + k]
+    if equal.all():
+        return hashed
+    out = hashed.copy()
+    for i in np.unique(hashed[order[same[~equal]]]).tolist():
+        own = np.flatnonzero(hashed == U64(i))
+        kinds: dict[bytes, int] = {}
+        for w in own.tolist():
+            n = kinds.setdefault(h[at[w] : at[w] + window].tobytes(), len(kinds))
+            out[w] = mix(np.array([i], U64) + U64(n))[0] if n else U64(i)
+    return out
+
+
+def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int, hot: _Hot | None = None) -> pa.RecordBatch:
+    hot = hot or _Hot()
     w = words(part)
     h = w.hashes()
     n = np.maximum(np.diff(w.doc_first) - window + 1, 0)
@@ -136,8 +179,11 @@ def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int) -> pa.RecordB
     if not len(at):
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())], names=["name", "id", "text_hash", "first", "windows"])
     anchor, names = anchors(h, w.doc_first, at, window)
-    hashed = window_hashes(h, window)[at]
+    hashed = verified(window_hashes(h, window)[at], h, at, window)
     twice, firsts = repeated(hashed)
+    old = hot.holds(hashed)
+    hot.add(hashed[twice & firsts & ~old])
+    twice, firsts = twice | old, firsts & ~old
     new_doc = np.ones(len(at), bool)
     new_doc[1:] = doc[1:] != doc[:-1]
     change = new_doc.copy()
@@ -146,7 +192,7 @@ def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int) -> pa.RecordB
     ship = np.add.reduceat(firsts, begin) > 0
     begin, end = begin[ship], end[ship]
     shipped = np.repeat(ship, np.diff(np.append(np.flatnonzero(change), len(at))))
-    data = np.ascontiguousarray(hashed[shipped]).view(np.uint8).reshape(-1, 8)[:, :6]
+    data = np.ascontiguousarray(hashed[shipped]).view(np.uint8)
     # What is settled here: covered words as (first, end), carried in the same columns under a name that spreads.
     change = new_doc.copy()
     change[1:] |= twice[1:] != twice[:-1]
@@ -160,7 +206,7 @@ def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int) -> pa.RecordB
             pa.array(np.concatenate([ids[doc[begin]], ids[doc[b]]])),
             pa.array(np.concatenate([hashes[doc[begin]], hashes[doc[b]]])),
             pa.array(np.concatenate([offset[begin], np.full(len(b), -1)]).astype(np.int32)),
-            binary_array(np.concatenate([data.reshape(-1), spans.reshape(-1).view(np.uint8)]), np.concatenate([(end - begin) * 6, np.full(len(b), 8)])),
+            binary_array(np.concatenate([data.reshape(-1), spans.reshape(-1).view(np.uint8)]), np.concatenate([(end - begin) * 8, np.full(len(b), 8)])),
         ],
         names=["name", "id", "text_hash", "first", "windows"],
     )
@@ -189,11 +235,9 @@ def _reduce(window: int):
             rows = np.flatnonzero(~settled)
             if len(rows):
                 size = (offsets[1:] - offsets[:-1])[rows]
-                n = size // 6
+                n = size // 8
                 take = np.repeat(offsets[:-1][rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                keys = np.zeros((n.sum(), 8), np.uint8)
-                keys[:, :6] = data[take].reshape(-1, 6)
-                keys = keys.view(U64)[:, 0]
+                keys = np.ascontiguousarray(data[take]).view(U64)
                 row = np.repeat(np.arange(len(rows)), n)
                 at = first[rows][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 ident, texts = ids[rows][row], hashes[rows][row]
@@ -203,7 +247,7 @@ def _reduce(window: int):
                 if seen.name is not None and own[0] == seen.name:
                     keys, ident, texts, at = (np.concatenate([a, b]) for a, b in ((seen.keys, keys), (seen.id, ident), (seen.hash, texts), (seen.at, at)))
                     row = np.concatenate([np.zeros(len(seen.keys), np.int64), row])
-                both = (group[row].astype(U64) << U64(48)) | keys
+                both = keys ^ mix(group[row].astype(U64) + U64(1))
                 twice, firsts = repeated(both)
                 hit = np.flatnonzero(twice & (at >= 0))
                 begin = np.ones(len(hit), bool)
@@ -259,6 +303,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text holds the kept words joined by one space; a word goes if a window of so many words that
     covers it has its word sequence start anywhere else in docs as well.
     """
-    spans = repeated_spans(docs, window).groupBy("id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    spans = repeated_spans(docs, window).groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     joined = _keyed(docs).join(cut(spans, "spans"), ["id", "text_hash"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, text string, n_words long, n_removed long")
