@@ -1,12 +1,14 @@
 """MinHash near-duplicates: universal hash minima in bands, signature check, exact check, components.
 
 1. Each text becomes its set of distinct five-word shingles (64-bit hashes), 128 minima of universal
-   hashes x -> (a*x + b) mod 2**64 and, from them, 32 band keys of four minima each. Equal sets are
-   collapsed to their smallest doc_id first, so copies make no pairs.
+   hashes x -> (a*x + b) mod 2**64 and, from them, 32 band keys of four minima each. Equal sets, told
+   by a 128-bit BLAKE2b digest of the whole set, are collapsed to their smallest doc_id first, so
+   copies make no pairs.
 2. Star round: within a band bucket each member is held against the bucket's smallest id only.
    Pairs whose signatures agree far too little are dropped, the rest are confirmed on full sets.
 3. Rest round: buckets whose members still lie in several components. Members outside a bucket's
-   largest component are held against all its members, in blocks of ``BLOCK`` by ``BLOCK`` rows: a
+   largest component are held against all its members, in blocks of about ``BLOCK`` by ``BLOCK`` rows and
+   ``BLOCK_BYTES`` of their sets (a longer set is in a block of its own size): a
    pair of different components is looked at in the first bucket that it shares, on signatures and
    then on its full sets in 32 bits, which never understates a pair. Only links leave a block, one
    fewer than the components that they join at most, and are confirmed once more on 64 bits. So no
@@ -17,11 +19,13 @@ A pair at the threshold t misses all 32 bands with probability (1 - t**4)**32: 5
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing; with fewer than
 five words the whole sequence is the one shingle; rows with a null doc_id are returned unlinked;
-repeated doc_ids are one node; an empty table gives no rows. Other columns are not read.
+rows of one doc_id are one node, linked with all that any of their texts is linked with; an empty
+table gives no rows. Other columns are not read. Memory follows the longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import numbered
 from .components import components
 from .core import U64, binary_array, cut, discard, mix, only_ids, slices, words
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 _RNG = np.random.default_rng(5_0_85)
 _A = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=U64) * U64(2) + U64(1)
@@ -84,9 +89,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = minima(s)
                 low.append((m >> U64(40)).astype(np.uint8))
                 bands.append(mix((mix(m).reshape(BANDS, ROWS) * _ROW).sum(axis=1) ^ _BAND).view(np.int64) if len(s) else m[:0].view(np.int64))
-                n.append((len(s), int(mix(s).sum()), int(np.bitwise_xor.reduce(mix(s ^ _BAND[0]))) if len(s) else 0))
+                n.append((len(s), *np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()))
             sizes = np.array([len(b) for b in bands])
-            stat = np.array(n, U64).reshape(-1, 3).view(np.int64)
+            stat = np.array(n, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(part, 1000),
@@ -210,23 +215,28 @@ def _links(least: int, percent: int):
 
 def _rest(placed: DataFrame, feats: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
     """Links that the star round had not looked for, from placed (bucket, n, doc_id, component)."""
-    sizes = placed.where("n > 2").groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    main = F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("main")
-    open_ = sizes.groupBy("bucket").agg(main, F.sum("m").alias("n"), F.count("*").alias("k")).where("k > 1")
-    open_ = open_.select("bucket", (-F.col("main.c")).alias("main"), F.ceil(F.col("n") / BLOCK).alias("chunks"), F.ceil((F.col("n") - F.col("main.m")) / BLOCK).alias("blocks"))
-    rest = placed.drop("n").join(open_, "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    sizes = placed.where("n > 2").groupBy("bucket", "component").agg(F.count("*").alias("m"), (F.sum("size") * 4).alias("b"))
+    main = F.max(F.struct("m", (-F.col("component")).alias("c"), "b")).alias("main")
+    open_ = sizes.groupBy("bucket").agg(main, F.sum("m").alias("n"), F.sum("b").alias("b"), F.count("*").alias("k")).where("k > 1")
+    parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES))
+    open_ = open_.select("bucket", (-F.col("main.c")).alias("main"), parts(F.col("n"), F.col("b")).alias("chunks"), parts(F.col("n") - F.col("main.m"), F.col("b") - F.col("main.b")).alias("blocks"))
+    rest = placed.drop("n", "size").join(open_, "bucket").withColumn("outside", F.col("component") != F.col("main"))
     rest = cut(rest.select("bucket", "doc_id", "component", "outside", "chunks", "blocks"), "rest")
     ids = cut(rest.select("doc_id").distinct(), "ids")
     n = ids.count()
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, n=n)
     short = texts.mapInArrow(_short_sets, "doc_id long, size long, short binary").dropDuplicates(["doc_id"])
     known = cut(only_ids(feats.select("doc_id", "sig", "keys"), ids, n=n).dropDuplicates(["doc_id"]).join(short, "doc_id"), "known")
+    discard(ids)
     h = F.xxhash64("doc_id")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     every = rest.select("bucket", F.explode(upto("blocks")).alias("block"), F.pmod(h, "chunks").alias("chunk"), F.lit(False).alias("asks"), "doc_id", "component", "outside")
     asking = rest.where("outside").select("bucket", F.pmod(h, "blocks").alias("block"), F.explode(upto("chunks")).alias("chunk"), F.lit(True).alias("asks"), "doc_id", "component", "outside")
     rows = every.union(asking).join(known, "doc_id").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
-    return rows.mapInArrow(_links(least, percent), "u long, v long").distinct()
+    out = cut(rows.mapInArrow(_links(least, percent), "u long, v long").distinct(), "more")
+    for x in (rest, known):
+        discard(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -235,32 +245,55 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Texts are linked if 100 * |A & B| >= percent * |A | B| of their shingle sets; component_id is the
     smallest doc_id reachable over links. See the module's text for nulls, short texts and ties.
     """
-    least = least_agreement(percent / 100)
     feats = cut(features(docs), "features")
+    sets = feats.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "d1", "d2")).alias("a"), F.max(F.struct("n_shingles", "d1", "d2")).alias("b"))
+    if sets.where("a <> b").isEmpty():
+        comp = _components(feats, docs, percent)
+    else:
+        comp = _components_of_texts(docs, percent)
+    out = feats.select("doc_id", "n_shingles").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _components_of_texts(docs: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of doc_ids some of which have several texts: each text is a node, numbered in the order of ids."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256))
+    nodes = cut(numbered(rows.groupBy("id", "mark").agg(F.lit(1).alias("one")).drop("one"), "id", "mark", name="doc_id"), "nodes")
+    texts = cut(rows.groupBy("id", "mark").agg(F.max("text").alias("text")).join(nodes, ["id", "mark"]).select("doc_id", "text"), "texts")
+    first = nodes.groupBy("id").agg(F.min("doc_id").alias("v"))
+    same = nodes.join(first, "id").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+    comp = _components(cut(features(texts), "features"), texts, percent, same)
+    named = comp.join(nodes.select(F.col("doc_id").alias("node"), "id"), "node").join(nodes.select(F.col("doc_id").alias("component"), F.col("id").alias("root")), "component")
+    return cut(named.select(F.col("id").alias("node"), F.col("root").alias("component")).distinct(), "named")
+
+
+def _components(feats: DataFrame, docs: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) over links of one text for each doc_id, and over known links (u, v)."""
+    least = least_agreement(percent / 100)
     full = feats.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = cut(full.join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
     reps = full.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
-    members = cut(reps.select("doc_id", F.explode("bands").alias("bucket")), "members")
+    members = cut(reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")), "members")
     buckets = cut(members.groupBy("bucket").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = cut(members.join(buckets, "bucket").select("bucket", "v", "n", F.col("doc_id").alias("u")), "shared")
-    discard(members)
+    shared = cut(members.join(buckets, "bucket").select("bucket", "v", "n", "size", F.col("doc_id").alias("u")), "shared")
     ids = cut(shared.select(F.col("u").alias("doc_id")).distinct(), "ids")
     sigs = cut(only_ids(feats.select("doc_id", "sig"), ids).dropDuplicates(["doc_id"]), "sigs")
+    for x in (members, buckets, ids):
+        discard(x)
 
     star = shared.where("u <> v").select("u", "v").distinct()
     star = star.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
     links = confirmed(star.mapInArrow(_near(least), "u long, v long"), docs, percent)
     comp = cut(components(links), "components")
 
-    placed = shared.join(comp.select(F.col("node").alias("u"), "component"), "u", "left").select("bucket", "n", F.col("u").alias("doc_id"), F.coalesce("component", "u").alias("component"))
+    placed = shared.join(comp.select(F.col("node").alias("u"), "component"), "u", "left").select("bucket", "n", "size", F.col("u").alias("doc_id"), F.coalesce("component", "u").alias("component"))
     placed = cut(placed, "placed")
-    more = _rest(placed, feats, docs, least, percent)
-    links = links.union(confirmed(more, docs, percent))
-
-    comp = components(links.union(copies))
-    out = feats.select("doc_id", "n_shingles").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    for x in (shared, sigs, comp):
+        discard(x)
+    links = links.union(confirmed(_rest(placed, feats, docs, least, percent), docs, percent)).union(copies)
+    discard(placed)
+    return components(links if known is None else links.union(known))
 
 
 def _near(least: int):
