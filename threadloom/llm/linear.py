@@ -9,21 +9,23 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def newton_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Weights, the last one for the constant, that minimise log loss and a ridge, by damped Newton steps."""
+def newton_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the last one for the constant, that minimise log loss and a ridge, by damped Newton steps; weight: how often each row counts."""
+    weight = np.ones(len(x)) if weight is None else weight
+    many = weight.sum()
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
 
     def loss(w):
         z = x @ w
-        return np.logaddexp(0, z).sum() - y @ z + ridge * len(x) * (w[:-1] @ w[:-1]) / 2
+        return weight @ (np.logaddexp(0, z) - y * z) + ridge * many * (w[:-1] @ w[:-1]) / 2
 
     now = loss(w)
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        pull = ridge * len(x) * np.append(w[:-1], 0)
-        grad = x.T @ (p - y) + pull
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(np.append(np.full(len(w) - 1, ridge * len(x)), 1e-6))
+        pull = ridge * many * np.append(w[:-1], 0)
+        grad = x.T @ (weight * (p - y)) + pull
+        hess = (x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(np.append(np.full(len(w) - 1, ridge * many), 1e-6))
         step, size = np.linalg.solve(hess, grad), 1.0
         while size > 1e-4 and (after := loss(w - size * step)) > now:
             size /= 2
