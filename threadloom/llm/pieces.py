@@ -7,8 +7,8 @@ position; the best is merged and its new neighbours enter, until none is left. S
 vocabulary become byte pieces. Parts are remembered, and each part that is new to a batch is checked
 against the sentencepiece library, as is one whole text of each batch; a difference is an error.
 
-Defined cases: a null text is empty, and an empty text has the end id only; long parts are not
-remembered; an empty table gives no rows; doc_id is passed through, null or repeated as it may be.
+Defined cases: a null text is empty, and an empty text has the end id only; long parts are checked
+each time and not remembered; memory follows the longest text; an empty table gives no rows; doc_id is passed through, null or repeated as it may be.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ REMEMBERED, LONG_PART, SHORT_PART = 300_000, 48, 40
 
 
 class MergeVocabulary:
-    """Encoder and decoder of one model. Models with sampling, other normalisers or user symbols are refused."""
+    """Encoder and decoder of one model; refuse_others() tells models with other normalisers or user symbols."""
 
     def __init__(self, model: bytes):
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -52,6 +52,14 @@ class MergeVocabulary:
         self.older: dict[str, tuple[str, int, str]] = {}
         self.fresh: list[tuple[str, str]] = []
 
+    def refuse_others(self) -> None:
+        """Raises where the library does not encode like an agenda of merges: other normalisers, dummy prefixes or user symbols."""
+        probes = ["", " ", "a", " a  b ", "\t\n", "ﬁ Ａ① ｶﾞ é e\u0301", "ABC abc", "\u3000x\u200b", *(p.replace(SPACE, " ") for p in self.piece)]
+        for text, theirs in zip(probes, self.library.encode(probes, add_eos=True), strict=True):
+            if [*map(int, self.encode(text)[0].split())] != theirs:
+                raise ValueError(f"the model encodes {text!r} in another way than by merges of its pieces")
+        self.fresh = []
+
     def merge(self, part: str) -> list[int]:
         """Ids of one part: by a list of costs while it is short, else by a heap. Both take the best, leftmost pair."""
         return self._ids(self._merge_short(part) if len(part) <= SHORT_PART else self._merge_long(part))
@@ -133,9 +141,9 @@ class MergeVocabulary:
         if found is None:
             ids = self.merge(part)
             found = " ".join(map(str, ids)), len(ids), self.pieces_text(ids)
+            self.fresh.append((part, found[0]))
             if len(part) > LONG_PART:
                 return found
-            self.fresh.append((part, found[0]))
         self.known[part] = found
         return found
 
@@ -200,7 +208,9 @@ def encode_texts(docs: DataFrame, model_path: str, as_text: bool = False) -> Dat
     """
     spark: SparkSession = docs.sparkSession
     with open(model_path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    MergeVocabulary(data).refuse_others()
+    model = spark.sparkContext.broadcast(data)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "string" if as_text else "array<int>"
     return rows.mapInArrow(_encode(model, as_text), f"doc_id long, ids {kind}, n_tokens long, decoded string")
