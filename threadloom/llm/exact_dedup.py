@@ -3,7 +3,8 @@
 Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Rows are
 grouped by the length of the normalised text; those of lengths that occur twice by a hash of its
 first 64 code points as well; only rows whose (length, prefix) occurs twice have their whole text
-hashed with SHA-256 and grouped by it. Of equal texts the row with most code points in the original
+hashed with SHA-256 and grouped by it. Groups above a hundred-thousandth of all rows, of which there
+are fewer than a hundred thousand, meet their rows by a broadcast, so no hot digest is shuffled. Of equal texts the row with most code points in the original
 text stays, then the smallest doc_id. Texts are never shuffled, only these keys are.
 
 Defined cases: a null text counts as empty, and all such texts are equal; a null doc_id loses each
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .core import BROADCAST_IDS, cut, discard
 
 PREFIX = 64
+HOT, MANY = 1_000, 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -44,6 +46,11 @@ def exact_duplicates(docs: DataFrame, hash_all: bool = False) -> DataFrame:
     discard(counts)
     order = F.struct((-F.col("cps")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
     groups = told.where("rival").groupBy("text_sha256").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
-    out = told.join(groups, "text_sha256", "left")
+    groups = cut(groups, "groups")
+    hot_size = max(HOT, told.count() // MANY)
+    hot = F.broadcast(groups.where(F.col("size") > hot_size))
+    met = told.join(hot, "text_sha256").select("doc_id", "text_sha256", "best", "size")
+    cold = told.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(groups.where(F.col("size") <= hot_size), "text_sha256", "left")
+    out = met.union(cold.select("doc_id", "text_sha256", "best", "size"))
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
