@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import exact_dedup, line_dedup, minhash, substring_dedup
 from threadloom.llm.components import components
 from threadloom.llm.cuckoo import CuckooFilter
 
+from ..conftest import DATA
+
 DOCS = "doc_id long, text string"
 SPACE = "[^\x20\x09-\x0d]+"
 
@@ -55,9 +59,10 @@ def brute_components(rows, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, size", [(1024, 8 << 20), (8, 8 << 20), (1024, 2000)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, size):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     rows = near_texts(60)
     got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), 85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 85)
@@ -70,6 +75,20 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(1, 1), (1, 1), (2, 2), (None, None)]
 
 
+def test_several_texts_of_one_id(spark):
+    """Each text of an id is looked at: the id links what its texts link, though one of them is an exact copy of another document."""
+    a, b = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(5, a), (5, b), (3, a), (9, b + " more"), (7, "q w e r t y"), (7, None)]
+    got = sorted({(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 85).collect()})
+    assert got == [(3, 3), (5, 3), (7, 7), (9, 3)]
+
+
+def test_recall_on_the_tables_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    want = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 80).collect()} == want
+
+
 def test_blocks_find_links_between_components():
     r = random.Random(5)
     base = [f"t{k}" for k in range(80)]
@@ -126,6 +145,14 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(docs.limit(0)).collect() == []
 
 
+def test_hot_digests_are_met_by_a_broadcast(spark, monkeypatch):
+    rows = [(i, "the same text") for i in range(40)] + [(i, f"own {i // 2}") for i in range(100, 120)] + [(200, None)]
+    plain = sorted(map(tuple, exact_dedup.exact_duplicates(spark.createDataFrame(rows, DOCS)).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT", 10)
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(spark.createDataFrame(rows, DOCS)).collect())) == plain
+    assert [r[:4] for r in plain if r[0] in (0, 39, 101, 200)] == [(0, 0, 40, True), (39, 0, 40, False), (101, 100, 2, False), (200, 200, 1, True)]
+
+
 def brute_lines(rows):
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
     held = {}
@@ -159,20 +186,71 @@ def test_line_dedup_without_filters_is_the_same(spark, monkeypatch):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()} == brute_lines(LINES)
 
 
-def test_line_index_can_be_undone(spark):
+def test_line_index_can_be_undone(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
     a, b = spark.createDataFrame(LINES[:4], DOCS), spark.createDataFrame(LINES[4:] + [(0, "own line of two\nshared line here")], DOCS)
     index = line_dedup.LineIndex(spark)
     index.add(a, "a")
-    first = sorted(map(tuple, index.counts.collect()))
+    first = sorted(map(tuple, index.counts().collect()))
     index.add(b, "b")
     index.add(b, "b")
     both = {r.doc_id: r.text for r in index.dedup(a).collect()}
     assert both[2] == "short\n" and both[5] == "own line of five\nshort"
-    index.remove(b, "undo b")
-    assert sorted(map(tuple, index.counts.collect())) == first
+    # Opened again by its path, as another process would: the batch is known, the state is there.
+    again = line_dedup.LineIndex(spark, index.path)
+    again.add(b, "b")
+    assert [c.batch_id for c in again.commits()] == ["a", "b"]
+    assert {r.doc_id: r.text for r in again.dedup(a).collect()} == both
+    again.remove(spark.createDataFrame([(99, "shared line here\nnever added before")], DOCS), "nothing")
+    assert {r.doc_id: r.text for r in again.dedup(a).collect()} == both
+    again.remove(b, "undo b")
+    assert sorted(map(tuple, index.counts().collect())) == first
     assert {r.doc_id: r.text for r in index.dedup(a).collect()} == {i: t for i, (_, _, t) in brute_lines(LINES[:4]).items()}
 
 
+def test_line_index_keeps_up_with_many_batches(spark, monkeypatch):
+    """Inserts and deletions in random batches; filters are changed in place, grow and are made anew."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    r = random.Random(11)
+    text = lambda: "\n".join(f"a line of number {r.randrange(60)}" for _ in range(r.randrange(6)))
+    index, held = line_dedup.LineIndex(spark), {}
+    for k in range(5):
+        if k in (2, 4):
+            gone = r.sample(sorted(held), 12)
+            index.remove(spark.createDataFrame([(i, held.pop(i)) for i in gone], DOCS), f"batch {k}")
+        else:
+            new = {100 * k + i: text() for i in range(30)}
+            held |= new
+            index.add(spark.createDataFrame(list(new.items()), DOCS), f"batch {k}")
+        got = {x.doc_id: x.text for x in index.dedup(spark.createDataFrame(list(held.items()), DOCS)).collect()}
+        assert got == {i: t for i, (_, _, t) in brute_lines(list(held.items())).items()}
+        shared = {x.key_lo for x in index.counts().where("refs > 1").collect()}
+        done = index.commits()[-1]
+        assert done.keys == len(shared)
+        filters = {x.shard: CuckooFilter.from_bytes(x.filter) for x in index._stored(done.filters).collect()}
+        assert sum(int(np.count_nonzero(f.table)) for f in filters.values()) == len(shared)
+
+
+def test_an_index_of_nothing(spark):
+    empty = spark.createDataFrame([], DOCS)
+    index = line_dedup.LineIndex(spark)
+    assert [r.text for r in index.dedup(spark.createDataFrame([(1, "a line that is long")], DOCS)).collect()] == ["a line that is long"]
+    index.remove(spark.createDataFrame(LINES, DOCS), "r")
+    index.add(empty, "e")
+    assert index.counts().collect() == [] and index.dedup(empty).collect() == []
+
+
+def test_rewriting_keeps_nulls_and_columns_of_any_name(spark):
+    docs = spark.createDataFrame(LINES, DOCS).selectExpr("*", "1 as line_id", "2 as drop", "3 as LINE_DROP", "null as n", "'x' as id_", "'y' as drop_").withColumn("n", F.lit(None).cast("int"))
+    index = line_dedup.LineIndex(spark)
+    index.add(docs, "all")
+    out = index.rewrite(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got.pop(7) is None and got == {i: t for i, (_, _, t) in brute_lines(LINES).items() if i != 7}
+    assert out.where("drop <> 2 or line_id <> 1 or LINE_DROP <> 3 or id_ <> 'x'").isEmpty()
+
+
 def test_rows_of_one_id_count_as_one_document(spark):
     rows = [(1, "the same long line"), (1, "the same long line"), (None, "the same long line")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
@@ -181,6 +259,7 @@ def test_rows_of_one_id_count_as_one_document(spark):
 
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 50_000)
+    assert CuckooFilter.of(keys[:1000]).add_all(np.zeros(0, np.int64))
     f = CuckooFilter.of(keys)
     assert f.contains(keys).all()
     assert f.contains(np.random.default_rng(2).integers(0, 1 << 63, 50_000)).mean() < 0.002
@@ -235,3 +314,19 @@ def test_a_name_may_go_on_over_batches():
     for k in (1, 2, 3):
         covered = set().union(*(range(r["first"], r["end"]) for r in out if r["id"] == k)) if any(r["id"] == k for r in out) else set()
         assert covered == set(range(50))
+
+
+def test_a_task_ships_a_repeated_window_once():
+    """What a task has found repeated is settled in later slices without being shipped again."""
+    hot, texts = substring_dedup._Hot(), pa.array([" ".join(f"w{i}" for i in range(50))] * 2)
+    ids = np.arange(2)
+    rows = [substring_dedup._slice(next(substring_dedup.slices(texts)), ids + k, ids, 35, hot).to_pylist() for k in (0, 10, 20)]
+    assert [sum(r["first"] >= 0 for r in x) > 0 for x in rows] == [True, False, False]
+    for x in rows:
+        assert sum(r["first"] < 0 for r in x) == 2
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words():
+    h = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4], np.uint64)
+    got = substring_dedup.verified(np.array([7, 7, 7], np.uint64), h, np.array([0, 3, 6]), 3)
+    assert got[0] == got[1] != got[2]

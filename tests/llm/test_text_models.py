@@ -47,13 +47,16 @@ def test_n_words(spark):
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+    """Letters more, less, other, and two neighbours swapped."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         now = [i]
         for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
-        row = now
-    return row[-1]
+            now.append(min(rows[-1][j] + 1, now[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                now[j] = min(now[j], rows[-2][j - 2] + 1)
+        rows.append(now)
+    return rows[-1][-1]
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -72,11 +75,12 @@ def test_automaton_in_trie_is_edit_distance(edits):
 
 def test_quotation_weighs_less():
     lexicon = toxicity.Lexicon(["scoundrel"], [6.0], {}, [3.0])
-    texts = ["you are a scoundrel", 'he wrote "what a scoundrel" there', "sc0undrel indeed", "scoundrle indeed", "scondrel indeed", "nothing here", ""]
+    texts = ["you are a scoundrel", 'he wrote "what a scoundrel" there', "sc0undrel indeed", "scoundrle indeed", "scondrel indeed", "nothing here", "", '"' * 90 + "scoundrel", "x" * 300 + " scoundrel$$$", "you,scoundrel,you", "a" * 5000 + "!scuondrel"]
     known = toxicity._Known()
     w = words(next(slices(pa.array(texts))))
     x = toxicity.evidence(w, known.look_up(w, lexicon.weight), known)
     assert x[0, 0] > x[2, 0] > 0 and x[1, 0] < x[0, 0] and x[1, 3] == 1 and x[4, 0] > 0 and x[5, 0] == x[6, 0] == 0
+    assert x[3, 0] > 0 and (x[7:, 0] > 0).all()
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -144,6 +148,33 @@ def test_base_rules_match_brute_force(spark):
         assert (x.base_failed, x.kept) == (failed, not failed)
 
 
+def test_scores_do_not_hang_on_neighbours(spark):
+    """The same bits in any order and partitioning: no gram reaches into the next text, and sums are of whole numbers."""
+    r = random.Random(6)
+    weights, platt = np.random.default_rng(1).normal(0, 1, (2 << quality_rules.BITS) + 1).astype(np.float32), np.array([0.1, 0.0])
+    texts = ["".join(r.choices("abc é日\U0001f600 \n", k=r.randrange(60))) for _ in range(80)] + ODD
+
+    def score(order, limit):
+        out = {}
+        for t in slices(pa.array([texts[i] for i in order]), limit):
+            for k, p in enumerate(quality_rules.scores(t, words(t), weights, platt).tolist()):
+                out[order[t.first + k]] = p
+        return out
+
+    base = score(list(range(len(texts))), 1 << 20)
+    for limit in (1, 100, 1 << 20):
+        order = list(range(len(texts)))
+        r.shuffle(order)
+        assert score(order, limit) == base
+    assert base[texts.index(None)] == base[texts.index("")]
+
+
+def test_grams_are_of_code_points():
+    t = next(slices(pa.array(["é日\U0001f600ab", "ab", "é日\U0001f600a"])))
+    (_, _), (grams, bounds) = quality_rules.hashed(t, words(t))
+    assert bounds.tolist() == [0, 2, 2, 3] and grams[0] == grams[2] != grams[1]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fold = quadratic.fold(F.col("doc_id"), 3)
@@ -161,8 +192,8 @@ def test_quadratic_is_a_gaussian_log_ratio():
     one = np.column_stack([x, np.ones(len(x))])
     model = quadratic.Quadratic.of({c: one[y == c].T @ one[y == c] for c in (0, 1)})
     assert ((model.logit(x) > 0) == y).mean() > 0.9
-    (m0, i0, d0), (m1, i1, d1) = model.parts
-    s0, s1 = np.linalg.inv(i0.T @ i0), np.linalg.inv(i1.T @ i1)
+    (m0, f0, d0), (m1, f1, d1) = model.parts
+    s0, s1 = f0 @ f0.T, f1 @ f1.T
     z = x[7]
     want = -0.5 * ((z - m1) @ np.linalg.solve(s1, z - m1) + np.linalg.slogdet(s1)[1]) + 0.5 * ((z - m0) @ np.linalg.solve(s0, z - m0) + np.linalg.slogdet(s0)[1]) + model.prior
     assert model.logit(x[7:8])[0] == pytest.approx(want)
@@ -217,13 +248,31 @@ def test_mix(spark):
     assert mixing.mix_plan(docs.limit(0)).collect() == []
 
 
-def test_multiplier_solves_the_dual():
+def test_multipliers_solve_the_dual(spark):
     size, count = np.array([1, 5, 40, 3000]), np.array([100, 50, 20, 1])
-    for target in (10.0, 900.0, 4150.0, 9000.0, 12000.0):
-        m = mixing.multiplier(size, count, target)
-        w = 3 / (1 + 2 * np.exp(-m * size / ((size * count).sum() / count.sum())))
-        assert (size * count * w).sum() == pytest.approx(target, rel=1e-6)
-    assert mixing.multiplier(size, count, 3.0 * (size * count).sum()) == float("inf") and mixing.multiplier(size, count, 0.0) == float("-inf")
+    total = int((size * count).sum())
+    wanted = {"a": 10.0, "b": 900.0, "c": float(total), "d": 9000.0, "e": 12000.0, "f": 3.0 * total, "g": 0.0, None: 4150.0}
+    hist = spark.createDataFrame([(s, int(x), int(n)) for s in wanted for x, n in zip(size, count)], "source string, size long, n long")
+    sources = spark.createDataFrame([(s, total, t) for s, t in wanted.items()], "source string, source_size long, target double")
+    found = {r.of: r for r in mixing.multipliers(hist, sources).collect()}
+    assert found["f"].m == float("inf") and found["g"].m == float("-inf") and found["c"].m == 0
+    for s, t in wanted.items():
+        if s not in ("f", "g"):
+            w = np.minimum(3, np.exp(np.minimum(found[s].m * size / found[s].mean, 50)))
+            assert (size * count * w).sum() == pytest.approx(t, rel=1e-4), s
+
+
+def test_targets_by_levels(spark):
+    sizes = {"a": 100, "b": 1, "c": 2, "d": 5, "é": 900, None: 3, "zz": 0}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+    assert mixing.targets(spark.createDataFrame([("a", 0)], "source string, source_size long")).first().target == 0
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "w w w"), (None, None, "x"), (2, "b", None)], "doc_id long, source string, text string").selectExpr("*", "1 as id_", "2 as of", "3 as copies", "4 as COPY", "5 as of_", "6 as copies_")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.where("copies <> 3 or of <> 2 or COPY <> 4").isEmpty()
 
 
 # ---- token counts ---------------------------------------------------------------------------
@@ -250,10 +299,62 @@ def test_a_broken_batch_does_not_count(spark, tmp_path):
     roll = token_counts.TokenRollup(spark, path=f"file://{tmp_path}/state")
     rows = spark.createDataFrame([("insert", 1, "s", "en", "a b")], CHANGES)
     roll.commit("one", rows)
-    spark.createDataFrame([("s", "en", "words", 9, 9)], "source string, lang string, version string, docs long, tokens long").write.parquet(f"{roll.path}/deltas/1")
+    spark.createDataFrame([("s", "en", "words", 9, 9)], token_counts.DELTAS).write.parquet(f"{roll.path}/data/1-broken/deltas")
     assert roll.totals().first().n_tokens == 2
     roll.commit("two", spark.createDataFrame([("insert", 2, "s", "en", "c")], CHANGES))
     assert roll.totals().first().n_tokens == 3
+    again = token_counts.TokenRollup(spark, path=roll.path, buckets=5)
+    assert again.buckets == token_counts.BUCKETS and not again.commit("two", rows)
+    again.commit("three", spark.createDataFrame([("delete", 1, None, None, None)], CHANGES))
+    assert roll.totals().first().n_tokens == 1
+
+
+def test_odd_ops_and_columns(spark):
+    roll = token_counts.TokenRollup(spark, buckets=2)
+    rows = [(" INSERT", 1, "s", "en", "a b"), (None, 2, "s", "en", "c"), ("upsert", 3, "s", "en", "d"), ("delete", None, "s", "en", None), ("Insert", None, None, None, "q")]
+    roll.commit("one", spark.createDataFrame(rows, CHANGES).selectExpr("*", "1 as bucket", "2 as docs", "3 as tokens", "4 as hit"))
+    assert {(r.source, r.lang, r.n_docs, r.n_tokens) for r in roll.totals().collect()} == {("s", "en", 1, 2), (None, None, 1, 1)}
+
+
+def test_random_batches_equal_a_count_of_what_is_left(spark):
+    """Signed deltas against a plain recount after each batch; byte-level tokens against the library."""
+    import tiktoken
+    import tiktoken.load
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(path), special_tokens={})
+    count = {"words": lambda t: len(split(t)), "bpe": lambda t: len(lib.encode_ordinary(t or ""))}
+    roll = token_counts.TokenRollup(spark, {"words": None, "bpe": (public_tokenizers.PATTERN, path)}, buckets=3)
+    r, held = random.Random(5), {}
+    for k in range(4):
+        batch = []
+        for i in r.sample(range(25), 12):
+            op = r.choice(token_counts.OPS)
+            source, lang, text = r.choice(["s", "t", None]), r.choice(["en", "de"]), r.choice(ODD)
+            batch.append((op, i, source, lang, text))
+            if op == "delete":
+                held.pop(i, None)
+            else:
+                held[i] = source, lang, text
+        for _ in range(2):
+            roll.commit(f"b{k}", spark.createDataFrame(batch, CHANGES))
+        want = Counter()
+        for source, lang, text in held.values():
+            for v, n in count.items():
+                want[source, lang, v, "docs"] += 1
+                want[source, lang, v, "tokens"] += n(text)
+        got = Counter()
+        for x in roll.totals().collect():
+            got[x.source, x.lang, x.tokenizer_version, "docs"], got[x.source, x.lang, x.tokenizer_version, "tokens"] = x.n_docs, x.n_tokens
+        assert +got == +want
+
+
+def test_the_query_counts_the_documents(spark):
+    from threadloom.llm import queries
+
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.op4_token_counts(spark, f"{DATA}/sf0.001").where("tokenizer_version = 'words'").collect()}
+    want = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").groupBy("source", "lang").agg(F.count("*").alias("d"), F.sum(n_words()).alias("n")).collect()
+    assert got == {(r.source, r.lang): (r.d, r.n) for r in want}
 
 
 # ---- SentencePiece --------------------------------------------------------------------------
@@ -275,6 +376,17 @@ def test_encoding_is_the_librarys(vocabulary, text):
     vocabulary.check(text, ids, decoded)
 
 
+def test_long_parts_are_held_against_the_library(vocabulary):
+    vocabulary.fresh = []
+    vocabulary.encode("x" * 200)
+    assert [len(p) for p, _ in vocabulary.fresh] == [201]
+    vocabulary.refuse_others()
+    vocabulary.fresh = [("▁ab", "1 2")]
+    with pytest.raises(ValueError):
+        vocabulary.check("a", *(vocabulary.encode("a")[k] for k in (0, 2)))
+    vocabulary.fresh = []
+
+
 def test_both_agendas_agree(vocabulary):
     r = random.Random(2)
     for _ in range(300):
