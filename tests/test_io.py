@@ -44,6 +44,9 @@ def test_keyed_json_and_sinks(spark, tmp_path):
     got = archive.read_keyed(spark, str(tmp_path / "d.json"), "ratings", "correctness: string, notes: string", "rating_id")
     assert {r.rating_id: r.correctness for r in got.collect()} == {"a": "2", "b": ""}
     assert archive.markdown(spark.createDataFrame([(1, 0.5, None)], "a int, b double, c string")) == "| a | b | c |\n|---|---|---|\n| 1 | 0.500 | – |\n"
+    with pytest.raises(ValueError):
+        archive.markdown(spark.range(12), most=11)
+    assert archive.markdown(spark.range(12), most=12).count("\n") == 14
     with pytest.raises(ValueError):
         archive.write_json(spark.createDataFrame([(float("nan"),)], "x double"), str(tmp_path / "out"))
     sheet = archive.worksheet(spark.createDataFrame([("7", "hello")], "tweet_id string, message string"), ["7", "8"])

@@ -1,13 +1,15 @@
 """Operators against brute force and pinned small cases."""
 
 import hashlib
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.rates import wilson
-from threadloom.operators import classify, graph, metrics, modelcall, retrieval, sampling, similarity, stores, threads
+from threadloom.operators import classify, gate, graph, metrics, modelcall, retrieval, sampling, similarity, stores, threads
 from threadloom.plans import fixtures as X
 from threadloom.plans import relational_queries as Q
 
@@ -98,19 +100,30 @@ def _brute(rows):
 def test_pairs_and_greedy_match_brute_force(spark):
     rows = _texts(40)
     docs = spark.createDataFrame(rows, "id long, text string")
-    pairs = similarity.similar_pairs(docs)
-    got = {(r.a, r.b) for r in pairs.collect()}
+    classes = similarity.similar_classes(docs)
+    member = {r.id: r.class_id for r in classes.members.collect()}
+    between = {(r.a, r.b) for r in classes.pairs.collect()}
+    got = {(i, j) for i in member for j in member if i < j and (member[i] == member[j] or tuple(sorted((member[i], member[j]))) in between)}
     assert got == _brute(rows)
+    assert {r.id: r.n_links for r in classes.links().collect()} == {i: sum(i in p for p in got) for i in member}
     ranked = sampling.hash_rank(docs.select("id"), "id")
     order = [r.id for r in ranked.orderBy("rank").collect()]
     taken = []
     for i in order:
         if not any((min(i, j), max(i, j)) in got for j in taken):
             taken.append(i)
-    chosen = {r.id for r in similarity.greedy_independent(ranked, pairs).where("accepted").collect()}
+    chosen = {r.id for r in similarity.greedy_dedupe(docs, ranked).where("accepted").collect()}
     assert chosen == set(taken)
 
 
+def test_many_copies_make_no_pairs(spark):
+    rows = [(i, "one and the same long text") for i in range(300)] + [(i, None) for i in range(300, 400)] + [(500, "another text of its own")]
+    classes = similarity.similar_classes(spark.createDataFrame(rows, "id long, text string"))
+    assert classes.pairs.count() == 0 and {r.n_links for r in classes.links().where("id < 300").collect()} == {299}
+    none = similarity.similar_classes(spark.createDataFrame([], "id long, text string"))
+    assert none.links().collect() == [] and none.pairs.collect() == []
+
+
 def test_pairs_of_two_tables_and_scrub(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "q r s t u", "x"), (3, "l m n o p", "y")], "id long, text string, component string")
     taken = spark.createDataFrame([(9, "A b @me c d e f!")], "id long, text string")
@@ -194,6 +207,32 @@ def test_tfidf_ranks_ties_by_id(spark):
     assert [(r.id, round(r.similarity, 9)) for r in top] == [(2, 1.0), (3, 1.0)]
 
 
+def test_top_k_in_blocks_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SLICE", 50)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 4)).round(1)
+    x[20:30] = x[20]
+    x[5] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0])]
+    items = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = {(t.query, t.rank): t.id for t in retrieval.dense_top_k(items.where("id % 3 = 0"), items, 4).collect()}
+    unit = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    for q in range(0, 60, 3):
+        if q != 5:
+            best = sorted((i for i in range(60) if i not in (q, 5)), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:4]
+            assert [got[q, k + 1] for k in range(4)] == best
+    words = [" ".join(r.choice(list("abcdefgh"), 6) + "x") + " common" for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(words)), "id long, text string").repartition(3)
+    space = retrieval.TfIdf.fit(docs)
+    vectors = {t.id: {y.term: y.w for y in t.v} for t in space.weights.collect()}
+    top = {(t.query, t.rank): t.id for t in space.top_k(docs, 3).collect()}
+    for q, v in vectors.items():
+        best = sorted(vectors, key=lambda i: (-round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 9), i))[:3]
+        assert [top[q, k + 1] for k in range(3)] == best
+    assert space.top_k(docs.limit(0), 3).collect() == []
+
+
 def test_evidence_keeps_its_order(spark):
     cited = spark.createDataFrame([("q", ["b", "zz", "a"]), ("r", [])], "id string, evidence_ids array<string>")
     history = spark.createDataFrame([("a", "A"), ("b", "B")], "evidence_id string, text string")
@@ -230,6 +269,95 @@ def test_calls_fail_into_rows(spark):
     assert out.count() == 2 and out.where("api_error is not null and parsed is null").count() == 1
 
 
+def test_batched_answers_have_exact_ids(spark):
+    def client(model, body):
+        answer, meta = modelcall.offline_batch_stub(model, body)
+        ids = [r["id"] for r in answer["results"]]
+        if "b3" in ids:
+            answer["results"][0]["id"] = "unknown"
+        elif "b5" in ids:
+            answer["results"].append(answer["results"][0])
+        return answer, meta
+
+    asked = spark.createDataFrame([(f"b{i}", f"body {i}") for i in range(9)], "id string, body string")
+    out = {r.id: r for r in modelcall.call_batches(asked, client, ["m"], 2, partitions=3).collect()}
+    assert len(out) == 9 and {i for i, r in out.items() if r.api_error} == {"b2", "b3", "b4", "b5"}
+    assert all((r.parsed is None) == (r.api_error is not None) for r in out.values())
+    for wrong in (None, {"results": "x"}, {"results": [{"id": "a"}, {"id": "a"}]}, {"results": [{"id": "a"}]}):
+        with pytest.raises(ValueError):
+            modelcall.exact_answers(["a", "b"], wrong)
+
+
+def test_a_run_is_recovered(spark):
+    packet = spark.createDataFrame([(f"i{i}", i, f"body {i}") for i in range(25)], "id string, ord int, body string")
+    accepted = spark.createDataFrame([(f"i{i}", "{}", "m") for i in range(11)], "id string, parsed string, model string")
+    out = modelcall.recover(packet, accepted, modelcall.offline_batch_stub, ["m"]).orderBy("ord").collect()
+    assert [r.id for r in out] == [f"i{i}" for i in range(25)] and [r.recovered for r in out] == [i >= 11 for i in range(25)]
+    for bad in (accepted.union(accepted.limit(1)), spark.createDataFrame([("zz", "{}", "m")], "id string, parsed string, model string")):
+        with pytest.raises(ValueError):
+            modelcall.recover(packet, bad, modelcall.offline_batch_stub, ["m"])
+
+
+def test_judge_scores_are_typed(spark):
+    good = {"correctness": 2, "grounding": 1, "usefulness": 0, "routing_privacy": 2, "critical_failure": False, "rationale": "r"}
+    rows = [good, good | {"correctness": 2.0}, good | {"grounding": "1"}, good | {"usefulness": 3}, good | {"critical_failure": 0}, good | {"routing_privacy": True}, {k: v for k, v in good.items() if k != "grounding"}]
+    answers = spark.createDataFrame([(str(i), json.dumps(x, sort_keys=True), None) for i, x in enumerate(rows)] + [("e", None, "HTTP 500")], "id string, parsed string, api_error string")
+    got = {r.rating_id: r for r in modelcall.judge_scores(answers).collect()}
+    assert got["0"].correctness == 2 and got["0"].critical_failure is False and got["0"].api_error is None
+    assert all(got[str(i)].correctness is None and got[str(i)].api_error == "invalid judge scores" for i in range(1, 7)) and got["e"].api_error == "HTTP 500"
+    items = spark.createDataFrame([("a", "m", "d", "escalate", [])], "rating_id string, message string, draft string, route string, evidence array<string>")
+    one = modelcall.judge(items, modelcall.offline_judge, ["m"], "rubric").first()
+    assert one.api_error is None and one.correctness in (0, 1, 2)
+
+
+def test_secrets_never_show(spark):
+    secret = "s3cret-key"
+    assert secret not in str(modelcall.CallError(403, "x" * 380 + secret, (secret,))) and len(str(modelcall.CallError(403, "y" * 900))) == 400
+
+    def client(model, body):
+        raise ValueError(f"bad key {secret}")
+
+    asked = modelcall.with_fingerprint(spark.createDataFrame([("1", "x")], "id string, body string"), "m")
+    error = modelcall.call_misses(asked, client, ["m"], 1, secrets=(secret,)).first().api_error
+    assert secret not in error and "[redacted]" in error
+
+
+def test_pages_and_the_next_open_row(spark):
+    paged = threads.pages(spark.range(45), "id")
+    assert {(r.page, r.place) for r in paged.where("id in (0, 19, 20, 44)").collect()} == {(0, 1), (0, 20), (1, 1), (2, 5)}
+    rows = spark.createDataFrame([(1, False), (2, True), (3, None), (4, True)], "n int, done boolean")
+    assert threads.next_open(rows, 1).first().n == 3 and threads.next_open(rows, 3).first().n == 1
+    assert threads.next_open(rows.where("done"), 0).collect() == []
+
+
+def test_fresh_candidates(spark):
+    rows = [(1, None, True, "a b c d", 1), (2, 1, False, "x", 1), (3, None, True, "a b", 2), (4, 3, False, "x", 2), (5, None, True, "a b c d e", 3), (6, 5, False, "x", 3), (7, None, True, "never answered at all", 4), (8, None, True, None, None)]
+    table = spark.createDataFrame(rows, "id long, parent_id long, inbound boolean, text string, component_id long")
+    of = lambda *c: spark.createDataFrame([(x,) for x in c], "component_id long")
+    assert [tuple(r) for r in threads.fresh_candidates(table, [of(99)], of(3)).collect()] == [(1, 1)]
+    assert threads.fresh_candidates(table, [of(1), of(2)], of(3)).collect() == []
+
+
+def test_a_packet_is_made_again(spark):
+    items = [
+        ("r1", "model", "1", "The app stops", None, "auto_handle", "fine", "old!!", False, [("e1", "t"), ("e2", "u")]),
+        ("r2", "trivial", "2", "I was charged twice", None, "escalate", "", "old", False, []),
+        ("r3", "simple", "3", "hello there", None, "auto_handle", "", "Good  day!! /TB", False, [("e1", "t")]),
+        ("r4", "model", "4", "The app stops", None, "auto_handle", "fine", "old", False, [("e1", "t")]),
+    ]
+    kinds = "rating_id string, system string, id string, message string, intent string, route string, reason string, draft string, context_flagged boolean, evidence array<struct<id:string,text:string>>"
+    raw = [("1", "playback_app", "auto_handle", "fine", "Which device?", ["e2"], "clarification"), ("4", "playback_app", "auto_handle", "fine", "We've issued a refund", ["e1"], "answer")]
+    raw = spark.createDataFrame(raw, "id string, intent string, route string, reason string, draft string, evidence_ids array<string>, reply_kind string")
+    packet, key, changes = gate.packet_again(spark.createDataFrame(items, kinds), raw)
+    source = {r.rating_id: r.source_rating_id for r in key.collect()}
+    got = {source[r.rating_id]: r for r in packet.collect()}
+    assert len(source) == 4 and "system" not in packet.columns
+    assert got["r1"].draft == "Which device?" and [e.id for e in got["r1"].evidence] == ["e2"]
+    assert "privately" in got["r2"].draft and got["r3"].draft == "Good day!" and got["r4"].route == "escalate" and not got["r4"].evidence
+    edits = {source[r.rating_id]: r.adjustments for r in changes.collect()}
+    assert edits["r2"] == ["generic baseline handoff"] and "safety gate" in edits["r4"] and set(edits) == {"r1", "r2", "r3", "r4"}
+
+
 def test_stores(spark, tmp_path):
     events = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("b", "z", 2)], "k string, v string, updated_at int")
     assert {r.k: r.v for r in stores.latest(events, "k").collect()} == {"a": "y", "b": "z"}

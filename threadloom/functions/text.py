@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Entities that text columns hold in practice, and the patterns of links and handles.
 BASIC_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&amp;": "&"}
@@ -25,32 +22,63 @@ def unescape_basic(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(StringType())
-def _unescape_all(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(html.unescape, na_action="ignore")
+#: A character reference as HTML readers take it: by number, or by a name of up to 32 characters.
+REFERENCE = r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?))"
+_ITEM, _PAIR = "\x01", "\x02"
+#: Names of HTML 5 from Python's own table; those without a semicolon also hold as beginnings of a name, longest first.
+_NAMED = _ITEM.join(f"{k}{_PAIR}{v}" for k, v in sorted(html5.items()))
+_OPEN = _ITEM.join(f"{k}{_PAIR}{v}" for k, v in sorted(html5.items()) if not k.endswith(";"))
+_BEGINNINGS = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
+#: Numbers of the control range stand for what they are in code page 1252; 0 and 13 are themselves special.
+_CONTROL = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
+def _numbered(body: Column) -> Column:
+    """The character of a reference's number, `#65` or `#x41`; what is no character is empty, what is out of range U+FFFD."""
+    digits = F.regexp_replace(body, "^#[xX]?0*|;$", "")
+    hexed = F.regexp_like(body, F.lit("^#[xX]"))
+    n = F.when(digits == "", 0).when(F.length(digits) > 10, 1 << 40).when(hexed, F.conv(digits, 16, 10).cast("long")).otherwise(F.try_to_number(digits, F.lit("9999999999")).cast("long"))
+    code = F.lpad(F.hex(n), 8, "0")
+    special = F.element_at(F.str_to_map(F.lit(_ITEM.join(f"{k}{_PAIR}{v}" for k, v in _CONTROL.items())), F.lit(_ITEM), F.lit(_PAIR)), n.cast("string"))
+    none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+    outside = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.coalesce(special, F.when(outside, "\ufffd").when(none, "").otherwise(F.decode(F.unhex(code), "UTF-32")))
+
+
+def _referred(ref: Column) -> Column:
+    """What one reference stands for; itself where it is none."""
+    name = F.substr(ref, F.lit(2))
+    table = F.str_to_map(F.lit(_NAMED), F.lit(_ITEM), F.lit(_PAIR))
+    head = F.regexp_extract(name, _BEGINNINGS, 1)
+    out = F.when(name.startswith("#"), _numbered(name))
+    for entity, char in BASIC_ENTITIES.items():
+        out = out.when(ref == entity, char)
+    named = F.coalesce(F.element_at(table, name), F.when(head != "", F.concat(F.element_at(F.str_to_map(F.lit(_OPEN), F.lit(_ITEM), F.lit(_PAIR)), head), F.substr(name, F.length(head) + 1))), ref)
+    return out.otherwise(named)
 
 
 def unescape(text: Column) -> Column:
-    """The whole entity table, numeric references included: the one function that needs Python."""
-    return F.when(F.contains(text, F.lit("&")), _unescape_all(text)).otherwise(text)
+    """All character references decoded once, by the whole table of HTML 5 and by number."""
+    rest = F.split(text, REFERENCE, -1)
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r, i: F.concat(_referred(r), F.get(rest, i + 1)))
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(rest, F.lit(0)), F.array_join(decoded, ""))).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
-def clean(text: Column, decode=unescape_basic) -> Column:
+def clean(text: Column, decode=unescape) -> Column:
     """Entities decoded; links and handles out; white space collapsed. Case is kept."""
     return collapse(F.regexp_replace(decode(text), LINK_OR_HANDLE, " "))
 
 
-def tokens(text: Column, decode=unescape_basic) -> Column:
+def tokens(text: Column, decode=unescape) -> Column:
     """Lower-cased Unicode words without links and handles."""
     return F.regexp_extract_all(F.regexp_replace(F.lower(decode(text)), LINK_OR_HANDLE, " "), F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
-def normalized(text: Column, decode=unescape_basic) -> Column:
+def normalized(text: Column, decode=unescape) -> Column:
     return F.array_join(tokens(text, decode), " ")
 
 
@@ -66,7 +94,7 @@ def last_turns(context: Column, n: int = 4) -> Column:
     return F.slice(context, F.greatest(F.size(context) - (n - 1), F.lit(1)), n)
 
 
-def input_text(context_texts: Column, message: Column, decode=unescape_basic) -> Column:
+def input_text(context_texts: Column, message: Column, decode=unescape) -> Column:
     """The last four earlier texts, then the message twice, cleaned."""
     return clean(F.concat_ws(" ", F.array_join(last_turns(context_texts), " "), message, message), decode)
 
@@ -78,6 +106,7 @@ def privacy_redact(text: Column) -> Column:
     return F.regexp_replace(text, HANDLE, "[user]")
 
 
+# The patterns and the two replacement phrases of these edits.
 def polish(text: Column) -> Column:
     """Surface edits of a draft, in order: placeholder, jargon, signature, exclamation marks, blanks."""
     text = F.regexp_replace(F.trim(text), r"(?i)^(?:@user|\[user\])\s*[:,\-]?\s*", "")

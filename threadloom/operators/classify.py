@@ -52,7 +52,8 @@ class IntentClassifier:
         self.model: LogisticRegressionModel = model.fit(rows)
 
     def _vectors(self, docs: DataFrame) -> DataFrame:
-        w = self.space.transform(docs.select("id", "text")).join(F.broadcast(self.terms), "term")
+        rows = self.space.transform(docs.select("id", "text")).select("id", F.explode("v").alias("x")).select("id", "x.term", "x.w")
+        w = rows.join(F.broadcast(self.terms), "term")
         pairs = w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("index", "w"))).alias("pairs"))
         none = F.array().cast("array<struct<index:int,w:double>>")
         return docs.select("id").join(pairs, "id", "left").select("id", _vector(F.coalesce("pairs", none), F.lit(self.size)).alias("features"))

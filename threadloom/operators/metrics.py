@@ -103,20 +103,25 @@ def rating_summary(ratings: DataFrame, by: str = "system") -> DataFrame:
 
 
 def fresh_report(ratings: DataFrame, expected: int) -> DataFrame:
-    """One row over complete ratings; too few of them is an error."""
+    """One row of counts and means over complete ratings; too few of them is an error. fresh_failures names the ratings."""
     done = complete(ratings)
     n = done.count()
     if n != expected:
         raise ValueError(f"ratings are incomplete: {n}/{expected}")
     total = sum((F.col(c) for c in DIMENSIONS[1:]), F.col(DIMENSIONS[0]))
     passed = overall_pass()
-    ids = lambda holds: F.array_sort(F.collect_list(F.when(holds, F.col("rating_id"))))
     return done.agg(
         F.count("*").alias("n"), F.count_if(passed).alias("pass_count"), F.avg(passed.cast("int")).alias("pass_rate"), F.count_if("critical_failure").alias("critical_failure_count"),
-        F.count_if(total < 8).alias("nonperfect_count"), ids(total < 8).alias("nonperfect_rating_ids"), ids(~passed).alias("failed_rating_ids"), *(F.avg(c).alias(f"mean_{c}") for c in DIMENSIONS),
+        F.count_if(total < 8).alias("nonperfect_count"), *(F.avg(c).alias(f"mean_{c}") for c in DIMENSIONS),
     )
 
 
+def fresh_failures(ratings: DataFrame) -> DataFrame:
+    """(rating_id, failed, critical) of the complete ratings that are not perfect, a row each."""
+    total = sum((F.col(c) for c in DIMENSIONS[1:]), F.col(DIMENSIONS[0]))
+    return complete(ratings).where((total < 8) | ~overall_pass()).select("rating_id", (~overall_pass()).alias("failed"), F.col("critical_failure").alias("critical"))
+
+
 def agreement(human: DataFrame, judge: DataFrame) -> DataFrame:
     """Both (rating_id, four scores) -> n, exact agreement and linearly weighted kappa of each dimension.
 

@@ -52,7 +52,10 @@ def freeze(spark: SparkSession, path: str, manifest: dict, keys: tuple[str, ...]
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Replaces a table by a renamed new version; the former one stays beside it as `.bak` until then complete."""
+    """Replaces a table by a renamed new version; the former one stays beside it as `.bak`.
+
+    A rename that the file system refuses is an error, and the former table is put back.
+    """
     spark = df.sparkSession
     make = spark._jvm.org.apache.hadoop.fs.Path
     fresh, final, backup = make(f"{path}.{uuid.uuid4().hex}"), make(path), make(f"{path}.bak")
@@ -60,5 +63,9 @@ def publish(df: DataFrame, path: str) -> None:
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(final):
         fs.delete(backup, True)
-        fs.rename(final, backup)
-    fs.rename(fresh, final)
+        if not fs.rename(final, backup):
+            raise OSError(f"{final} could not be moved away")
+    if not fs.rename(fresh, final):
+        if fs.exists(backup):
+            fs.rename(backup, final)
+        raise OSError(f"{fresh} could not be put in the place of {final}")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, modelcall, retrieval, similarity, threads
 from ..operators import sampling as S
+from ..schemas import DIMENSIONS
 from ..session import cut, table
 from . import fixtures as X
 from .text_queries import _tokens
@@ -51,11 +54,11 @@ def reply_pairs(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.conv_id, a.turn, coalesce(string_agg(b.text, ' | ' ORDER BY b.turn), '') AS context, count(b.turn) AS n FROM conversations a
   LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 4 GROUP BY a.conv_id, a.turn""")
 def prior_context_last4(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations")
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
-    met = turns.select("conv_id", "turn").join(whole, "conv_id")
-    near = F.filter("all", lambda x: (x["turn"] < F.col("turn")) & (x["turn"] >= F.col("turn") - 4))
-    return met.select("conv_id", "turn", F.array_join(F.transform(near, lambda x: x["text"]), " | ").alias("context"), F.size(near).cast("long").alias("n"))
+    """A frame by turn numbers: no conversation is gathered in one row, and each turn holds four others at most."""
+    before = Window.partitionBy("conv_id").orderBy(F.col("turn").cast("long")).rangeBetween(-4, -1)
+    near = F.array_sort(F.collect_list(F.struct("turn", "text")).over(before))
+    turns = table(spark, d, "conversations").withColumn("near", near)
+    return turns.select("conv_id", "turn", F.array_join(F.transform("near", lambda x: x["text"]), " | ").alias("context"), F.size("near").cast("long").alias("n"))
 
 
 _CHAINS = X.values_sql(X.CHAINS, X.CHAIN_COLUMNS)
@@ -121,9 +124,20 @@ b AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g
 p AS (SELECT a, b, c FROM b JOIN sn na ON na.id = a JOIN sn nb ON nb.id = b WHERE c * 100 >= (na.n + nb.n - c) * 80)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, c AS common FROM p")
+_CLASS = """k AS (SELECT id, min(id) OVER (PARTITION BY m) AS class_id FROM (SELECT id, md5(string_agg(g, chr(10) ORDER BY g)) AS m FROM s GROUP BY id))"""
+
+
+@query(f"WITH {_PAIRS}, {_CLASS} SELECT a, b, c AS common FROM p WHERE a IN (SELECT class_id FROM k) AND b IN (SELECT class_id FROM k)")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.similar_pairs(_docs(spark, d)).select("a", "b", F.col("both").cast("long").alias("common"))
+    """Pairs between classes of equal shingle sets, named by their smallest ids; near_dup_links has who is in which."""
+    return similarity.similar_classes(_docs(spark, d)).pairs.select("a", "b", F.col("both").cast("long").alias("common"))
+
+
+@query(f"""WITH {_PAIRS}, {_CLASS}, n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+SELECT k.id AS doc_id, class_id, coalesce(n, 0) AS n_links FROM k LEFT JOIN n ON n.id = k.id""")
+def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's class, and how many other documents it is similar to."""
+    return similarity.similar_classes(_docs(spark, d)).links().select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 @query(f"""
@@ -133,10 +147,14 @@ reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT two.
 SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node""")
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    out = graph.connected_components(similarity.similar_pairs(docs).select("a", "b"), docs.select(F.col("id").alias("node")))
+    out = graph.connected_components(similarity.similar_classes(docs).edges(), docs.select(F.col("id").alias("node")))
     return out.select(F.col("node").alias("doc_id"), "component_id")
 
 
+_HITS = f"""{_gram_sql('s', 'documents', 'doc_id')}, {_gram_sql('q', 'benchmark', 'item_id')},
+hit AS (SELECT DISTINCT x.id FROM (SELECT s.id, q.id AS qid, count(*) AS c FROM s JOIN q ON s.g = q.g GROUP BY s.id, q.id) x JOIN sn ON sn.id = x.id JOIN qn ON qn.id = x.qid WHERE c * 100 >= (sn.n + qn.n - c) * 80)"""
+
+
 @query(f"""
 WITH {_gram_sql('s', 'documents', 'doc_id')}, {_gram_sql('q', 'benchmark', 'item_id')},
 hit AS (SELECT DISTINCT x.id FROM (SELECT s.id, q.id AS qid, count(*) AS c FROM s JOIN q ON s.g = q.g GROUP BY s.id, q.id) x JOIN sn ON sn.id = x.id JOIN qn ON qn.id = x.qid WHERE c * 100 >= (sn.n + qn.n - c) * 80)
@@ -146,7 +164,7 @@ def benchmark_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return similarity.dissimilar(_docs(spark, d), taken).select(F.col("id").alias("doc_id"))
 
 
-@query()
+@query(f"WITH {_HITS} SELECT doc_id FROM documents WHERE (source, lang) NOT IN (SELECT (source, lang) FROM documents WHERE doc_id IN (SELECT id FROM hit))")
 def benchmark_component_scrub(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat_ws("/", "source", "lang").alias("component"))
     return similarity.scrub_components(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("doc_id"))
@@ -161,16 +179,28 @@ def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def _greedy(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    ranked = S.hash_rank(docs.select("id"), "id")
-    return similarity.greedy_independent(ranked, similarity.similar_pairs(docs).select("a", "b"))
+    return similarity.greedy_dedupe(docs, S.hash_rank(docs.select("id"), "id"))
 
 
-@query()
+_GREEDY = f"""{_PAIRS},
+o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS rank FROM documents),
+two AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+e AS (SELECT x.rank AS rank, list(y.rank) AS earlier FROM two JOIN o x ON x.id = two.a JOIN o y ON y.id = two.b WHERE y.rank < x.rank GROUP BY x.rank),
+w AS (SELECT rank, earlier, row_number() OVER (ORDER BY rank) AS k FROM e),
+out AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+  UNION ALL SELECT out.k + 1, CASE WHEN len(list_filter(w.earlier, lambda r: NOT list_contains(out.gone, r))) > 0 THEN list_append(out.gone, w.rank) ELSE out.gone END FROM out JOIN w ON w.k = out.k + 1),
+gone AS (SELECT unnest(gone) AS rank FROM (SELECT gone FROM out ORDER BY k DESC LIMIT 1)),
+g AS (SELECT id, rank, rank NOT IN (SELECT rank FROM gone) AS accepted FROM o)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT id AS doc_id, rank, accepted FROM g")
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return _greedy(spark, d).select(F.col("id").alias("doc_id"), "rank", "accepted")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GREEDY}, n AS (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM g WHERE accepted)
+SELECT id AS doc_id, rank, CASE WHEN n <= 50 THEN 'dev' WHEN n <= 170 THEN 'test_representative' ELSE 'test_challenge' END AS split FROM n WHERE n <= 200""")
 def quota_split(spark: SparkSession, d: str) -> DataFrame:
     kept = _greedy(spark, d).where("accepted").select("id", "rank")
     return S.quota(kept, "rank", {"dev": 50, "test_representative": 120, "test_challenge": 30}).select(F.col("id").alias("doc_id"), "rank", "split")
@@ -255,12 +285,75 @@ def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("conv_id", "turn", F.lit(True).alias("hit")).union(misses.select("conv_id", "turn", F.lit(False).alias("hit")))
 
 
-@query()
-def model_call_stub(spark: SparkSession, d: str) -> DataFrame:
-    """User turns through payload, fingerprint, stub client and output contract; failed rows fall back to a hand-off."""
+# ---- calls of a model -----------------------------------------------------------------------
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
     turns = _turns(spark, d).where("inbound")
-    body = F.to_json(F.struct(T.privacy_redact(F.col("text")).alias("message")))
-    requests = modelcall.with_fingerprint(turns.select(_number(F.col("id")).cast("string").alias("id"), body.alias("body")), "stub")
+    return turns.select(_number(F.col("id")).cast("string").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("body"), "conv_id", F.col("ts").alias("turn"))
+
+
+_ASKED = "(SELECT (conv_id * 1000 + turn)::VARCHAR AS id, sha256(coalesce(text, '')) AS body, conv_id, turn FROM conversations WHERE role = 'user')"
+_REASON = "'stub ' || substr(sha256(body), 1, 8)"
+
+
+@query(f"SELECT id, sha256('stub' || chr(10) || body) AS fingerprint, 'other_unclear' AS intent, 'escalate' AS route, {_REASON} AS reason, 'stub' AS model FROM {_ASKED}")
+def model_call_stub(spark: SparkSession, d: str) -> DataFrame:
+    """User turns through fingerprint, stub client and output contract; failed rows fall back to a hand-off."""
+    requests = modelcall.with_fingerprint(_asked(spark, d).select("id", "body"), "stub")
     answers = cut(modelcall.call_misses(requests, modelcall.offline_stub, ["stub"]), "answers")
     out = requests.select("id", "fingerprint").join(answers.drop("id"), "fingerprint", "left").withColumn("p", modelcall.parsed_output("parsed"))
-    return out.select("id", "fingerprint", F.coalesce("p.intent", F.lit("other_unclear")).alias("intent"), F.coalesce("p.route", F.lit("escalate")).alias("route"), F.coalesce("p.reason", F.lit("generation unavailable")).alias("reason"), "model", "api_error")
+    return out.select("id", "fingerprint", F.coalesce("p.intent", F.lit("other_unclear")).alias("intent"), F.coalesce("p.route", F.lit("escalate")).alias("route"), F.coalesce("p.reason", F.lit("generation unavailable")).alias("reason"), "model")
+
+
+@query(f"SELECT id, {_REASON} AS reason, 'escalate' AS route FROM {_ASKED}")
+def batched_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty turns to a request; each answer has to name exactly the ids that were asked."""
+    answers = modelcall.call_batches(_asked(spark, d).select("id", "body"), modelcall.offline_batch_stub, ["stub"], 20)
+    return answers.withColumn("p", modelcall.parsed_output("parsed")).select("id", "p.reason", "p.route")
+
+
+@query(f"SELECT id, CASE WHEN turn = 0 THEN 'kept' ELSE {_REASON} END AS reason, turn > 0 AS recovered FROM {_ASKED}")
+def recovered_run(spark: SparkSession, d: str) -> DataFrame:
+    """First turns were answered by a run that broke off; the others are asked in batches of ten."""
+    asked = _asked(spark, d)
+    kept = F.to_json(F.struct(F.lit("other_unclear").alias("intent"), F.lit("escalate").alias("route"), F.lit("kept").alias("reason"), F.lit("").alias("draft"), F.array().cast("array<string>").alias("evidence_ids"), F.lit("handoff").alias("reply_kind")))
+    accepted = asked.where("turn = 0").select("id", kept.alias("parsed"), F.lit("stub").alias("model"))
+    packet = S.numbered(asked.select("id", "body"), "id", name="ord")
+    out = modelcall.recover(packet, accepted, modelcall.offline_batch_stub, ["stub"])
+    return out.withColumn("p", modelcall.parsed_output("parsed")).select("id", "p.reason", "recovered")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations)
+SELECT conv_id, turn, (n - 1) // 20 AS page, ((n - 1) % 20 + 1)::INTEGER AS place, CASE WHEN n >= 100 THEN 'second' ELSE 'first' END AS model FROM n""")
+def packet_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of twenty in packet order, and the client that each position is asked with."""
+    paged = threads.pages(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+    ordered = paged.withColumn("ord", F.col("page") * 20 + F.col("place"))
+    return modelcall.by_position(ordered, 100, "first", "second").drop("ord")
+
+
+@query(f"""WITH t AS (SELECT * FROM {_TURNS})
+SELECT DISTINCT c.conv_id AS component_id, c.id FROM t c JOIN t s ON s.parent_id = c.id WHERE c.inbound AND NOT s.inbound AND len({_tokens('c.text')}) >= 4
+  AND c.conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') AND c.conv_id NOT IN (SELECT conv_id FROM conversations WHERE contains(text, '!'))""")
+def fresh_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Answered user turns of four words or more; conversations with a system turn stand for used ones, those with an exclamation mark for mixed ones."""
+    every = table(spark, d, "conversations").select(F.col("conv_id").alias("component_id"), "role", "text")
+    rows = _turns(spark, d).withColumn("component_id", F.col("conv_id"))
+    out = threads.fresh_candidates(rows, [every.where("role = 'system'")], every.where(F.contains("text", F.lit("!"))))
+    return out.select("component_id", _number(F.col("id")).alias("id"))
+
+
+_RUBRIC = "two for each of four"
+
+
+@query(f"""WITH b AS (SELECT id, sha256('{{"rubric":"{_RUBRIC}","message":"' || body || '","draft":"' || id || '","route":"escalate","evidence":[]}}') AS h FROM {_ASKED})
+SELECT id AS rating_id, {', '.join(f"(('0x' || substr(h, {2 * i + 1}, 2))::INTEGER % 3)::INTEGER AS {c}" for i, c in enumerate(DIMENSIONS))}, ('0x' || substr(h, 19, 2))::INTEGER % 16 = 0 AS critical_failure FROM b""")
+def judge_run(spark: SparkSession, d: str) -> DataFrame:
+    """A judge's scores of a draft for each user turn, fifteen to a request, from a stub that scores by hash."""
+    items = _asked(spark, d).select(F.col("id").alias("rating_id"), F.col("body").alias("message"), F.col("id").alias("draft"), F.lit("escalate").alias("route"), F.array().cast("array<string>").alias("evidence"))
+
+    def client(model: str, body: str) -> tuple[dict, dict]:
+        return {"results": [{"id": x["id"], **modelcall.offline_judge(model, x["body"])[0]} for x in json.loads(body)["items"]]}, {"model": model}
+
+    return modelcall.judge(items, client, ["stub"], _RUBRIC, batch=15).select("rating_id", *DIMENSIONS, "critical_failure")

@@ -179,12 +179,24 @@ def rating_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
-@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE {_PASS}) AS pass_count, count(*) FILTER (WHERE {_TOTAL} < 8) AS nonperfect_count, count(*) FILTER (WHERE critical_failure) AS critical_failure_count,
-  array_to_string(list_sort(list(rating_id) FILTER (WHERE NOT {_PASS})), ',') AS failed FROM {_rater_sql(0)} WHERE {_DONE}""")
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE {_PASS}) AS pass_count, count(*) FILTER (WHERE {_TOTAL} < 8) AS nonperfect_count, count(*) FILTER (WHERE critical_failure) AS critical_failure_count
+  FROM {_rater_sql(0)} WHERE {_DONE}""")
 def fresh_report(spark: SparkSession, d: str) -> DataFrame:
     done = metrics.complete(_rater(spark, d, 0))
-    out = metrics.fresh_report(done, done.count())
-    return out.select("n", "pass_count", "nonperfect_count", "critical_failure_count", F.array_join("failed_rating_ids", ",").alias("failed"))
+    return metrics.fresh_report(done, done.count()).select("n", "pass_count", "nonperfect_count", "critical_failure_count")
+
+
+@query(f"SELECT rating_id, NOT {_PASS} AS failed, critical_failure AS critical FROM {_rater_sql(0)} WHERE {_DONE} AND ({_TOTAL} < 8 OR NOT {_PASS})")
+def fresh_failures(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.fresh_failures(_rater(spark, d, 0))
+
+
+@query("""WITH r AS (SELECT d.doc_id, n_chars % 7 = 0 AS changed, toxic = 1 AS critical FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT count(*) AS n, count(*) FILTER (WHERE changed) AS drafts_changed, count(*) FILTER (WHERE critical) AS previously_critical, count(*) FILTER (WHERE changed AND critical) AS previously_critical_changed FROM r""")
+def replay_summary(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    new = docs.select("doc_id", F.when(F.col("n_chars") % 7 == 0, F.lit(None).cast("string")).otherwise("a").alias("draft"))
+    return gate.replay_summary(docs.select("doc_id", F.lit("a").alias("draft")), new, "doc_id", table(spark, d, "labels").where("toxic = 1").select("doc_id"))
 
 
 @query("""SELECT conv_id, last_role, last_text FROM (SELECT conv_id, role AS last_role, md5(text) AS last_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1""")

@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import gate as G
 from ..operators import sampling as S
+from ..schemas import INTENTS
 from ..session import cut, table
 from . import fixtures as X
 
@@ -63,29 +64,27 @@ def html_unescape_basic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(T.unescape_basic(F.col("html")), 256).alias("html_sha256"))
 
 
-@query()
+@query(f"SELECT page_id, {_unescape('html')} AS html FROM pages")
 def html_unescape_full(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL knows the entities that pages hold; the whole table is tested against Python's decoder."""
     return table(spark, d, "pages").select("page_id", T.unescape(F.col("html")).alias("html"))
 
 
-_REDACT = r"""regexp_replace(regexp_replace(regexp_replace(text, '[\p{L}\p{N}\p{M}_.+-]+@[\p{L}\p{N}\p{M}_.-]+\.[A-Za-z]{2,}', '[email redacted]', 'g'),
-  '(^|[^\p{L}\p{N}\p{M}_])([0-9][ -]?){8,15}[0-9]($|[^\p{L}\p{N}\p{M}_])', '\1[number redacted]\3', 'g'), '@[\p{L}\p{N}\p{M}_]+', '[user]', 'g')"""
+_EMAIL = r"[\p{L}\p{N}\p{M}_.+-]+@[\p{L}\p{N}\p{M}_.-]+\.[A-Za-z]{2,}"
+#: SQL's word boundaries know ASCII only, so a word of ASCII letters is put between digits and letters, and taken out at the end.
+_MARKED = rf"""regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '[email redacted]', 'g'), '([\p{{L}}\p{{M}}])([0-9])', '\1ZQJX\2', 'g'), '([0-9][ -]?)([\p{{L}}\p{{M}}])', '\1ZQJX\2', 'g')"""
+_NUMBERS = rf"regexp_replace({_MARKED}, '\b([0-9][ -]?){{9,16}}\b', '[number redacted]', 'g')"
 
 
-@query(r"""
-SELECT doc_id, regexp_matches(text, '[\p{L}\p{N}\p{M}_.+-]+@[\p{L}\p{N}\p{M}_.-]+\.[A-Za-z]{2,}') AS had_email,
-  regexp_replace(regexp_replace(text, '[\p{L}\p{N}\p{M}_.+-]+@[\p{L}\p{N}\p{M}_.-]+\.[A-Za-z]{2,}', '[email redacted]', 'g'), '@[\p{L}\p{N}\p{M}_]+', '[user]', 'g') AS redacted
-FROM documents WHERE NOT regexp_matches(text, '[0-9]([ -]?[0-9]){8}')""")
+@query(rf"SELECT doc_id, regexp_matches(text, '{_EMAIL}') AS had_email, regexp_replace(replace({_NUMBERS}, 'ZQJX', ''), '@[\p{{L}}\p{{N}}\p{{M}}_]+', '[user]', 'g') AS redacted FROM documents")
 def privacy_redact(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without long digit runs, whose boundaries SQL's patterns cannot tell; those are in privacy_numbers."""
-    docs = table(spark, d, "documents").where(~F.regexp_like("text", F.lit("[0-9]([ -]?[0-9]){8}")))
-    return docs.select("doc_id", F.regexp_like("text", F.lit(T.EMAIL)).alias("had_email"), T.privacy_redact(F.col("text")).alias("redacted"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_like("text", F.lit(T.EMAIL)).alias("had_email"), T.privacy_redact(F.col("text")).alias("redacted"))
 
 
-@query()
+@query(rf"SELECT doc_id, len(regexp_extract_all({_MARKED}, '\b([0-9][ -]?){{9,16}}\b'))::BIGINT AS n_numbers FROM documents")
 def privacy_numbers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.regexp_like("text", F.lit("[0-9]([ -]?[0-9]){8}")))
-    return docs.select("doc_id", T.privacy_redact(F.col("text")).alias("redacted"))
+    without = F.regexp_replace("text", T.EMAIL, "[email redacted]")
+    return table(spark, d, "documents").select("doc_id", F.regexp_count(without, F.lit(T.LONG_NUMBER)).cast("long").alias("n_numbers"))
 
 
 @query(f"""
@@ -138,10 +137,15 @@ def request_batches(spark: SparkSession, d: str) -> DataFrame:
     return S.numbered(turns, "conv_id", "turn", name="n").select("conv_id", "turn", F.floor((F.col("n") - 1) / 20).cast("int").alias("batch"))
 
 
-# ---- rules on our own messages --------------------------------------------------------------
+# ---- rules on all user turns, and on messages of our own that the tables' prose never meets -----
 
-_MESSAGES = X.values_sql(X.MESSAGES, X.MESSAGE_COLUMNS)
-_OUTPUTS = X.values_sql(X.OUTPUTS, X.OUTPUT_COLUMNS)
+_INTENTS = "[" + ", ".join(map(_quote, INTENTS)) + "]"
+_TURN = "1000000 + conv_id * 1000 + turn"
+_MESSAGES = f"""(SELECT id::BIGINT AS id, message, intent, flagged, has_parent FROM {X.values_sql(X.MESSAGES, X.MESSAGE_COLUMNS)}
+  UNION ALL SELECT {_TURN}, text, {_INTENTS}[length(text) % {len(INTENTS)} + 1], turn % 4 = 2, turn > 0 FROM conversations WHERE role = 'user')"""
+_OUTPUTS = f"""(SELECT id::BIGINT AS id, intent, route, reason, draft, evidence_ids, reply_kind, allowed_ids FROM {X.values_sql(X.OUTPUTS, X.OUTPUT_COLUMNS)}
+  UNION ALL SELECT {_TURN}, {_INTENTS}[length(text) % {len(INTENTS)} + 1], CASE WHEN length(text) % 3 = 0 THEN 'auto_handle' ELSE 'escalate' END, 'fine', text,
+    CASE WHEN length(text) % 2 = 0 THEN ['a'] ELSE []::VARCHAR[] END, 'answer', ['a'] FROM conversations WHERE role = 'user')"""
 _EDGE = r"[^\p{L}\p{N}\p{M}_]"
 
 
@@ -171,18 +175,32 @@ s AS (
     CASE WHEN distress THEN 0 ELSE good END AS positive_hits, CASE WHEN distress THEN 1 ELSE bad END AS negative_hits FROM h)"""
 
 
-def _messages(spark: SparkSession) -> DataFrame:
-    return X.rows(spark, X.MESSAGES, X.MESSAGE_COLUMNS)
+def _user_turns(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    intent = F.get(F.array(*map(F.lit, INTENTS)), F.length("text") % len(INTENTS))
+    return turns.select((F.lit(1000000) + F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), "text", intent.alias("intent"), "turn")
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    own = X.rows(spark, X.MESSAGES, X.MESSAGE_COLUMNS).withColumn("id", F.col("id").cast("long"))
+    return own.union(_user_turns(spark, d).select("id", F.col("text").alias("message"), "intent", (F.col("turn") % 4 == 2).alias("flagged"), (F.col("turn") > 0).alias("has_parent")))
+
+
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    own = X.rows(spark, X.OUTPUTS, X.OUTPUT_COLUMNS).withColumn("id", F.col("id").cast("long"))
+    n = F.length("text")
+    cited = F.when(n % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    return own.union(_user_turns(spark, d).select("id", "intent", F.when(n % 3 == 0, "auto_handle").otherwise("escalate"), F.lit("fine"), "text", cited, F.lit("answer"), F.array(F.lit("a"))))
 
 
 @query(f"WITH {_SENTIMENT} SELECT id, label, score, intensity, positive_hits, negative_hits FROM s")
 def sentiment_signal(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark).select("id", R.sentiment(F.col("message")).alias("s")).select("id", "s.*")
+    return _messages(spark, d).select("id", R.sentiment(F.col("message")).alias("s")).select("id", "s.*")
 
 
 @query(f"WITH {_SENTIMENT} SELECT intent, label, count(*) AS n FROM s GROUP BY intent, label")
 def sentiment_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark).select("intent", R.sentiment(F.col("message"))["label"].alias("label")).groupBy("intent", "label").agg(F.count("*").alias("n"))
+    return _messages(spark, d).select("intent", R.sentiment(F.col("message"))["label"].alias("label")).groupBy("intent", "label").agg(F.count("*").alias("n"))
 
 
 _LEXICON = R.Lexicon(positive=("the", "und", "les"), negative=("idiot", "trash"), positive_signs=(), negative_signs=())
@@ -207,13 +225,13 @@ def _risk(message: str, intent: str, flagged: str) -> str:
 
 @query(f"SELECT id, {_risk('message', 'intent', 'flagged')} AS reason FROM {_MESSAGES}")
 def risk_reason(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark).select("id", R.risk_reason(F.col("message"), F.col("intent"), F.col("flagged")).alias("reason"))
+    return _messages(spark, d).select("id", R.risk_reason(F.col("message"), F.col("intent"), F.col("flagged")).alias("reason"))
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(lower(message), {_quote(R.CHALLENGE_SENSITIVE)}) THEN 'security_privacy_or_sensitive_terms'
   WHEN len({_tokens('message')}) <= 3 AND has_parent THEN 'short_followup' WHEN regexp_matches(lower(message), {_quote(R.CHALLENGE_REPEAT)}) THEN 'repeated_issue_terms' END AS reason FROM {_MESSAGES}""")
 def challenge_reason(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark).select("id", R.challenge_reason(F.col("message"), F.col("has_parent")).alias("reason"))
+    return _messages(spark, d).select("id", R.challenge_reason(F.col("message"), F.col("has_parent")).alias("reason"))
 
 
 _TONE = "CASE label " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in R.TONE.items()) + " END"
@@ -221,7 +239,7 @@ _TONE = "CASE label " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v i
 
 @query(f"WITH {_SENTIMENT} SELECT id, {_TONE} AS guidance FROM s")
 def tone_guidance(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark).select("id", R.tone_guidance(R.sentiment(F.col("message"))["label"]).alias("guidance"))
+    return _messages(spark, d).select("id", R.tone_guidance(R.sentiment(F.col("message"))["label"]).alias("guidance"))
 
 
 def _polish(x: str) -> str:
@@ -234,8 +252,7 @@ def _polish(x: str) -> str:
 
 @query(f"SELECT id, {_polish('draft')} AS polished, {_polish('draft')} <> trim(draft) AS edited FROM {_OUTPUTS}")
 def polish_draft(spark: SparkSession, d: str) -> DataFrame:
-    out = X.rows(spark, X.OUTPUTS, X.OUTPUT_COLUMNS)
-    return out.select("id", T.polish(F.col("draft")).alias("polished"), T.was_polished(F.col("draft")).alias("edited"))
+    return _outputs(spark, d).select("id", T.polish(F.col("draft")).alias("polished"), T.was_polished(F.col("draft")).alias("edited"))
 
 
 def _key(message: str, intent: str, reason: str, label: str) -> str:
@@ -251,16 +268,19 @@ def _key(message: str, intent: str, reason: str, label: str) -> str:
     WHEN {intent} = 'other_unclear' AND ({label} = 'positive' OR {resolved}) THEN 'resolved' WHEN {intent} = 'other_unclear' OR {says('unclear')} THEN 'unclear' WHEN {unhappy} THEN 'sorry' ELSE 'thanks' END"""
 
 
-@query(f"WITH {_SENTIMENT} SELECT id, {_key('message', 'intent', 'NULL', 'label')} AS handoff_key FROM s")
-def handoff_draft(spark: SparkSession, d: str) -> DataFrame:
-    label = R.sentiment(F.col("message"))["label"]
-    return _messages(spark).select("id", R.handoff_key(F.col("message"), F.col("intent"), F.lit(None).cast("string"), label).alias("handoff_key"))
+_COPY = "CASE k " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in R.HANDOFF_COPY.items()) + " END"
 
 
-_ACTION = R.UNSUPPORTED_ACTION.replace("(?i)", "").replace("(?:", "(").replace("'", "''")
-_COPY = "CASE k " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in R.HANDOFF_COPY.items()) + " END"
+@query(f"""WITH {_SENTIMENT}, r AS (SELECT *, {_risk('message', 'intent', 'flagged')} AS risk FROM s), k AS (SELECT *, {_key('message', 'intent', 'risk', 'label')} AS k FROM r)
+SELECT id, k AS handoff_key, {_COPY} AS draft FROM k""")
+def handoff_draft(spark: SparkSession, d: str) -> DataFrame:
+    """The copy of a hand-off of each message, for the reason that its risk check gives."""
+    rows = _messages(spark, d).withColumns({"label": R.sentiment(F.col("message"))["label"], "risk": R.risk_reason(F.col("message"), F.col("intent"), F.col("flagged"))})
+    keyed = rows.select("id", R.handoff_key(F.col("message"), F.col("intent"), F.col("risk"), F.col("label")).alias("handoff_key"))
+    return keyed.withColumn("draft", R.handoff_draft(F.col("handoff_key")))
 
 
+_ACTION = R.UNSUPPORTED_ACTION.replace("(?i)", "").replace("(?:", "(").replace("'", "''")
 @query(f"""
 WITH {_SENTIMENT},
 o AS (SELECT o.*, s.message, s.flagged, s.label, {_polish('o.draft')} AS p FROM {_OUTPUTS} o JOIN s ON s.id = o.id),
@@ -275,6 +295,6 @@ SELECT id, CASE WHEN bad THEN 'escalate' ELSE route END AS route, CASE WHEN bad
   CASE WHEN bad OR generic THEN {_COPY} ELSE p END AS draft, CASE WHEN bad THEN 'handoff' ELSE reply_kind END AS reply_kind, CASE WHEN bad THEN '' ELSE array_to_string(evidence_ids, ',') END AS cited,
   array_to_string(viol, ';') AS violations FROM k""")
 def gate_outputs(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.rows(spark, X.OUTPUTS, X.OUTPUT_COLUMNS).join(_messages(spark).select("id", "message", F.col("flagged").alias("context_flagged")), "id")
+    rows = _outputs(spark, d).join(_messages(spark, d).select("id", "message", F.col("flagged").alias("context_flagged")), "id")
     out = G.gate(rows)
     return out.select("id", "route", "reason", "draft", "reply_kind", F.array_join("evidence_ids", ",").alias("cited"), F.array_join("output_check_violations", ";").alias("violations"))

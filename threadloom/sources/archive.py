@@ -69,15 +69,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def markdown(report: DataFrame, title: str = "", limit: int = 1000) -> str:
-    """A small report as a Markdown table, floats with three digits, null as a dash."""
+def markdown(report: DataFrame, title: str = "", most: int = 10_000) -> str:
+    """A report as a Markdown table, floats with three digits, null as a dash. A report of more rows than `most` is an error, as it is made on the driver."""
 
     def cell(x) -> str:
         if x is None or isinstance(x, float) and math.isnan(x):
             return "–"
         return f"{x:.3f}" if isinstance(x, float) else str(x)
 
-    rows = report.limit(limit).collect()
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the report has more than {most} rows")
     lines = [f"## {title}", ""] if title else []
     lines += ["| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
