@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
-from .core import BROADCAST_IDS, clear_of, cut, discard, n_words
+from .core import clear_of, cut, discard, n_words
 
 CAP = 3
 ONE = 1 << 30  # a whole copy in fixed point
 BINS = 8  # for each doubling of the size
 CELL, CELLS = 2_000, 4_096  # documents of one cell, about, and the most cells of a bin
 CHOICES = 4  # documents of a bin that corrections may choose from
+SMALL = 200_000  # rows of a table that is broadcast, some 20 MB; beyond it the join is a shuffle
 SUM = 1 << 20  # a word in the dual's sums, which are of whole numbers
 ROUNDS, CLOSE = 100, 1e-9
 
@@ -114,7 +115,7 @@ def _correct(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_IDS else df
+    return F.broadcast(df) if n <= SMALL else df
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
