@@ -1,7 +1,12 @@
 """A corpus pipeline out of the operators of threadloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last keep the columns of documents.
+again as the next stage's docs. All but the last keep the columns of documents, and any others.
+
+Defined cases: null and empty texts are clean, have no lines to lose, are linked with nothing, weigh
+nothing (so the mix takes none of them) and would encode to the end id; a null doc_id is never a
+copy; a null source is a source of its own; repeated rows stay until near copies are dropped and, as
+they have one id, beyond it; an empty table stays empty in each stage.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose lines that an earlier document holds; documents stay, n_chars follows the text."""
+    """Texts lose lines that an earlier document holds; documents stay, n_chars follows the text (of a null text it stays)."""
     index = line_dedup.LineIndex(spark)
     index.add(docs, "all")
-    return index.rewrite(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return index.rewrite(docs).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
