@@ -417,8 +417,10 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, sa
     rows = rows.distinct()
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n))))
-    # One text for each label, so that rows are as bounded as labels are; written once, for three passes.
-    texts = cut(_plain(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    # Written once, for three passes; one text for each label, so that rows are as bounded as labels are.
+    texts = cut(_plain(docs).join(F.broadcast(chosen), "doc_id"), "sample")
+    if texts.groupBy("doc_id", "toxic").count().where("count > 1").take(1):
+        texts = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     lexicon = learn_lexicon(texts)
     found = texts.mapInArrow(_evidence(lexicon), "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic").collect()
     discard(texts)
