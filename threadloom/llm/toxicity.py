@@ -40,7 +40,7 @@ from .core import cut, discard, slices, text_at, words
 from .linear import newton_logistic, sigmoid
 
 SAMPLE = 24_000
-MIN_TERM, MIN_FUZZY, REMEMBERED = 3, 5, 700_000
+MIN_TERM, MIN_FUZZY, REMEMBERED = 3, 5, 300_000
 HEADS = (2, 3, 4, 5, 6)
 STEM_WORDS = 4  # different words that a stem must have; texts that let a word of a stem speak for itself
 THRESHOLD = 0.3
