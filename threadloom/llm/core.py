@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch on its way to a Python worker; rows of long texts else make batches of 64 MB.
 BATCH_BYTES = 16 << 20
 #: Ids beyond this number are joined by a shuffle; up to it they fit in a broadcast of at most 64 MB.

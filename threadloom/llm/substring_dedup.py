@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .core import U64, _powers, binary_array, cut, mix, slices, text_at, words
 
 WINDOW = 35
+#: Bytes of a slice: larger than elsewhere, as repeats within one are settled there.
+SLICE = 4 << 20
 #: By rounds: words at either side that decide a boundary, and the most words of a symbol.
 REACH, SPAN = (0, 1, 3, 7), (1, 2, 4, 8)
 _COIN = np.random.default_rng(8).integers(0, 1 << 64, 4, dtype=U64)
@@ -142,7 +144,7 @@ def _map(window: int):
         hot = _Hot()
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash"))
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), SLICE):
                 yield _slice(part, ids[part.first : part.first + len(part)], hashes[part.first : part.first + len(part)], window, hot)
 
     return run
