@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,9 @@ class MergeVocabulary:
         alone = "".join(re.escape(c) for c in map(chr, range(32)) if c not in held)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+").findall
         self.probe = "\n" if "\n" not in held else None
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.altered = False
         self.fresh: list[tuple[str, str]] = []
 
     def refuse_others(self) -> None:
@@ -136,26 +138,31 @@ class MergeVocabulary:
         text = self.pieces_text(ids)
         return text[1:] if text[:1] == " " else text
 
-    def _entry(self, part: str) -> tuple[str, int, str]:
+    def _entry(self, part: str) -> str:
+        """Decimal ids of a part. One that decodes to other text than its own is not remembered, and marks the text as altered."""
         found = self.older.get(part)
         if found is None:
             ids = self.merge(part)
-            found = " ".join(map(str, ids)), len(ids), self.pieces_text(ids)
-            self.fresh.append((part, found[0]))
-            if len(part) > LONG_PART:
+            found = " ".join(map(str, ids))
+            self.fresh.append((part, found))
+            faithful = self.pieces_text(ids) == part.replace(SPACE, " ")
+            self.altered |= not faithful
+            if len(part) > LONG_PART or not faithful:
                 return found
         self.known[part] = found
         return found
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """Ids as decimal text, their number, and the text they decode to; the end id included."""
-        known = self.known
-        found = [known.get(p) or self._entry(p) for p in self.parts(SPACE + text.replace(" ", SPACE))] if text else []
+        if not text:
+            return str(self.end), 1, ""
+        known, self.altered = self.known, False
+        ids = " ".join([known.get(p) or self._entry(p) for p in self.parts(SPACE + text.replace(" ", SPACE))])
         if len(known) > REMEMBERED:
             self.known, self.older = {}, known
-        ids = " ".join([f[0] for f in found])
-        decoded = "".join([f[2] for f in found])
-        return f"{ids} {self.end}" if found else str(self.end), sum([f[1] for f in found]) + 1, decoded[1:] if decoded[:1] == " " else decoded
+        # Parts hold whole characters, so a text whose parts decode to themselves decodes to itself.
+        decoded = self.decode(list(map(int, ids.split()))) if self.altered else text.replace(SPACE, " ")
+        return f"{ids} {self.end}", ids.count(" ") + 2, decoded
 
     def check(self, text: str, ids: str, decoded: str) -> None:
         """Holds one text, and all parts new since the last check, against the library."""
@@ -172,7 +179,7 @@ class MergeVocabulary:
 
 
 _MODELS: dict[int, MergeVocabulary] = {}
-BYTES = 4 << 20
+BYTES = 1 << 20
 
 
 def _encode(model, as_text: bool):
@@ -193,7 +200,11 @@ def _encode(model, as_text: bool):
                 if held > BYTES or k == batch.num_rows:
                     short = min(range(len(ids)), key=lambda x: (abs(len(decoded[x]) - 2000), x))
                     own.check(batch.column("text")[start + short].as_py() or "", ids[short], decoded[short])
-                    col = pa.array(ids, pa.string()) if as_text else pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32()))
+                    if as_text:
+                        col = pa.array(ids, pa.string())
+                    else:
+                        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                        col = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.fromstring(" ".join(ids), np.int32, sep=" ")))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(ids)), col, pa.array(counts, pa.int64()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
                     ids, counts, decoded, start, held = [], [], [], k, 0
 
