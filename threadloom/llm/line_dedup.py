@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import BROADCAST_IDS, U64, clear_of, cut, discard, exists, new_path
+from .core import BROADCAST_IDS, U64, clear_of, cut, discard, exists, lean, new_path
 from .cuckoo import CuckooFilter
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -82,7 +82,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    return _plain(docs).where("doc_id is not null").mapInArrow(_keys, KEYS)
+    return _plain(docs).where("doc_id is not null").mapInArrow(lean(_keys), KEYS)
 
 
 def _new_filter(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -284,7 +284,7 @@ class LineIndex:
         shards, stored = (done[-1].shards, self._stored(done[-1].filters)) if done else (1, self._stored({}))
         size = stored.agg(F.sum(F.length("filter"))).first()[0] or 0
         filters = {r.shard: bytes(r.filter) for r in stored.collect()} if size <= FILTER_BYTES else None
-        maybe = _plain(docs).where("doc_id is not null").mapInArrow(_resolve(filters, shards), "doc_id long, key_hi long, key_lo long")
+        maybe = _plain(docs).where("doc_id is not null").mapInArrow(lean(_resolve(filters, shards)), "doc_id long, key_hi long, key_lo long")
         exact = maybe.join(self.counts(done).where("refs > 1"), ["key_hi", "key_lo"]).where("doc_id <> first_doc")
         key = F.concat(*(F.to_binary(F.lpad(F.hex(c), 16, "0"), F.lit("hex")) for c in ("key_hi", "key_lo")))
         return exact.select("doc_id", key.alias("key")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
@@ -292,14 +292,14 @@ class LineIndex:
     def dedup(self, docs: DataFrame) -> DataFrame:
         """docs -> (doc_id, text, n_lines, n_dropped), one row for each row of docs, text without its dropped lines."""
         drops = cut(self.drops(docs), "drops")
-        return _plain(docs).join(drops, "doc_id", "left").mapInArrow(_rewrite, "doc_id long, text string, n_lines long, n_dropped long")
+        return _plain(docs).join(drops, "doc_id", "left").mapInArrow(lean(_rewrite), "doc_id long, text string, n_lines long, n_dropped long")
 
     def rewrite(self, docs: DataFrame) -> DataFrame:
         """All columns of docs, whatever their names, each row's text without its dropped lines; a null text stays null."""
         id_, drop = clear_of(docs.columns, "line_id", "line_drop")
         drops = cut(self.drops(docs), "drops").select(F.col("doc_id").alias(id_), F.col("drop").alias(drop))
         met = docs.join(drops, docs["doc_id"].cast("long") == drops[id_], "left").drop(id_)
-        return met.mapInArrow(_rewrite_in_place(drop), docs.schema)
+        return met.mapInArrow(lean(_rewrite_in_place(drop)), docs.schema)
 
 
 def _rewrite_in_place(drop: str):

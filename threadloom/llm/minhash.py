@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
 from .components import components
-from .core import U64, binary_array, cut, discard, mix, only_ids, slices, words
+from .core import U64, binary_array, cut, discard, lean, mix, only_ids, slices, words
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
@@ -105,7 +105,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_features), FEATURES)
 
 
 def least_agreement(threshold: float) -> int:
@@ -141,7 +141,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ids = cut(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "ids")
     texts = cut(only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids).dropDuplicates(["doc_id"]), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    out = cut(both.mapInArrow(_confirm(percent), "u long, v long"), "links")
+    out = cut(both.mapInArrow(lean(_confirm(percent)), "u long, v long"), "links")
     for x in (pairs, ids, texts):
         discard(x)
     return out
@@ -225,7 +225,7 @@ def _rest(placed: DataFrame, feats: DataFrame, docs: DataFrame, least: int, perc
     ids = cut(rest.select("doc_id").distinct(), "ids")
     n = ids.count()
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, n=n)
-    short = texts.mapInArrow(_short_sets, "doc_id long, size long, short binary").dropDuplicates(["doc_id"])
+    short = texts.mapInArrow(lean(_short_sets), "doc_id long, size long, short binary").dropDuplicates(["doc_id"])
     known = cut(only_ids(feats.select("doc_id", "sig", "keys"), ids, n=n).dropDuplicates(["doc_id"]).join(short, "doc_id"), "known")
     discard(ids)
     h = F.xxhash64("doc_id")
@@ -233,7 +233,7 @@ def _rest(placed: DataFrame, feats: DataFrame, docs: DataFrame, least: int, perc
     every = rest.select("bucket", F.explode(upto("blocks")).alias("block"), F.pmod(h, "chunks").alias("chunk"), F.lit(False).alias("asks"), "doc_id", "component", "outside")
     asking = rest.where("outside").select("bucket", F.pmod(h, "blocks").alias("block"), F.explode(upto("chunks")).alias("chunk"), F.lit(True).alias("asks"), "doc_id", "component", "outside")
     rows = every.union(asking).join(known, "doc_id").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
-    out = cut(rows.mapInArrow(_links(least, percent), "u long, v long").distinct(), "more")
+    out = cut(rows.mapInArrow(lean(_links(least, percent)), "u long, v long").distinct(), "more")
     for x in (rest, known):
         discard(x)
     return out
@@ -284,7 +284,7 @@ def _components(feats: DataFrame, docs: DataFrame, percent: int, known: DataFram
 
     star = shared.where("u <> v").select("u", "v").distinct()
     star = star.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
-    links = confirmed(star.mapInArrow(_near(least), "u long, v long"), docs, percent)
+    links = confirmed(star.mapInArrow(lean(_near(least)), "u long, v long"), docs, percent)
     comp = cut(components(links), "components")
 
     placed = shared.join(comp.select(F.col("node").alias("u"), "component"), "u", "left").select("bucket", "n", "size", F.col("u").alias("doc_id"), F.coalesce("component", "u").alias("component"))

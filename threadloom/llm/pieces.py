@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .core import lean
+
 SPACE = "▁"
 REMEMBERED, LONG_PART, SHORT_PART = 300_000, 48, 40
 
@@ -224,4 +226,4 @@ def encode_texts(docs: DataFrame, model_path: str, as_text: bool = False) -> Dat
     model = spark.sparkContext.broadcast(data)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "string" if as_text else "array<int>"
-    return rows.mapInArrow(_encode(model, as_text), f"doc_id long, ids {kind}, n_tokens long, decoded string")
+    return rows.mapInArrow(lean(_encode(model, as_text)), f"doc_id long, ids {kind}, n_tokens long, decoded string")

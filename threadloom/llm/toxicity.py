@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import cut, discard, slices, text_at, words
+from .core import cut, discard, lean, slices, text_at, words
 from .linear import newton_logistic, sigmoid
 
 SAMPLE = 24_000
@@ -381,7 +381,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n1:
         return Lexicon()
-    pairs = rows.mapInArrow(_tokens, "word string, toxic int, texts long, context long")
+    pairs = rows.mapInArrow(lean(_tokens), "word string, toxic int, texts long, context long")
     of = lambda y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("texts"))), F.lit(0))
     counts = cut(pairs.groupBy("word").agg(of(0).alias("c0"), of(1).alias("c1"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("contexts")), "words")
     chance = math.log(max(2, counts.count())) + 2
@@ -398,7 +398,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     lexicon = Lexicon([r.word for r in terms], [r.w for r in terms], {}, [0.0] * len(terms), _learn_stems(counts))
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
     near, rare = {}, [[0, 0] for _ in terms]
-    for r in counts.select("word", "c0", "c1").mapInArrow(_near(lexicon), "word string, c0 long, c1 long, term int").collect():
+    for r in counts.select("word", "c0", "c1").mapInArrow(lean(_near(lexicon)), "word string, c0 long, c1 long, term int").collect():
         if r.term < len(terms) or r.c0 + r.c1 >= STEM_WORDS:
             near[r.word] = odds(r.c1, r.c0)
         if r.term < len(terms) and r.c0 + r.c1 <= 2:
@@ -422,7 +422,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, sa
     if texts.groupBy("doc_id", "toxic").count().where("count > 1").take(1):
         texts = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     lexicon = learn_lexicon(texts)
-    found = texts.mapInArrow(_evidence(lexicon), "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic").collect()
+    found = texts.mapInArrow(lean(_evidence(lexicon)), "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic").collect()
     discard(texts)
     y = np.array([r.toxic for r in found], float)
     if not len(y) or not y.any():
@@ -449,12 +449,12 @@ def _score(model: ToxicityModel):
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, score, n_terms), one row for each row of docs."""
-    return _plain(docs).mapInArrow(_score(model), "doc_id long, text string, score double, n_terms long").select("doc_id", "score", "n_terms")
+    return _plain(docs).mapInArrow(lean(_score(model)), "doc_id long, text string, score double, n_terms long").select("doc_id", "score", "n_terms")
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
-    return docs.mapInArrow(_keep(model, threshold), docs.schema)
+    return docs.mapInArrow(lean(_keep(model, threshold)), docs.schema)
 
 
 def _keep(model: ToxicityModel, threshold: float):
