@@ -422,7 +422,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, sa
     if texts.groupBy("doc_id", "toxic").count().where("count > 1").take(1):
         texts = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     lexicon = learn_lexicon(texts)
-    found = texts.mapInArrow(lean(_evidence(lexicon)), "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic").collect()
+    # Sorted here, as Spark would run the map twice to find the ranges of a sort; rows are as bounded as the sample.
+    found = sorted(texts.mapInArrow(lean(_evidence(lexicon)), "doc_id long, toxic int, x array<double>").collect(), key=lambda r: (r.doc_id, r.toxic))
     discard(texts)
     y = np.array([r.toxic for r in found], float)
     if not len(y) or not y.any():
