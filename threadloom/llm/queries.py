@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, mixing, pieces, quadratic, quality_rules, substring_dedup, token_counts, toxicity
+from . import exact_dedup, line_dedup, merkle, minhash, mixing, pieces, quadratic, quality_rules, substring_dedup, token_counts, toxicity, vector_codes
 from .core import table
 
 
@@ -80,6 +82,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(*(lower if c == "text" else F.col(c) for c in merkle.FIELDS)))
+    out = merkle.build(docs, claim=tampered).audit()
+    return out.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +106,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Shared by the SQL below: the white space of all contracts, and A-Z lower-cased.
@@ -98,6 +115,62 @@ _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _merkle_sql(depth: int = 8) -> str:
+    """SQL of the manifest for trees of up to 8**depth leaves: a table for each level, then proofs and claims walked up."""
+    H = lambda text: "concat(" + ", ".join(f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    parts = [
+        f"""c AS (SELECT doc_id, lang, sha256({H("text")}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN sha256({H(_LOWER.format("text"))}) END AS claim FROM documents)""",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM c)",
+        "l0 AS (SELECT 0 AS g, lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "w0 AS (SELECT doc_id, lang, i, leaf, coalesce(claim, leaf) AS f, '' AS s FROM d)",
+    ]
+
+    def up(k: int, key: str, to: str) -> list[str]:
+        """One level: runs, and each row's siblings and fold; a tree of one node stays as it is."""
+        a, b = f"l{k}", f"l{k + 1}"
+        return [
+            f"r{k} AS (SELECT {key}, i // 8 AS i, any_value(n) AS n, list(h ORDER BY i) AS hs FROM {a} GROUP BY {key}, i // 8)",
+            f"{b} AS (SELECT {to}, i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 7) // 8 AS n FROM r{k})",
+            f"w{k + 1} AS (SELECT w.* REPLACE (w.i // 8 AS i, CASE WHEN r.n = 1 THEN w.f ELSE sha256(array_to_string(r.hs[1:(w.i % 8)], '') || w.f || array_to_string(r.hs[(w.i % 8 + 2):8], '')) END AS f, w.s || array_to_string(r.hs[1:(w.i % 8)], '') || array_to_string(r.hs[(w.i % 8 + 2):8], '') AS s) FROM w{k} w JOIN r{k} r ON r.i = w.i // 8" + (" AND r.lang IS NOT DISTINCT FROM w.lang)" if "lang" in key else ")"),
+        ]
+
+    for k in range(depth):
+        parts += up(k, "g, lang", "g, lang")
+    parts += [
+        f"t AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM l{depth})",
+        f"l{depth + 1} AS (SELECT 0 AS g, i, subroot AS h, n FROM t)",
+        f"w{depth + 1} AS (SELECT w.* REPLACE (t.i AS i), t.subroot FROM w{depth} w JOIN t ON t.lang IS NOT DISTINCT FROM w.lang)",
+    ]
+    for k in range(depth + 1, depth + 4):
+        parts += up(k, "g", "g")
+    e = depth + 4
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(s) AS proof_sha256, f AS folded_root, f = h AS verified FROM w{e} CROSS JOIN l{e}"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """SQL of the vector codes: a table of parts, one of entries for each round."""
+    near = "SELECT rid, p, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (SELECT x.rid, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{k} b ON b.p = x.p) GROUP BY rid, p"
+    out = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(4096 * y::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        "r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id) AS rid FROM v)",
+        f"x AS MATERIALIZED (SELECT rid, p, v[(p * len(v) // {parts} + 1):((p + 1) * len(v) // {parts})] AS x FROM r, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM x WHERE rid <= {entries})",
+    ]
+    for k in range(rounds):
+        out.append(f"a{k} AS MATERIALIZED ({near.format(k=k)})")
+        out.append(f"u{k} AS (SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT x.p, a.e, j, (sum(x.x[j])::BIGINT - ((sum(x.x[j])::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS m FROM x JOIN a{k} a ON a.rid = x.rid AND a.p = x.p, range(1, len(x.x) + 1) t(j) GROUP BY ALL) GROUP BY p, e)")
+        out.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.x, b.x) AS x FROM b{k} b LEFT JOIN u{k} u ON u.p = b.p AND u.e = b.e)")
+    out += [
+        f"a AS MATERIALIZED ({near.format(k=rounds)})",
+        "c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a GROUP BY rid)",
+        f"s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return "WITH " + ",\n".join(out) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN r ON r.rid = c.rid CROSS JOIN s"
+
+
 ORACLE_SQL = {
     "op1_minhash_dedup": rf"""
 WITH RECURSIVE w AS (
@@ -145,4 +218,6 @@ c AS (
 o AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(t, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(o.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
 FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op11_merkle_manifest": _merkle_sql(),
+    "op13_vector_codes": _codes_sql(),
 }
