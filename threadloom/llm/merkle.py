@@ -78,7 +78,7 @@ def _folded(con: duckdb.DuckDBPyConnection, nodes: pa.Table) -> tuple[int, str]:
     for k in range(depth):
         con.execute(f"CREATE TEMP TABLE r{k} AS SELECT i // {FAN} AS i, list(hash ORDER BY i) AS h, sha256(string_agg(hash, '' ORDER BY i)) AS hash FROM n{k} GROUP BY ALL")
         con.execute(f"CREATE TEMP VIEW n{k + 1} AS SELECT i, hash FROM r{k}")
-    return depth, con.execute(f"SELECT hash FROM n{depth}").fetchone()[0]
+    return depth, con.execute(f"SELECT hash FROM n{depth}").fetchall()[0][0]
 
 
 def _walk(depth: int) -> tuple[str, str, str]:

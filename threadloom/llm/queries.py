@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, merkle, minhash, mixing, pieces, quadratic, quality_rules, substring_dedup, token_counts, toxicity, vector_codes
+from . import exact_dedup, line_dedup, merkle, minhash, mixing, pieces, quadratic, quality_rules, substring_dedup, suffix_tree, token_counts, toxicity, vector_codes
 from .core import table
 
 
@@ -90,6 +90,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(quadratic.fold(F.col("doc_id"), 7), F.lit(-1)) == 2)
+    model = suffix_tree.train(docs, training=~F.col("held_out"))
+    out = suffix_tree.score(docs, model)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
@@ -107,6 +114,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_tree": op12_suffix_tree,
     "op13_vector_codes": op13_vector_codes,
 }
 
