@@ -207,9 +207,11 @@ def test_tfidf_ranks_ties_by_id(spark):
     assert [(r.id, round(r.similarity, 9)) for r in top] == [(2, 1.0), (3, 1.0)]
 
 
-def test_top_k_in_blocks_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 7)
-    monkeypatch.setattr(retrieval, "SLICE", 50)
+@pytest.mark.parametrize("shard, group", [(50, 40), (10**6, 10**6), (30, 10**6)])
+def test_top_k_in_cells_is_brute_force(spark, monkeypatch, shard, group):
+    """Queries are as many as documents; shards and groups of a few rows each."""
+    monkeypatch.setattr(retrieval, "SHARD", shard)
+    monkeypatch.setattr(retrieval, "GROUP", group)
     r = np.random.default_rng(3)
     x = r.normal(size=(60, 4)).round(1)
     x[20:30] = x[20]
@@ -222,17 +224,45 @@ def test_top_k_in_blocks_is_brute_force(spark, monkeypatch):
         if q != 5:
             best = sorted((i for i in range(60) if i not in (q, 5)), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:4]
             assert [got[q, k + 1] for k in range(4)] == best
-    words = [" ".join(r.choice(list("abcdefgh"), 6) + "x") + " common" for _ in range(40)]
+    words = [" ".join(np.char.add(r.choice(list("abcdefgh"), 6), "x")) + " common" for _ in range(40)] + ["common", "common"]
     docs = spark.createDataFrame(list(enumerate(words)), "id long, text string").repartition(3)
     space = retrieval.TfIdf.fit(docs)
-    vectors = {t.id: {y.term: y.w for y in t.v} for t in space.weights.collect()}
+    vectors = {t.id: {y.t: y.w for y in t.v} for t in space.weights.collect()}
     top = {(t.query, t.rank): t.id for t in space.top_k(docs, 3).collect()}
     for q, v in vectors.items():
         best = sorted(vectors, key=lambda i: (-round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 9), i))[:3]
         assert [top[q, k + 1] for k in range(3)] == best
+    keyed = docs.withColumn("id", F.struct(F.lit(1).alias("a"), (100 - F.col("id")).alias("b")))
+    other = {(t.query.b, t.rank): t.id.b for t in retrieval.TfIdf.fit(keyed).top_k(keyed, 3).collect()}
+    for q, v in vectors.items():
+        best = sorted(vectors, key=lambda i: (-round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 9), -i))[:3]
+        assert [100 - other[100 - q, k + 1] for k in range(3)] == best
     assert space.top_k(docs.limit(0), 3).collect() == []
 
 
+def test_shards_below_the_threshold_are_left_out_and_frequent_lists_unread(spark, monkeypatch):
+    """Texts of their own words: a shard without them cannot reach a query's threshold, and gets no cell."""
+    monkeypatch.setattr(retrieval, "SHARD", 200)
+    texts = [f"own{i // 4} word{i // 4} and{i // 4} the the of" for i in range(200)]
+    space = retrieval.TfIdf.fit(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ngrams=1)
+    cells, plain = [], retrieval._sparse
+    monkeypatch.setattr(retrieval, "_sparse", lambda asked, items, k: cells.append(asked.count()) or plain(asked, items, k))
+    got = space.top_k(spark.createDataFrame([(i, texts[i]) for i in range(0, 200, 10)], "id long, text string"), 1)
+    assert {(r.query, r.id) for r in got.collect()} == {(i, i // 4 * 4) for i in range(0, 200, 10)}
+    assert cells[0] == 20 and cells[1] <= 20 * 4
+
+
+def test_term_counts_are_those_of_the_words(spark):
+    import re
+    from collections import Counter
+
+    texts = [None, "", "a", "ab", "ab ab cd", "Ab ab\ncd ab, ab cd x yz", "é_1 é_1 " * 30]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", retrieval.term_counts(F.col("text")).alias("v")).collect()
+    for r in got:
+        w = re.findall(r"\b\w\w+\b", (texts[r.id] or "").lower())
+        assert {x.term: x.tf for x in r.v} == Counter(w) + Counter(" ".join(p) for p in zip(w, w[1:]))
+
+
 def test_evidence_keeps_its_order(spark):
     cited = spark.createDataFrame([("q", ["b", "zz", "a"]), ("r", [])], "id string, evidence_ids array<string>")
     history = spark.createDataFrame([("a", "A"), ("b", "B")], "evidence_id string, text string")

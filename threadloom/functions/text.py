@@ -64,6 +64,11 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.concat(F.get(rest, F.lit(0)), F.array_join(decoded, ""))).otherwise(text)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
@@ -106,19 +111,34 @@ def privacy_redact(text: Column) -> Column:
     return F.regexp_replace(text, HANDLE, "[user]")
 
 
-# The patterns and the two replacement phrases of these edits.
+#: All that counts as white space, for Spark and for SQL alike.
+WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+# The patterns and the two replacement phrases of these edits, in their order, and whether the case of letters counts.
+POLISH = (
+    (rf"^(?:@user|\[user\]){WHITE}*[:,\-]?{WHITE}*", "", False),
+    (r"\b(?:take a look|check (?:this|it) out) backstage\b", "take a closer look privately", False),
+    (r"\bbackstage\b", "privately", False),
+    (rf"{WHITE}+(?:/|\^|—{WHITE}*)[A-Z]{{1,3}}{WHITE}*\z", "", True),
+    (r"!{2,}", "!", True),
+    (r"[ \t]+", " ", True),
+)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+\z", "")
+
+
 def polish(text: Column) -> Column:
     """Surface edits of a draft, in order: placeholder, jargon, signature, exclamation marks, blanks."""
-    text = F.regexp_replace(F.trim(text), r"(?i)^(?:@user|\[user\])\s*[:,\-]?\s*", "")
-    text = F.regexp_replace(text, r"(?i)\b(?:take a look|check (?:this|it) out) backstage\b", "take a closer look privately")
-    text = F.regexp_replace(text, r"(?i)\bbackstage\b", "privately")
-    text = F.regexp_replace(text, r"\s+(?:/|\^|—\s*)[A-Z]{1,3}\s*$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"!{2,}", "!"), r"[ \t]+", " ")
-    return F.trim(text)
+    text = strip(text)
+    for pattern, by, case in POLISH:
+        text = F.regexp_replace(text, ("(?U)" if case else "(?iU)") + pattern, by)
+    return strip(text)
 
 
 def was_polished(text: Column) -> Column:
-    return polish(text) != F.trim(text)
+    return polish(text) != strip(text)
 
 
 def non_ascii_ratio(text: Column) -> Column:

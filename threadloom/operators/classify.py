@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..session import cut
-from .retrieval import TfIdf
+from ..session import cut, new_path
+from .retrieval import VECTOR, TfIdf
 
 #: Rows of a training partition: each of many iterations is a job over all partitions.
 PARTITION_ROWS = 5000
@@ -26,11 +27,6 @@ def majority(labels: DataFrame, label: str, position: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "first").limit(1).select(label, "n")
 
 
-@F.udf(returnType=VectorUDT())
-def _vector(pairs, size):
-    return Vectors.sparse(size, [(p["index"], p["w"]) for p in pairs])
-
-
 class IntentClassifier:
     """C = 1, class-balanced, no feature scaling: regParam is 1 / (C * n). Classes are in alphabetical order."""
 
@@ -40,28 +36,29 @@ class IntentClassifier:
         examples = cut(examples.select("id", "text", "label"), "examples")
         n = examples.count()
         self.space = TfIdf.fit(examples.select("id", "text"), max_features=max_features)
-        terms = [r.term for r in self.space.idf.select("term").orderBy("term").collect()]
-        spark = examples.sparkSession
-        self.terms = cut(spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, index int"), "terms")
-        self.size = len(terms)
+        spark, size = examples.sparkSession, self.space.idf.count()
         counts = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
         self.classes = sorted(counts)
         dims = spark.createDataFrame([(k, float(i), n / (len(counts) * counts[k])) for i, k in enumerate(self.classes)], "label string, y double, weight double")
-        rows = cut(self._vectors(examples).join(examples.join(F.broadcast(dims), "label"), "id").select("features", "y", "weight").coalesce(max(1, n // PARTITION_ROWS)), "training")
+        v = F.coalesce("v", F.array().cast(VECTOR))
+        sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform(v, lambda x: (x["t"] - 1).cast("int")).alias("indices"), F.transform(v, lambda x: x["w"]).alias("values"))
+        rows = examples.join(F.broadcast(dims), "label").join(self.space.weights, "id", "left").select(sparse.alias("features"), "y", "weight")
+        path = new_path(spark, "training")
+        rows.coalesce(max(1, n // PARTITION_ROWS)).write.parquet(path)
+        # The columns of a sparse vector are read again as one.
+        schema = StructType([StructField("features", VectorUDT()), StructField("y", DoubleType()), StructField("weight", DoubleType())])
         model = LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * n), elasticNetParam=0, standardization=False, maxIter=iterations, family="multinomial", tol=1e-6)
-        self.model: LogisticRegressionModel = model.fit(rows)
-
-    def _vectors(self, docs: DataFrame) -> DataFrame:
-        rows = self.space.transform(docs.select("id", "text")).select("id", F.explode("v").alias("x")).select("id", "x.term", "x.w")
-        w = rows.join(F.broadcast(self.terms), "term")
-        pairs = w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("index", "w"))).alias("pairs"))
-        none = F.array().cast("array<struct<index:int,w:double>>")
-        return docs.select("id").join(pairs, "id", "left").select("id", _vector(F.coalesce("pairs", none), F.lit(self.size)).alias("features"))
+        self.model: LogisticRegressionModel = model.fit(spark.read.schema(schema).parquet(path))
+        self.size, self.start = size, self.model.interceptVector.toArray().tolist()
+        self.pull = cut(spark.createDataFrame([(t + 1, x) for t, x in enumerate(self.model.coefficientMatrix.toArray().T.tolist())], "t long, pull array<double>"), "coefficients")
 
     def predict(self, docs: DataFrame) -> DataFrame:
-        """docs (id, text) -> (id, intent, confidence); ties go to the first class."""
-        from pyspark.ml.functions import vector_to_array
-
-        p = self.model.transform(self._vectors(docs)).select("id", vector_to_array("probability").alias("p"))
-        best = F.array_position("p", F.array_max("p"))
-        return p.select("id", F.element_at(F.array(*map(F.lit, self.classes)), best.cast("int")).alias("intent"), F.array_max("p").alias("confidence"))
+        """docs (id, text) -> (id, intent, confidence); ties go to the first class. The coefficients, bounded by max_features, meet the terms in a broadcast."""
+        rows = self.space.transform(docs.select("id", "text")).select("id", F.explode("v").alias("x")).select("id", "x.t", "x.w")
+        each = [F.sum(F.col("w") * F.get("pull", F.lit(i))).alias(f"z{i}") for i in range(len(self.classes))]
+        sums = rows.join(F.broadcast(self.pull), "t").groupBy("id").agg(*each)
+        z = F.array(*(F.coalesce(f"z{i}", F.lit(0.0)) + b for i, b in enumerate(self.start)))
+        out = docs.select("id").join(sums, "id", "left").select("id", z.alias("z")).withColumn("top", F.array_max("z"))
+        total = F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
+        intent = F.element_at(F.array(*map(F.lit, self.classes)), F.array_position("z", F.col("top")).cast("int"))
+        return out.select("id", intent.alias("intent"), (1 / total).alias("confidence"))

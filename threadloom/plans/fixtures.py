@@ -28,6 +28,16 @@ MESSAGES = [
     (20, "again and again the same error", "playback_app", None, None),
     (21, "Please add folders https://example.com/x @support", "feedback_feature_request", False, False),
     (22, "Any update on my lists", "library_playlists", False, True),
+    (23, None, "playback_app", False, False),
+    (24, "How do I sort it", "library_playlists", False, False),
+    (25, "How do I hide it", "library_playlists", False, False),
+    (26, "How do I share it", "library_playlists", False, False),
+    (27, "How do I rename it", "library_playlists", False, False),
+    (28, "How do I copy it", "library_playlists", False, False),
+    (29, "How do I print it", "library_playlists", False, False),
+    (30, "How do I move it", "library_playlists", False, False),
+    (31, "How do I merge it", "library_playlists", False, False),
+    (32, "How do I lock it", "library_playlists", False, False),
 ]
 MESSAGE_COLUMNS = "id int, message string, intent string, flagged boolean, has_parent boolean"
 
@@ -53,6 +63,18 @@ OUTPUTS = [
     (18, "catalog_availability", "auto_handle", "fine", "x" * 1201, ["b"], "answer", ["b"]),
     (19, "other_unclear", "escalate", "empty", "Hello there", [], "handoff", []),
     (20, "playback_app", "escalate", "context", "Send us your password", [], "handoff", []),
+    (21, "feedback_feature_request", "auto_handle", "fine", "\u2003Noted.\u00a0 \x0b ^AB\x1f", ["b"], "acknowledgement", ["b"]),
+    (22, "library_playlists", "escalate", "fine", "[user]\u3000: we look backstage", [], "handoff", None),
+    (23, "playback_app", "auto_handle", "no message", "Which device is it?", ["a"], "clarification", ["a"]),
+    (24, "library_playlists", "auto_handle", "white space alone", "\n\t\x0b\u00a0\u2028", ["a"], "answer", ["a"]),
+    (25, "library_playlists", "auto_handle", "no draft", None, ["a"], "answer", ["a"]),
+    (26, "library_playlists", "auto_handle", "no citations", "By the menu.", None, "answer", ["a"]),
+    (27, "library_playlists", "nonsense", "no such route", "By the menu.", ["a"], "answer", ["a"]),
+    (28, "library_playlists", "auto_handle", "no allowed ids", "By the menu.", ["a"], "answer", None),
+    (29, "library_playlists", "auto_handle", None, "By the menu.", ["a"], "answer", ["a"]),
+    (30, "no intent", "auto_handle", "no such intent", "By the menu.", ["a"], "answer", ["a"]),
+    (31, "library_playlists", "auto_handle", "no such kind", "By the menu.", ["a"], "advice", ["a"]),
+    (32, "library_playlists", "auto_handle", "a null citation", "By the menu.", ["a", None], "answer", ["a"]),
 ]
 OUTPUT_COLUMNS = "id int, intent string, route string, reason string, draft string, evidence_ids array<string>, reply_kind string, allowed_ids array<string>"
 

@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import gate as G
 from ..operators import sampling as S
-from ..schemas import INTENTS
+from ..schemas import INTENTS, OUTPUT_FIELDS, REPLY_KINDS, ROUTES
 from ..session import cut, table
 from . import fixtures as X
 
@@ -161,7 +161,7 @@ def _signs(signs: tuple[str, ...]) -> str:
 
 
 _SENTIMENT = f"""
-l AS (SELECT *, lower({_unescape('message')}) AS low FROM {_MESSAGES}),
+l AS (SELECT *, lower({_unescape("coalesce(message, '')")}) AS low FROM {_MESSAGES}),
 h AS (
   SELECT *, regexp_matches(low, '(^|{_EDGE})(kill myself|suicid(e|al)?|hurt myself|end my life|self[- ]harm)($|{_EDGE})') AS distress,
     {_hits(R.POSITIVE)} + {_signs(R.POSITIVE_EMOJI)} AS good, {_hits(R.NEGATIVE)} + {_signs(R.NEGATIVE_EMOJI)} AS bad FROM l),
@@ -242,15 +242,18 @@ def tone_guidance(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", R.tone_guidance(R.sentiment(F.col("message"))["label"]).alias("guidance"))
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{T.WHITE}+|{T.WHITE}+\\z', '', 'g')"
+
+
 def _polish(x: str) -> str:
-    x = f"regexp_replace(trim({x}), '^(@user|\\[user\\])\\s*[:,\\-]?\\s*', '', 'i')"
-    x = f"regexp_replace({x}, '\\b(take a look|check (this|it) out) backstage\\b', 'take a closer look privately', 'gi')"
-    x = f"regexp_replace({x}, '\\bbackstage\\b', 'privately', 'gi')"
-    x = f"regexp_replace({x}, '\\s+(/|\\^|—\\s*)[A-Z]{{1,3}}\\s*$', '')"
-    return f"trim(regexp_replace(regexp_replace({x}, '!{{2,}}', '!', 'g'), '[ \\t]+', ' ', 'g'))"
+    x = _strip(x)
+    for pattern, by, case in T.POLISH:
+        x = f"regexp_replace({x}, {_quote(pattern)}, {_quote(by)}, '{'g' if case else 'gi'}')"
+    return _strip(x)
 
 
-@query(f"SELECT id, {_polish('draft')} AS polished, {_polish('draft')} <> trim(draft) AS edited FROM {_OUTPUTS}")
+@query(f"SELECT id, {_polish('draft')} AS polished, {_polish('draft')} <> {_strip('draft')} AS edited FROM {_OUTPUTS}")
 def polish_draft(spark: SparkSession, d: str) -> DataFrame:
     return _outputs(spark, d).select("id", T.polish(F.col("draft")).alias("polished"), T.was_polished(F.col("draft")).alias("edited"))
 
@@ -280,21 +283,27 @@ def handoff_draft(spark: SparkSession, d: str) -> DataFrame:
     return keyed.withColumn("draft", R.handoff_draft(F.col("handoff_key")))
 
 
+_DOMAIN = lambda names: "(" + ", ".join(map(_quote, names)) + ")"
+_CONTRACT = f"""CASE WHEN s.message IS NULL THEN {_quote(R.NO_MESSAGE)} WHEN {' OR '.join(f'o.{c} IS NULL' for c in OUTPUT_FIELDS)} THEN 'Incomplete agent JSON' WHEN o.intent NOT IN {_DOMAIN(INTENTS)} OR o.route NOT IN {_DOMAIN(ROUTES)} THEN 'Invalid labels'
+  WHEN o.reply_kind NOT IN {_DOMAIN(REPLY_KINDS)} THEN 'Invalid reply kind' WHEN len(list_filter(o.evidence_ids, lambda e: e IS NULL)) > 0 THEN 'Invalid evidence IDs' END"""
 _ACTION = R.UNSUPPORTED_ACTION.replace("(?i)", "").replace("(?:", "(").replace("'", "''")
 @query(f"""
 WITH {_SENTIMENT},
-o AS (SELECT o.*, s.message, s.flagged, s.label, {_polish('o.draft')} AS p FROM {_OUTPUTS} o JOIN s ON s.id = o.id),
-r AS (SELECT *, {_risk('message', 'intent', 'flagged')} AS risk FROM o),
+j AS (SELECT o.*, s.message, s.flagged, s.label, {_CONTRACT} AS broken FROM {_OUTPUTS} o JOIN s ON s.id = o.id),
+o AS (SELECT * REPLACE (CASE WHEN broken IS NULL THEN intent ELSE 'other_unclear' END AS intent, CASE WHEN broken IS NULL THEN route ELSE 'escalate' END AS route, CASE WHEN broken IS NULL THEN reason ELSE 'generation unavailable' END AS reason,
+  CASE WHEN broken IS NULL THEN draft ELSE 'x' END AS draft, CASE WHEN broken IS NULL THEN evidence_ids ELSE [] END AS evidence_ids, CASE WHEN broken IS NULL THEN reply_kind ELSE 'handoff' END AS reply_kind) FROM j),
+p AS (SELECT *, {_polish('draft')} AS p FROM o),
+r AS (SELECT *, {_risk('message', 'intent', 'flagged')} AS risk FROM p),
 v AS (
-  SELECT *, list_filter([CASE WHEN len(list_filter(evidence_ids, lambda e: NOT list_contains(allowed_ids, e))) > 0 THEN 'Unsupported evidence ID' END,
-    CASE WHEN route = 'auto_handle' AND len(evidence_ids) = 0 THEN 'Automatic reply has no cited evidence' END, CASE WHEN length(p) > 1200 OR trim(p) = '' THEN 'Empty or oversized draft' END,
+  SELECT *, list_filter([CASE WHEN len(list_filter(evidence_ids, lambda e: NOT list_contains(coalesce(allowed_ids, []), e))) > 0 THEN 'Unsupported evidence ID' END,
+    CASE WHEN route = 'auto_handle' AND len(evidence_ids) = 0 THEN 'Automatic reply has no cited evidence' END, CASE WHEN length(p) > 1200 OR p = '' THEN 'Empty or oversized draft' END,
     CASE WHEN regexp_matches(lower(p), '{_ACTION}', 'i') THEN 'Unsupported action, link or credential request' END, CASE WHEN route = 'auto_handle' AND risk IS NOT NULL THEN risk END], lambda x: x IS NOT NULL) AS viol FROM r),
-w AS (SELECT *, len(viol) > 0 AS bad, len(viol) = 0 AND route = 'escalate' AND regexp_matches(p, '\\b(this needs (a )?human|human support review)\\b', 'i') AS generic FROM v),
+w AS (SELECT *, len(viol) > 0 AS bad, broken IS NULL AND len(viol) = 0 AND route = 'escalate' AND regexp_matches(p, '\\b(this needs (a )?human|human support review)\\b', 'i') AS generic FROM v),
 k AS (SELECT *, {_key('message', 'intent', "(CASE WHEN bad THEN array_to_string(viol, '; ') ELSE reason END)", 'label')} AS k FROM w)
-SELECT id, CASE WHEN bad THEN 'escalate' ELSE route END AS route, CASE WHEN bad THEN 'Output check: ' || array_to_string(viol, '; ') ELSE reason END AS reason,
-  CASE WHEN bad OR generic THEN {_COPY} ELSE p END AS draft, CASE WHEN bad THEN 'handoff' ELSE reply_kind END AS reply_kind, CASE WHEN bad THEN '' ELSE array_to_string(evidence_ids, ',') END AS cited,
-  array_to_string(viol, ';') AS violations FROM k""")
+SELECT id, intent, CASE WHEN bad THEN 'escalate' ELSE route END AS route, CASE WHEN broken IS NOT NULL THEN {_quote(R.UNAVAILABLE)} WHEN bad THEN 'Output check: ' || array_to_string(viol, '; ') ELSE reason END AS reason,
+  CASE WHEN bad OR generic OR broken IS NOT NULL THEN {_COPY} ELSE p END AS draft, CASE WHEN bad THEN 'handoff' ELSE reply_kind END AS reply_kind, CASE WHEN bad THEN '' ELSE array_to_string(evidence_ids, ',') END AS cited,
+  array_to_string(viol, ';') AS violations, broken AS api_error FROM k""")
 def gate_outputs(spark: SparkSession, d: str) -> DataFrame:
     rows = _outputs(spark, d).join(_messages(spark, d).select("id", "message", F.col("flagged").alias("context_flagged")), "id")
     out = G.gate(rows)
-    return out.select("id", "route", "reason", "draft", "reply_kind", F.array_join("evidence_ids", ",").alias("cited"), F.array_join("output_check_violations", ";").alias("violations"))
+    return out.select("id", "intent", "route", "reason", "draft", "reply_kind", F.array_join("evidence_ids", ",").alias("cited"), F.array_join("output_check_violations", ";").alias("violations"), "api_error")

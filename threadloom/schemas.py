@@ -9,6 +9,7 @@ EXAMPLE = f"tweet_id string, component_id string, split string, challenge_select
 HISTORY = "component_id string, customer_tweet_id string, support_tweet_id string, customer_message string, historical_reply string, created_at string, resolution_verified boolean"
 LABEL = "intent string, route string, reason string, flag string, notes string, updated_at string"
 RAW_OUTPUT = "intent string, route string, reason string, draft string, evidence_ids array<string>, reply_kind string"
+OUTPUT_FIELDS = ("intent", "route", "reason", "draft", "evidence_ids", "reply_kind")
 RATING = "correctness string, grounding string, usefulness string, routing_privacy string, critical_failure string, notes string, updated_at string"
 JUDGE = "rating_id string, correctness int, grounding int, usefulness int, routing_privacy int, critical_failure boolean, rationale string, api_metadata string"
 CACHE = "fingerprint string, parsed string, metadata string"
