@@ -14,9 +14,9 @@ longest retained state that the words before it end with.
 
 A log probability is a sum: the word's own, the escapes on the way to the state, and a correction for each
 pair (state, symbol) with a count. What hangs on broadcast tables is added where the text is read. For the
-rest a slice of texts sends each pair once, with the places of its documents in the slice, to the join with
-the table of corrections; sums are whole numbers of 2**-32, so they do not follow the order of tasks. Copies
-and frequent pairs are gathered within a slice, and a pair has one row a slice at most.
+rest a slice of texts sends each pair once, with the places of its documents in the slice, packed into a row
+for each bucket of keys, where it meets the table of corrections; a frequent pair is one entry a slice. Sums
+are whole numbers of 2**-32, so they do not follow the order of tasks. Keys are hashes of 64 bits.
 
 Defined cases: a null or empty text is one end token; contexts do not reach beyond a text's beginning; a null
 `training` leaves a row out of training; repeated rows are scored, and counted, each; without training rows
@@ -271,108 +271,135 @@ def _fixed(log10: np.ndarray) -> np.ndarray:
     return np.rint(log10 * FIXED).astype(np.int64)
 
 
-_SENT = "s int, x long, first long, data binary"
+#: Bytes of text whose pairs make a bucket of the join, on average.
+BUCKET_BYTES = 12 << 20
+_SENT = "bucket int, kind int, first long, keys binary, counts binary, data binary"
 _SUMS = ("n_tokens", "n_known", "base", "score")
 
 
-def _sent(docs: DataFrame, model: SuffixTree) -> DataFrame:
-    """docs (row, text) -> for each slice its documents' sums of what is known at hand (s = -1), and pairs to be looked up with the
-    documents that hold them: (0, x) for words whose count is not broadcast, (s, x) for states."""
+def _key(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A number for a state and a symbol's hash; as _key_of has it."""
+    return x.view(np.int64) ^ (s << 44) ^ (s << 20) ^ s
+
+
+def _key_of(s: Column, x: Column) -> Column:
+    s = s.cast("long")
+    return x.bitwiseXOR(F.shiftleft(s, 44)).bitwiseXOR(F.shiftleft(s, 20)).bitwiseXOR(s)
+
+
+def _sent(docs: DataFrame, model: SuffixTree, buckets: int) -> DataFrame:
+    """docs (row, text) -> for each slice its documents' sums of what is known at hand (kind -1), and for each bucket the keys to be looked
+    up, each with the places of the documents that hold it: words whose count is not broadcast (kind 0), pairs of a state and a symbol (kind 1)."""
     words, c = model.frequent
     own = _fixed(np.log10((c + 1) / (model.n + model.v + 1)))
     held = docs.sparkSession.sparkContext.broadcast((model.states, words, own, _fixed(model.escape / _LN10)))
 
+    def packed(kind: int, s: np.ndarray, code: np.ndarray, doc: np.ndarray, t: Tokens) -> Iterator[tuple]:
+        pair = code.astype(np.int64) * (int(s.max(initial=0)) + 1) + s
+        order = np.argsort(pair, kind="stable")  # of a pair in the order of documents
+        begins = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        first = order[begins]
+        key = _key(s[first], t.words[code[first]])
+        counts = np.diff(np.append(begins, len(order)))
+        doc = doc[order].astype(np.uint16)
+        bucket = key % buckets
+        by = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)):
+            at = by[ends[b] : ends[b + 1]]
+            n = counts[at]
+            docs_ = doc[np.repeat(begins[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            yield int(b), kind, key[at].tobytes(), n.astype(np.uint32).tobytes(), docs_.tobytes()
+
     def run(batch: pa.RecordBatch, t: Tokens) -> list[pa.Array]:
         states, words, own, escape = held.value
-        docs_, first = batch.num_rows, batch.column("row")[0].as_py()
+        first = batch.column("row")[0].as_py()
         value = _found(words, t.words, own, 1)[t.code]  # logarithms are not above 0
         base = np.where(value <= 0, value, 0)
         levels = states.at(t)
         score = base.copy()
         for s in levels:
             score += escape[s]
-        sums = np.zeros((len(_SUMS), docs_), np.int64)
+        sums = np.zeros((len(_SUMS), batch.num_rows), np.int64)
         np.add.at(sums[0], t.doc, 1)
         np.add.at(sums[1], t.doc, value <= 0)
         np.add.at(sums[2], t.doc, base)
         np.add.at(sums[3], t.doc, score)
-        ask = [(np.zeros(0, np.int64), np.flatnonzero(value > 0))] + [(s, np.flatnonzero(s)) for s in levels]
-        s = np.concatenate([a[i] if len(a) else np.zeros(len(i), np.int64) for a, i in ask])
-        at = np.concatenate([i for _, i in ask])
-        most = int(s.max(initial=0)) + 1
-        key = t.code[at] * most + s
-        order = np.argsort(key, kind="stable")  # of a pair in the order of documents
-        key, doc = key[order], t.doc[at][order].astype(np.uint16)
-        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        lengths = np.diff(np.append(begins, len(key))) * 2
-        data = core.binary_array(np.concatenate([doc.view(np.uint8), sums.ravel().view(np.uint8)]), np.append(lengths, sums.nbytes))
-        s, code = key[begins] % most, key[begins] // most
-        return [pa.array(np.append(s, -1).astype(np.int32)), pa.array(np.append(t.words[code].view(np.int64), first)), pa.array(np.full(len(s) + 1, first)), data]
+        out = [(first % buckets, -1, b"", b"", sums.tobytes())]
+        at = np.flatnonzero(value > 0)
+        out += packed(0, np.zeros(len(at), np.int64), t.code[at], t.doc[at], t)
+        for s in levels:
+            at = np.flatnonzero(s)
+            out += packed(1, s[at], t.code[at], t.doc[at], t)
+        bucket, kind, keys, counts, data = zip(*out, strict=True)
+        return [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array([first] * len(out), pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, counts, data))]
 
     return _per_slice(run, _SENT, docs)
 
 
-def _table(model: SuffixTree) -> DataFrame:
-    """(s, x, base, more): corrections of pairs, and logarithms of words whose count is not broadcast, as whole numbers."""
+def _table(model: SuffixTree, buckets: int) -> DataFrame:
+    """(bucket, kind, key, base, more): corrections of pairs, and logarithms of words whose count is not broadcast, as whole numbers."""
     fixed = lambda c: F.rint(c * FIXED).cast("long")
     log = fixed(F.log10((F.col("c") + 1) / F.lit(float(model.n + model.v + 1))))
     least = int(model.frequent[1].min()) if len(model.frequent[1]) else None
     rare = model.counts if least is None else model.counts.where(F.col("c") < least)
-    out = rare.select(F.lit(0).alias("s"), "x", log.alias("base"), log.alias("more"))
+    out = rare.select(F.lit(0).alias("kind"), F.col("x").alias("key"), log.alias("base"), log.alias("more"))
     if model.corrections is not None:
-        out = out.union(model.corrections.select("s", "x", F.lit(0).cast("long"), fixed(F.col("more") / _LN10)))
-    return out
+        out = out.union(model.corrections.select(F.lit(1), _key_of(F.col("s"), F.col("x")), F.lit(0).cast("long"), fixed(F.col("more") / _LN10)))
+    return out.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
 
 
 def score(docs: DataFrame, model: SuffixTree) -> DataFrame:
     """docs (text, ...) -> docs without text, with n_tokens, n_known, base_score and score (log10 probabilities of whole texts)."""
     row, = core.clear_of(docs.columns, "row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
-    joined = _sent(placed.select(F.col(row).alias("row"), "text"), model).join(_table(model), ["s", "x"], "left").select("s", "first", "data", "base", "more")
+    buckets = -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1) // BUCKET_BYTES)
     unknown = int(_fixed(np.array([-np.log10(model.n + model.v + 1)]))[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(sent: pa.Table, known: pa.Table) -> pa.Table:
+        kinds, keys, base, more = (known.column(c).to_numpy() for c in ("kind", "key", "base", "more"))
+        tables = []
+        for kind in (0, 1):
+            own = np.flatnonzero(kinds == kind)
+            own = own[np.argsort(keys[own])]
+            tables.append((keys[own], base[own], more[own]))
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        many = 0
-        for batch in batches:
-            s, first = (batch.column(c).to_numpy() for c in ("s", "first"))
-            met = batch.column("more").is_valid().to_numpy(zero_copy_only=False)
-            base, more = (batch.column(c).fill_null(0).to_numpy() for c in ("base", "more"))
-            for i in np.flatnonzero(s < 0):
-                sums = np.frombuffer(batch.column("data")[int(i)].as_py(), np.int64).reshape(len(_SUMS), -1)
-                held.append((first[i] + np.arange(sums.shape[1]), sums))
-                many += sums.shape[1]
-            rest = np.flatnonzero((s == 0) | ((s > 0) & met))
-            if len(rest):
-                data = batch.column("data").take(pa.array(rest))
-                doc = np.frombuffer(b"".join(data.to_pylist()), np.uint16)
-                size = np.array([len(x) for x in data.to_pylist()]) // 2
-                rows, word = np.repeat(first[rest], size) + doc, s[rest] == 0
-                values = np.stack([np.zeros(len(rest), np.int64), word & met[rest], np.where(word & ~met[rest], unknown, base[rest]), np.where(word & ~met[rest], unknown, more[rest])])
-                held.append((rows, np.repeat(values, size, axis=1)))
-                many += len(rows)
-            if many > 1 << 21:
-                held = [_summed(held)]
-                many = len(held[0][0])
-                if many > 1 << 20:
-                    yield _batch(*held.pop())
-                    many = 0
-        if held:
-            yield _batch(*_summed(held))
-
-    sums = joined.mapInArrow(core.lean(run), "row long, " + ", ".join(f"{c} long" for c in _SUMS)).groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS))
+        for r in range(sent.num_rows):
+            kind, first, data = sent.column("kind")[r].as_py(), sent.column("first")[r].as_py(), sent.column("data")[r].as_py()
+            if kind < 0:
+                sums = np.frombuffer(data, np.int64).reshape(len(_SUMS), -1)
+                held.append((first + np.arange(sums.shape[1]), sums))
+                continue
+            asked = np.frombuffer(sent.column("keys")[r].as_py(), np.int64)
+            counts, doc = np.frombuffer(sent.column("counts")[r].as_py(), np.uint32), np.frombuffer(data, np.uint16)
+            names, low, high = tables[kind]
+            place = _found(names, asked, np.arange(len(names)), -1)
+            met = place >= 0
+            if kind:
+                doc, counts, place = doc[np.repeat(met, counts)], counts[met], place[met]
+                values = np.stack([np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), low[place], high[place]])
+            else:
+                values = np.full((4, len(asked)), unknown)
+                values[0], values[1] = 0, met
+                values[2, met], values[3, met] = low[place[met]], high[place[met]]
+            held.append(_summed([(first + doc.astype(np.int64), np.repeat(values, counts, axis=1))]))
+        rows, sums = _summed(held) if held else (np.zeros(0, np.int64), np.zeros((len(_SUMS), 0), np.int64))
+        return pa.table({"row": rows, **dict(zip(_SUMS, map(np.ascontiguousarray, sums), strict=True))})
+
+    sent, known = _sent(placed.select(F.col(row).alias("row"), "text"), model, buckets), _table(model, buckets)
+    summed = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "row long, " + ", ".join(f"{c} long" for c in _SUMS))
+    sums = summed.groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS))
     told = sums.select(F.col("row").alias(row), "n_tokens", "n_known", (F.col("base") / FIXED).alias("base_score"), (F.col("score") / FIXED).alias("score"))
     return placed.drop("text", *told.columns[1:]).join(told, row).drop(row)
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by row, of some lists of rows and values."""
     rows = np.concatenate([r for r, _ in held])
     values = np.concatenate([v for _, v in held], axis=1)
+    if not len(rows):
+        return rows, values
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
-    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    begins = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
     return rows[begins], np.add.reduceat(values[:, order], begins, axis=1)
-
-
-def _batch(rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.ascontiguousarray(v)) for v in values)], names=["row", *_SUMS])
