@@ -41,7 +41,8 @@ class IntentClassifier:
         self.classes = sorted(counts)
         dims = spark.createDataFrame([(k, float(i), n / (len(counts) * counts[k])) for i, k in enumerate(self.classes)], "label string, y double, weight double")
         v = F.coalesce("v", F.array().cast(VECTOR))
-        sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform(v, lambda x: (x["t"] - 1).cast("int")).alias("indices"), F.transform(v, lambda x: x["w"]).alias("values"))
+        by_term = F.sort_array(v)
+        sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform(by_term, lambda x: (x["t"] - 1).cast("int")).alias("indices"), F.transform(by_term, lambda x: x["w"]).alias("values"))
         rows = examples.join(F.broadcast(dims), "label").join(self.space.weights, "id", "left").select(sparse.alias("features"), "y", "weight")
         path = new_path(spark, "training")
         rows.coalesce(max(1, n // PARTITION_ROWS)).write.parquet(path)
