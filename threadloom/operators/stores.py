@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import DIMENSIONS, FLAGS, INTENTS, REASONS, ROUTES
 
@@ -52,20 +55,114 @@ def freeze(spark: SparkSession, path: str, manifest: dict, keys: tuple[str, ...]
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Replaces a table by a renamed new version; the former one stays beside it as `.bak`.
+    """Replaces a table by a renamed new version; the former one stays beside it as `.bak`. Snapshots has no moment without a table; this has one between two renames.
 
-    A rename that the file system refuses is an error, and the former table is put back.
+    A rename that the file system refuses is an error, and the former table is put back. The older backup goes last.
     """
     spark = df.sparkSession
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    fresh, final, backup = make(f"{path}.{uuid.uuid4().hex}"), make(path), make(f"{path}.bak")
+    make, mark = spark._jvm.org.apache.hadoop.fs.Path, uuid.uuid4().hex
+    fresh, final, backup, older = make(f"{path}.{mark}"), make(path), make(f"{path}.bak"), make(f"{path}.bak.{mark}")
     df.write.mode("errorifexists").parquet(fresh.toString())
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(final):
-        fs.delete(backup, True)
+        if fs.exists(backup) and not fs.rename(backup, older):
+            raise OSError(f"{backup} could not be moved away")
         if not fs.rename(final, backup):
             raise OSError(f"{final} could not be moved away")
     if not fs.rename(fresh, final):
         if fs.exists(backup):
             fs.rename(backup, final)
         raise OSError(f"{fresh} could not be put in the place of {final}")
+    fs.delete(older, True)
+
+
+class Conflict(Exception):
+    """Another writer has published since the version that this one began from."""
+
+
+class Snapshots:
+    """A table as numbered versions: data in folders that never change, and a log with one entry for each version.
+
+    A version counts from the moment when its entry gets its name, which the file system does at once and refuses if the
+    name is taken; so readers always find a whole table, and of two writers with the same number the later one is told.
+    A reader is pinned to the version that it read, until vacuum takes that version away.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._make = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._make(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        log = self._make(f"{self.path}/log")
+        if not self._fs.exists(log):
+            return []
+        names = (f.getPath().getName() for f in self._fs.listStatus(log))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
+
+    def latest(self) -> int:
+        """The number of the last version; 0 before the first."""
+        return max(self.versions(), default=0)
+
+    def _entry(self, version: int) -> dict:
+        stream = self._fs.open(self._make(f"{self.path}/log/{version:020d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table as of a version, the last one by default; later versions do not change what this gives."""
+        entry = self._entry(self.latest() if version is None else version)
+        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(f"{self.path}/{entry['folder']}")
+
+    def publish(self, df: DataFrame, after: int | None = None) -> int:
+        """Writes a version and gives its number. after: the version that df was made from; Conflict if it is no longer the last."""
+        after = self.latest() if after is None else after
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.path}/{folder}")
+        try:
+            return self._commit(after + 1, {"folder": folder, "schema": json.loads(df.schema.json())})
+        except Conflict:
+            self._fs.delete(self._make(f"{self.path}/{folder}"), True)
+            raise
+
+    def restore(self, version: int) -> int:
+        """Makes an earlier version the last one again, as a new entry for the same data."""
+        return self._commit(self.latest() + 1, self._entry(version))
+
+    def _commit(self, version: int, entry: dict) -> int:
+        jvm = self.spark._jvm
+        final, part = self._make(f"{self.path}/log/{version:020d}.json"), self._make(f"{self.path}/log/.{uuid.uuid4().hex}.part")
+        out = self._fs.create(part, False)
+        try:
+            out.write(bytearray(json.dumps(entry).encode()))
+        finally:
+            out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            if self._fs.exists(final) or version != self.latest() + 1:
+                raise Conflict(f"{self.path} has version {self.latest()}, not {version - 1}")
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            try:
+                context.rename(self._fs.makeQualified(part), self._fs.makeQualified(final), options)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in str(e.java_exception):
+                    raise Conflict(f"{self.path} has a version {version} already") from None
+                raise
+        finally:
+            self._fs.delete(part, False)
+        return version
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Takes away all versions but the last `keep`, entries first, and data that none of the rest names (also of writers that broke off)."""
+        if keep < 1:
+            raise ValueError("the last version stays")
+        every = self.versions()
+        for v in every[:-keep]:
+            self._fs.delete(self._make(f"{self.path}/log/{v:020d}.json"), False)
+        named = {self._entry(v)["folder"] for v in every[-keep:]}
+        data = self._make(f"{self.path}/data")
+        for f in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            if f"data/{f.getPath().getName()}" not in named:
+                self._fs.delete(f.getPath(), True)

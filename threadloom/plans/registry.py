@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import modelcall, retrieval, threads
+from ..operators import modelcall, threads
 from ..session import cut
 from . import pipelines, relational_queries, report_queries, text_queries
 from .relational_queries import _number as number
@@ -19,18 +18,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agent_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns through the gated agent: earlier turns as context, the most similar answered turns of other conversations as evidence, offline client."""
     turns = relational_queries._turns(spark, sf_dir)
-    pairs = cut(threads.reply_pairs(turns).select(F.col("customer_id").alias("id"), "customer_text", "support_text"), "pairs")
+    pairs = threads.reply_pairs(turns).select(F.col("customer_id").alias("id"), F.col("customer_text").alias("message"), F.col("support_text").alias("reply"))
     asked = cut(turns.where("inbound").select("id", F.col("text").alias("message"), "conv_id", F.col("ts").alias("turn")), "asked")
-    space = retrieval.TfIdf.fit(pairs.select("id", T.clean(F.coalesce("customer_text", F.lit(""))).alias("text")), max_features=50_000)
-    top = space.top_k(asked.select("id", F.coalesce("message", F.lit("")).alias("text")), 5).where("query.conv_id <> id.conv_id").join(pairs, "id")
-    shown = F.struct("rank", number(F.col("id")).cast("string").alias("id"), F.col("customer_text").alias("message"), F.col("support_text").alias("reply"))
-    found = top.groupBy(F.col("query").alias("id")).agg(F.array_sort(F.collect_list(shown)).alias("e"))
-    record = "array<struct<id:string,message:string,reply:string>>"
-    evidence = F.transform("e", lambda x: F.struct(x["id"].alias("id"), x["message"].alias("message"), x["reply"].alias("reply"))).cast(record)
+    found = pipelines.Precedents.of(pairs).found(asked.select("id", F.coalesce("message", F.lit("")).alias("text")), 5, "query.conv_id <> id.conv_id", lambda id: number(id).cast("string"))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
     context = turns.select("id", "conv_id", F.col("ts").alias("turn"), "text").withColumn("context", F.collect_list("text").over(before)).select("id", "context")
-    examples = asked.join(context, "id").join(found, "id", "left").select(number(F.col("id")).alias("id"), "message", "context", F.lit(False).alias("context_flagged"), F.coalesce(evidence, F.array().cast(record)).alias("evidence"))
-    out = pipelines.gated_agent(examples, spark.createDataFrame([], "fingerprint string, parsed string, metadata string"), client=modelcall.offline_citing_stub)
+    examples = asked.join(context, "id").join(found, "id", "left").select(number(F.col("id")).alias("id"), "message", "context", F.lit(False).alias("context_flagged"), F.coalesce(F.col("evidence").cast(pipelines.RECORDS), F.array().cast(pipelines.RECORDS)).alias("evidence"))
+    out = pipelines.gated_agent(examples, client=modelcall.offline_citing_stub)
     return out.select("id", "intent", "route", "reason", "draft", "reply_kind", "model", "api_error", "evidence_ids", "output_check_violations", "style_version")
 
 

@@ -301,7 +301,7 @@ _REASON = "'stub ' || substr(sha256(body), 1, 8)"
 def model_call_stub(spark: SparkSession, d: str) -> DataFrame:
     """User turns through fingerprint, stub client and output contract; failed rows fall back to a hand-off."""
     requests = modelcall.with_fingerprint(_asked(spark, d).select("id", "body"), "stub")
-    answers = cut(modelcall.call_misses(requests, modelcall.offline_stub, ["stub"]), "answers")
+    answers = modelcall.call_misses(requests, modelcall.offline_stub, ["stub"])
     out = requests.select("id", "fingerprint").join(answers.drop("id"), "fingerprint", "left").withColumn("p", modelcall.parsed_output("parsed"))
     return out.select("id", "fingerprint", F.coalesce("p.intent", F.lit("other_unclear")).alias("intent"), F.coalesce("p.route", F.lit("escalate")).alias("route"), F.coalesce("p.reason", F.lit("generation unavailable")).alias("reason"), "model")
 
