@@ -271,6 +271,6 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark):
 
 def test_tokens_of_a_slice():
     for t in core.slices(pa.array(["a b", None, "", " c\n"])):
-        got = suffix_tree.tokens(t)
+        got = suffix_tree.tokens([suffix_tree.piece(t)])
         assert got.doc.tolist() == [0, 0, 0, 1, 2, 3, 3] and got.place.tolist() == [0, 1, 2, 0, 0, 0, 1]
         assert (got.words[got.code] == suffix_tree.END).tolist() == [False, False, True, True, True, False, True]

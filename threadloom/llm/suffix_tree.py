@@ -88,28 +88,46 @@ class Tokens:
     place: np.ndarray
 
 
-def tokens(texts: core.Texts) -> Tokens:
+def piece(texts: core.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, how many each text has)."""
     w = core.words(texts)
-    many = np.diff(w.doc_first) + 1
-    doc = np.repeat(np.arange(len(texts)), many)
+    return w.hashes(lower=True), np.diff(w.doc_first)
+
+
+def tokens(pieces: list[tuple[np.ndarray, np.ndarray]]) -> Tokens:
+    many = np.concatenate([n for _, n in pieces])
+    doc = np.repeat(np.arange(len(many)), many + 1)
     all_ = np.full(len(doc), END)
-    all_[np.arange(len(w.start)) + core.doc_of(w.doc_first)] = w.hashes(lower=True)
+    all_[np.arange(many.sum()) + np.repeat(np.arange(len(many)), many)] = np.concatenate([h for h, _ in pieces])
     code, distinct = pd.factorize(all_)
-    return Tokens(distinct, code, doc, np.arange(len(doc)) - (np.cumsum(many) - many)[doc])
+    return Tokens(distinct, code, doc, np.arange(len(doc)) - (np.cumsum(many + 1) - many - 1)[doc])
 
 
 def _signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Rows of a batch and their tokens, of about SLICE_BYTES of text; words are hashed in smaller pieces, as that takes some tens of bytes a byte."""
+    pieces, first, rows, size = [], 0, 0, 0
+    for t in core.slices(batch.column("text")):
+        pieces.append(piece(t))
+        rows, size = rows + len(t), size + len(t.data)
+        if size >= SLICE_BYTES:
+            yield batch.slice(first, rows), tokens(pieces)
+            pieces, first, rows, size = [], first + rows, 0, 0
+    if rows:
+        yield batch.slice(first, rows), tokens(pieces)
+
+
 def _per_slice(run, schema: str, docs: DataFrame) -> DataFrame:
     """run(batch of the slice's rows, tokens) -> columns, over all slices of docs (.., text)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in core.slices(batch.column("text"), SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays(run(batch.slice(t.first, len(t)), tokens(t)), names=names)
+            for part, t in _slices(batch):
+                yield pa.RecordBatch.from_arrays(run(part, t), names=names)
 
     return docs.mapInArrow(core.lean(whole), schema)
 
