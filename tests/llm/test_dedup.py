@@ -127,6 +127,22 @@ def test_components_by_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_rows_without_a_rival_join_nothing(spark):
+    """Texts that their prefix tells apart have no digest, and must not meet in the task of the missing one."""
+    rows = [(i, f"{i} stands alone") for i in range(3000)] + [(5000 + i, "copies " * 5 + str(i // 2)) for i in range(60)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("false", "-1", "8"), strict=True):
+            spark.conf.set(k, v)
+        got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, DOCS).repartition(6))
+        parts = got.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 1200 and sum(r["count"] for r in parts) == 3060
+        assert got.where("group_size = 2 and text_sha256 is not null").count() == 60 and got.where("text_sha256 is null and kept and group_size = 1").count() == 3000
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_exact_duplicates(spark):
     rows = [(3, "a b"), (1, "ab"), (2, "a  b"), (4, None), (5, ""), (6, " "), (7, "abc"), (None, "q"), (8, "q"), (9, "x" * 500), (10, "x" * 499 + "y"), (11, "\x0b\x0c x" + "x" * 499)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'clash' as sha", "1 as n")
@@ -180,10 +196,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_line_dedup_without_filters_is_the_same(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
+@pytest.mark.parametrize("shard_keys, few", [(1 << 18, 10), (2, 10), (2, 0)])
+def test_line_filters_are_used_by_shards_and_in_groups(spark, monkeypatch, shard_keys, few):
+    """However many shards there are, filters tell unique lines; a shard with a very frequent line is dealt over groups."""
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 3)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(line_dedup, "FEW_SHARDS", few)
     got = line_dedup.dedup_lines(spark.createDataFrame(LINES, DOCS))
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()} == brute_lines(LINES)
+    rows = [(i, f"the line that all have\nunique line number {i}\npair of lines {i // 2}") for i in range(120)]
+    index = line_dedup.LineIndex(spark)
+    index.add(spark.createDataFrame(rows, DOCS), "all")
+    last = index.commits()[-1]
+    keys = index._keys_of(None, "all")
+    probed = index._probed(keys, last.shards, index._stored(last.filters))
+    assert keys.count() == 360 and 240 <= probed.count() <= 250
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in index.dedup(spark.createDataFrame(rows, DOCS)).collect()} == brute_lines(rows)
+    with pytest.raises(ValueError):
+        index.drops(spark.createDataFrame(rows, DOCS), "unknown batch")
 
 
 def test_line_index_can_be_undone(spark, monkeypatch):

@@ -404,3 +404,14 @@ def test_encode_texts(spark, vocabulary):
         want = vocabulary.library.encode(text, add_eos=True)
         assert (x.ids, x.n_tokens, x.decoded) == (want, len(want), vocabulary.library.decode(want))
     assert encode_texts(docs.limit(0), MODEL, as_text=True).collect() == []
+
+
+def test_repeated_labels_and_rows_train_as_one(spark):
+    """The sample bounds what the training task gets, whatever repeats: labels of an id, rows of an id, or both."""
+    docs = spark.createDataFrame([(i, f"good plain words {i} here " * 20 if i % 2 else f"zz qq {i} xx ww " * 20) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    many = docs
+    for _ in range(4):
+        many = many.union(docs.where("doc_id < 10"))
+    plain, repeated = quality_rules.train(docs, labels), quality_rules.train(many, labels.union(labels).union(labels))
+    assert (plain[0] == repeated[0]).all() and (plain[1] == repeated[1]).all()

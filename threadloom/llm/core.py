@@ -50,10 +50,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: What workers keep from map to map, by the module that keeps it: a function that forgets it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same map over batches; at its end the worker, which lives on for other stages, gives freed memory back (where the C library can)."""
+    """The same map over batches. A worker lives on for other stages: at the beginning it forgets what maps of other modules keep, at the end it gives freed memory back (where the C library can)."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, forget in KEPT.items():
+            if module != run.__module__:
+                forget()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

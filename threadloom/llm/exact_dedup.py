@@ -1,15 +1,17 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash. DataFrame only.
 
 Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Rows are
-grouped by the length of the normalised text; those of lengths that occur twice by a hash of its
-first 64 code points as well; only rows whose (length, prefix) occurs twice have their whole text
-hashed with SHA-256 and grouped by it. Groups above a hundred-thousandth of all rows, of which there
-are fewer than a hundred thousand, meet their rows by a broadcast, so no hot digest is shuffled. Of equal texts the row with most code points in the original
-text stays, then the smallest doc_id. Texts are never shuffled, only these keys are.
+counted by the length of the normalised text and a hash of its first 64 code points, both made where a
+row is read; rows of lengths that occur once, and then of prefixes that do, are done. Only the others
+have their whole text hashed with SHA-256 and are grouped by it. Groups above a hundred-thousandth of all
+such rows, of which there are fewer than a hundred thousand, meet their rows by a broadcast, so no hot
+digest is shuffled. Of equal texts the row with most code points in the original text stays, then the
+smallest doc_id. Texts are never shuffled, only these keys are.
 
 Defined cases: a null text counts as empty, and all such texts are equal; a null doc_id loses each
 tie; of fully repeated rows each one with the doc_id that stays is kept, as nothing tells them
-apart; an empty table gives no rows. Only doc_id and text are read.
+apart; a long text is hashed by itself where it is read; an empty table gives no rows. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -44,13 +46,16 @@ def exact_duplicates(docs: DataFrame, hash_all: bool = False) -> DataFrame:
     sha = F.sha2(F.col("normal").cast("binary"), 256)
     told = cut(told.select("doc_id", "cps", "rival", (sha if hash_all else F.when(F.col("rival"), sha)).alias("text_sha256")), "told")
     discard(counts)
+    alone = told.where("rival is null").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size"))
+    told = told.where("rival")  # only these join by their digest, which each of them has
     order = F.struct((-F.col("cps")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
-    groups = told.where("rival").groupBy("text_sha256").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
+    groups = told.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
     groups = cut(groups, "groups")
     hot_size = max(HOT, told.count() // MANY)
     hot = F.broadcast(groups.where(F.col("size") > hot_size))
     met = told.join(hot, "text_sha256").select("doc_id", "text_sha256", "best", "size")
     cold = told.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(groups.where(F.col("size") <= hot_size), "text_sha256", "left")
-    out = met.union(cold.select("doc_id", "text_sha256", "best", "size"))
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    out = met.union(cold.select("doc_id", "text_sha256", "best", "size")).select("doc_id", "text_sha256", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+    out = out.union(alone)
+    return out.select("doc_id", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

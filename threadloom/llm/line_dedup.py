@@ -13,10 +13,10 @@ table, and all are when keys outgrow the number of shards. An index is opened ag
 process; of two writers at once the second fails. Earlier documents are never read again, only their
 postings of touched keys.
 
-Documents are filtered in two steps: the cuckoo filters tell almost all unique lines at once, on
-the map side, and the exact table decides the rest, so a false hit of a filter never drops a line.
-Filters are broadcast while their total is below ``FILTER_BYTES``; beyond it each line's key meets
-the exact table by a shuffle, with the same result.
+Documents are filtered in two steps: the keys of their lines meet the cuckoo filter of their shard, which
+tells almost all unique lines, and the exact table decides the rest, so a false hit of a filter never
+drops a line. A shard with many rows, as one with a very frequent line, is dealt over several groups by
+document, each with a copy of the filter. Keys of documents that were just added are read from their batch.
 
 Defined cases: null or empty text is one empty line; keys below 10 code points never count; of a
 doc_id that comes twice, its rows count as one document; a row with null doc_id keeps all its lines
@@ -43,7 +43,10 @@ WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 18
-FILTER_BYTES = 64 << 20
+#: Rows of keys that meet a copy of their shard's filter at once, about.
+PROBE_ROWS = 1 << 17
+#: Shards whose numbers of groups are broadcast; more meet their rows by a shuffle.
+FEW_SHARDS = 200_000
 KEYS = "key_hi long, key_lo long, doc_id long"
 COUNTS = "key_hi long, key_lo long, refs long, first_doc long"
 COMMIT = "batch_id string, seq long, folder string, shards long, keys long, filters map<long,string>"
@@ -101,39 +104,21 @@ def _changed_filter(key: tuple[pa.Scalar, ...], changes: pa.Table, old: pa.Table
     return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([stored.to_bytes() if fits else b""], pa.binary())})
 
 
-def _resolve(filters: dict[int, bytes] | None, shards: int):
-    """Lines that may be in the exact table: a row for each such line, after its document's own row."""
+def _probe(key: tuple[pa.Scalar, ...], rows: pa.Table, filters: pa.Table) -> pa.Table:
+    """The rows whose key the filter of their shard may hold."""
+    rows = rows.select(["doc_id", "key_hi", "key_lo"])
+    if not filters.num_rows or not rows.num_rows:
+        return rows.slice(0, 0)
+    held = CuckooFilter.from_bytes(filters["filter"][0].as_py())
+    return rows.filter(pa.array(held.contains(rows["key_lo"].to_numpy().astype(U64))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if filters is None else {k: CuckooFilter.from_bytes(v) for k, v in filters.items()}
-        for batch in batches:
-            ids, maybe = [], []
-            for text in batch.column("text"):
-                own = [k for k in line_keys(text.as_py()) if k is not None]
-                maybe.extend(own)
-                ids.append(len(own))
-            hi, lo = _halves(maybe)
-            if known is None:
-                hit = np.ones(len(lo), bool)
-            else:
-                hit = np.zeros(len(lo), bool)
-                shard = shard_of(hi, shards)
-                for s, f in known.items():
-                    at = np.flatnonzero(shard == s)
-                    hit[at] = f.contains(lo[at].astype(U64))
-            doc = np.repeat(np.arange(len(ids)), ids)
-            rows = np.unique(np.stack([doc[hit], hi[hit], lo[hit]], axis=1), axis=0) if hit.any() else np.zeros((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows[:, 0])), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["doc_id", "key_hi", "key_lo"])
 
-    return run
+def _shard_of(shards: int):
+    return F.shiftright("key_hi", 20).bitwiseAND(F.lit(shards - 1)).cast("long")
 
 
 def _shard(shards: int):
-    return F.shiftright("key_hi", 20).bitwiseAND(F.lit(shards - 1)).cast("long").alias("shard")
-
-
-def shard_of(key_hi: np.ndarray, shards: int) -> np.ndarray:
-    return (key_hi.astype(np.int64) >> 20) & (shards - 1)
+    return _shard_of(shards).alias("shard")
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,26 +263,44 @@ class LineIndex:
         """Whether a doc_id comes twice, so that rows must not be counted as documents."""
         return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
 
-    def drops(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, drop): the keys that each document must lose, as 16-byte strings."""
+    def _keys_of(self, docs: DataFrame, batch_id: str | None) -> DataFrame:
+        """(key_hi, key_lo, doc_id) of docs; of a batch that added just these, as it was written."""
+        if batch_id is not None:
+            for c in self.commits():
+                if c.batch_id == batch_id:
+                    return self._postings(c.folder).drop("delta")
+            raise ValueError(f"there is no batch {batch_id!r}")
+        return cut(postings(docs), "keys")
+
+    def _probed(self, keys: DataFrame, shards: int, stored: DataFrame) -> DataFrame:
+        """The rows of keys that the stored filters may hold."""
+        sharded = keys.withColumn("shard", _shard_of(shards))
+        groups = sharded.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("groups"))
+        groups = F.broadcast(groups) if shards <= FEW_SHARDS else groups
+        rows = sharded.join(groups, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int"))
+        copies = stored.join(groups, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        given = rows.select("shard", "part", "doc_id", "key_hi", "key_lo").groupBy("shard", "part")
+        return given.cogroup(copies.select("shard", "part", "filter").groupBy("shard", "part")).applyInArrow(_probe, "doc_id long, key_hi long, key_lo long")
+
+    def drops(self, docs: DataFrame, batch_id: str | None = None) -> DataFrame:
+        """(doc_id, drop): the keys that each document must lose, as 16-byte strings. batch_id: the batch that added just these documents, if one did."""
         done = self.commits()
-        shards, stored = (done[-1].shards, self._stored(done[-1].filters)) if done else (1, self._stored({}))
-        size = stored.agg(F.sum(F.length("filter"))).first()[0] or 0
-        filters = {r.shard: bytes(r.filter) for r in stored.collect()} if size <= FILTER_BYTES else None
-        maybe = _plain(docs).where("doc_id is not null").mapInArrow(lean(_resolve(filters, shards)), "doc_id long, key_hi long, key_lo long")
+        if not done:
+            return self.spark.createDataFrame([], "doc_id long, drop array<binary>")
+        maybe = self._probed(self._keys_of(docs, batch_id), done[-1].shards, self._stored(done[-1].filters))
         exact = maybe.join(self.counts(done).where("refs > 1"), ["key_hi", "key_lo"]).where("doc_id <> first_doc")
         key = F.concat(*(F.to_binary(F.lpad(F.hex(c), 16, "0"), F.lit("hex")) for c in ("key_hi", "key_lo")))
         return exact.select("doc_id", key.alias("key")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """docs -> (doc_id, text, n_lines, n_dropped), one row for each row of docs, text without its dropped lines."""
-        drops = cut(self.drops(docs), "drops")
+    def dedup(self, docs: DataFrame, batch_id: str | None = None) -> DataFrame:
+        """docs -> (doc_id, text, n_lines, n_dropped), one row for each row of docs, text without its dropped lines; batch_id as of drops."""
+        drops = cut(self.drops(docs, batch_id), "drops")
         return _plain(docs).join(drops, "doc_id", "left").mapInArrow(lean(_rewrite), "doc_id long, text string, n_lines long, n_dropped long")
 
-    def rewrite(self, docs: DataFrame) -> DataFrame:
-        """All columns of docs, whatever their names, each row's text without its dropped lines; a null text stays null."""
+    def rewrite(self, docs: DataFrame, batch_id: str | None = None) -> DataFrame:
+        """All columns of docs, whatever their names, each row's text without its dropped lines; a null text stays null; batch_id as of drops."""
         id_, drop = clear_of(docs.columns, "line_id", "line_drop")
-        drops = cut(self.drops(docs), "drops").select(F.col("doc_id").alias(id_), F.col("drop").alias(drop))
+        drops = cut(self.drops(docs, batch_id), "drops").select(F.col("doc_id").alias(id_), F.col("drop").alias(drop))
         met = docs.join(drops, docs["doc_id"].cast("long") == drops[id_], "left").drop(id_)
         return met.mapInArrow(lean(_rewrite_in_place(drop)), docs.schema)
 
@@ -318,4 +321,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """Line dedup of one table: all its documents are added to an empty index and filtered by it."""
     index = LineIndex(docs.sparkSession)
     index.add(docs, "all")
-    return index.dedup(docs)
+    return index.dedup(docs, "all")

@@ -23,10 +23,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import lean
+from .core import KEPT, lean
 
 SPACE = "▁"
-REMEMBERED, LONG_PART, SHORT_PART = 300_000, 48, 40
+LONG_PART, SHORT_PART = 48, 40
+#: Bytes of remembered parts, of which there are two generations, and about what an entry takes besides its characters.
+REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 240
 
 
 class MergeVocabulary:
@@ -53,6 +55,7 @@ class MergeVocabulary:
         self.probe = "\n" if "\n" not in held else None
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.held = 0
         self.altered = False
         self.fresh: list[tuple[str, str]] = []
 
@@ -152,6 +155,7 @@ class MergeVocabulary:
             if len(part) > LONG_PART or not faithful:
                 return found
         self.known[part] = found
+        self.held += ENTRY_BYTES + 2 * len(part) + len(found)
         return found
 
     def encode(self, text: str) -> tuple[str, int, str]:
@@ -160,8 +164,8 @@ class MergeVocabulary:
             return str(self.end), 1, ""
         known, self.altered = self.known, False
         ids = " ".join([known.get(p) or self._entry(p) for p in self.parts(SPACE + text.replace(" ", SPACE))])
-        if len(known) > REMEMBERED:
-            self.known, self.older = {}, known
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.older, self.held = {}, known, 0
         # Parts hold whole characters, so a text whose parts decode to themselves decodes to itself.
         decoded = self.decode(list(map(int, ids.split()))) if self.altered else text.replace(SPACE, " ")
         return f"{ids} {self.end}", ids.count(" ") + 2, decoded
@@ -181,6 +185,7 @@ class MergeVocabulary:
 
 
 _MODELS: dict[int, MergeVocabulary] = {}
+KEPT[__name__] = _MODELS.clear
 BYTES = 1 << 20
 
 

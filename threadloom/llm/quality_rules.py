@@ -99,10 +99,12 @@ def _model(w: np.ndarray, platt: np.ndarray) -> pa.RecordBatch:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights of both tables with the constant, and the calibration (slope, constant)."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("good"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("good")).distinct()
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text for each label, whichever way rows or labels repeat, so that the task that trains gets no more than the sample.
+    texts = texts.groupBy("doc_id", "good").agg(F.min("text").alias("text"))
     found = texts.repartition(1).mapInArrow(_train, "weights binary, platt array<double>").collect()
     if not found:
         return np.zeros((2 << BITS) + 1, np.float32), np.array([0.0, 20.0])
