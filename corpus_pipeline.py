@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     index = line_dedup.LineIndex(spark)
     index.add(docs, "all")
     n_chars = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return index.rewrite(docs).withColumn("n_chars", n_chars).select(*docs.columns)
+    return index.rewrite(docs, "all").withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
