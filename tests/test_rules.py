@@ -98,30 +98,3 @@ def test_copy_holds_its_phrases():
     for key, phrases in R.COPY_PHRASES.items():
         assert all(p.casefold() in R.HANDOFF_COPY[key].casefold() for p in phrases), key
     assert not any(w in R.HANDOFF_COPY[k] for k in ("feature", "feature_waited", "playback", "resolved", "unclear", "catalog_title") for w in ("DMs", "account details", "payment"))
-
-
-# (message, intent, route, draft, cited, expected route, words that the draft must hold, words that it must not hold); the first 11 may not go out as they are
-HOSTILE = [
-    ("Two payments left my card, charged twice", "billing_subscription", "auto_handle", "We've refunded both.", [], "escalate", ["privately", "DMs", "don't post"], ["refunded"]),
-    ("Somebody hacked me", "account_access_security", "auto_handle", "Just log in again.", ["e1"], "escalate", ["email address"], ["log in"]),
-    ("What do you need from me", "account_access_security", "auto_handle", "Send us your password please", ["e1"], "escalate", ["don't post", "password"], ["send us"]),
-    ("Please build folders", "feedback_feature_request", "auto_handle", "See http://example.com/folders", ["e1"], "escalate", ["suggestion", "can't confirm"], ["http", "DMs"]),
-    ("Please build folders", "feedback_feature_request", "auto_handle", "I'll pass this to the product team", ["e1"], "escalate", ["suggestion"], ["pass this"]),
-    ("It stops on my phone", "playback_app", "auto_handle", "Empty the cache.", [], "escalate", ["device", "app version"], ["cache"]),
-    ("My list is gone", "library_playlists", "auto_handle", "Remove it.", ["made up"], "escalate", ["library or playlist", "which device"], ["remove"]),
-    ("When is this album back", "catalog_availability", "auto_handle", "We'll make it available", ["e1"], "escalate", ["which title", "country or region"], ["we'll make"]),
-    ("I finally got access, cheers", "other_unclear", "auto_handle", "Mail us your address", [], "escalate", ["Glad to hear"], ["DMs", "what happens"]),
-    ("I might end my life", "library_playlists", "auto_handle", "Try a happy list!", ["e1"], "escalate", ["local emergency", "someone you trust"], ["happy"]),
-    ("It still stops, again", "playback_app", "auto_handle", "Install it anew.", ["e1"], "escalate", ["still happening", "earlier steps"], ["anew"]),
-    ("The mini player is awful", "feedback_feature_request", "auto_handle", "A compact mini player is a clear wish.", ["e1"], "auto_handle", ["compact"], ["DMs"]),
-    ("I am lost", "other_unclear", "escalate", "This needs a human.", [], "escalate", ["what you're trying to do", "don't include"], ["human"]),
-]
-
-
-def test_hostile_outputs_end_to_end(spark):
-    columns = "message string, intent string, route string, draft string, evidence_ids array<string>"
-    rows = spark.createDataFrame([h[:5] for h in HOSTILE], columns).withColumns({"reason": F.lit("a case"), "reply_kind": F.lit("answer"), "allowed_ids": F.array(F.lit("e1")), "context_flagged": F.lit(False)})
-    got = {(r.message, r.draft_was): r for r in G.gate(rows.withColumn("draft_was", F.col("draft"))).collect()}
-    for message, _, _, draft, _, route, must, never in HOSTILE:
-        r = got[message, draft]
-        assert r.route == route and all(x.casefold() in r.draft.casefold() for x in must) and not any(x.casefold() in r.draft.casefold() for x in never), (message, r.draft)
