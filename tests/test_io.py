@@ -1,6 +1,9 @@
 """Sources, sinks, the stream, the registry's contract."""
 
+import csv
+import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -31,7 +34,7 @@ def test_zipped_archive_and_split_builder(spark, tmp_path):
     assert str(first.created_at) == "2017-10-31 22:10:47"
     with pytest.raises(Exception):
         archive.stage(rows, str(tmp_path / "rows"))
-    splits = pipelines.build_splits(rows, "Brand", {"dev": 1})
+    splits = pipelines.build_splits(rows, "Brand", {"dev": 1}, {})
     assert splits.examples.count() == 1 and splits.examples.where("component_id = 5").count() == 0
     used, history = {r.component_id for r in splits.examples.collect()}, {r.customer_id for r in splits.history.collect()}
     assert not used & history and history <= {1, 3}
@@ -39,6 +42,32 @@ def test_zipped_archive_and_split_builder(spark, tmp_path):
         archive.unzip_once(str(tmp_path / "a.zip"), str(tmp_path / "s2"), "other.csv")
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1000, 1 << 20])
+def test_a_zipped_csv_is_cut_where_its_records_end(spark, tmp_path, monkeypatch, chunk):
+    """Whatever the pieces: quotes, line breaks and characters of several bytes over their borders; groups of three pieces in the scans."""
+    monkeypatch.setattr(archive, "GROUP", 3)
+    draw = random.Random(5)
+    words = ["plain", 'a "quoted" word', "two\nlines", "é 日本 😀", "", ",", '"', "\r\n", "x" * 30]
+    n = 12 if chunk < 7 else 60
+    rows = [[str(i), draw.choice(words), "True", "", "".join(draw.choice(words) for _ in range(draw.randrange(4))), f"{i + 1}, {i + 2}" if i % 3 else "", str(i - 1) if i % 2 else ""] for i in range(n)]
+    for end, last in (("\n", True), ("\r\n", False)):
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator=end)
+        writer.writerows([archive.COLUMNS, *rows])
+        told = text.getvalue() if last else text.getvalue().removesuffix(end)
+        path = tmp_path / f"{len(end)}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("folder/twcs.csv", b"\xef\xbb\xbf" + told.encode())
+            z.writestr("other.csv", "a,b")
+        got = archive.quoted_csv(archive.zip_member(spark, str(path), "twcs.csv", chunk), archive.COLUMNS).collect()
+        want = [tuple(r[c] for c in archive.COLUMNS) for r in csv.DictReader(io.StringIO(told, newline=""))]
+        assert sorted(map(tuple, got)) == sorted(want) and len(got) == n
+    typed = archive.read_zip(spark, str(path), chunk=max(chunk, 64))
+    assert typed.where("parent_id is not null").count() == n // 2 and typed.schema["response_ids"].dataType.simpleString() == "array<bigint>"
+    with pytest.raises(Exception, match="holds 0 files"):
+        archive.zip_member(spark, str(path), "absent.csv")
+
+
 def test_keyed_json_and_sinks(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"ratings": {"a": {"correctness": 2, "notes": "x"}, "b": {"correctness": "", "notes": ""}}}))
     got = archive.read_keyed(spark, str(tmp_path / "d.json"), "ratings", "correctness: string, notes: string", "rating_id")

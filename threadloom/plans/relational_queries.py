@@ -7,12 +7,14 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..operators import graph, modelcall, retrieval, similarity, threads
 from ..operators import sampling as S
 from ..schemas import DIMENSIONS
 from ..session import cut, table
 from . import fixtures as X
+from . import pipelines
 from .text_queries import _tokens
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -61,7 +63,9 @@ def prior_context_last4(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.array_join(F.transform("near", lambda x: x["text"]), " | ").alias("context"), F.size("near").cast("long").alias("n"))
 
 
-_CHAINS = X.values_sql(X.CHAINS, X.CHAIN_COLUMNS)
+#: Turns whose time is odd in every fifth conversation, whose parent is gone in every eleventh, with our own chains of negative ids.
+_CHAINS = f"""(SELECT -id AS id, -parent AS parent, ts FROM {X.values_sql(X.CHAINS, X.CHAIN_COLUMNS)} UNION ALL
+  SELECT conv_id * 1000 + turn, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END, CASE WHEN conv_id % 5 = 0 AND turn % 4 = 1 THEN 0 ELSE turn END FROM conversations WHERE NOT (conv_id % 11 = 0 AND turn = 1))"""
 
 
 @query(f"""
@@ -76,7 +80,11 @@ w AS (
 SELECT id, array_to_string(path, '>') AS path, coalesce(stop = 'missing', false) AS missing_parent, coalesce(stop = 'cycle', false) AS cycle, coalesce(stop = 'conflict', false) AS timestamp_conflict
 FROM w WHERE stop IS NOT NULL OR nxt IS NULL""")
 def ancestor_chain(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.rows(spark, X.CHAINS, X.CHAIN_COLUMNS)
+    own = X.rows(spark, X.CHAINS, X.CHAIN_COLUMNS).selectExpr("-id as id", "-parent as parent", "ts")
+    turns = table(spark, d, "conversations").where("not (conv_id % 11 = 0 and turn = 1)")
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    late = (F.col("conv_id") % 5 == 0) & (F.col("turn") % 4 == 1)
+    rows = own.union(turns.select(at, F.when(F.col("turn") > 0, at - 1), F.when(late, 0).otherwise(F.col("turn")).cast("long")))
     out = graph.ancestor_chains(rows, rows.select("id"))
     return out.select("id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "missing_parent", "cycle", "timestamp_conflict")
 
@@ -104,9 +112,20 @@ def multi_brand_flag(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.bool_or(F.col("role") == "assistant").alias("own"), F.bool_or(F.col("role") == "system").alias("other"))
 
 
-@query("SELECT md5(text) AS h FROM documents INTERSECT SELECT md5(text) FROM benchmark")
+_EIGHT = "list_transform(range(1, len({w}) - 6), lambda i: md5(array_to_string({w}[i:i+7], ' ')))"
+
+
+@query(f"""WITH d AS (SELECT {_tokens('text')} AS w FROM documents), q AS (SELECT {_tokens('text')} AS w FROM benchmark)
+SELECT DISTINCT unnest({_EIGHT.format(w='w')}) AS h FROM d WHERE len(w) >= 8 INTERSECT SELECT unnest({_EIGHT.format(w='w')}) FROM q WHERE len(w) >= 8""")
 def leak_check_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.md5("text").alias("h")).intersect(table(spark, d, "benchmark").select(F.md5("text").alias("h")))
+    """Passages of eight words that documents and the benchmark share."""
+
+    def passages(name: str) -> DataFrame:
+        words = cut(table(spark, d, name).select(T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 8), "words")
+        windows = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.md5(F.array_join(F.slice("w", i, 8), " ")))
+        return words.select(F.explode(windows).alias("h"))
+
+    return passages("documents").intersect(passages("benchmark"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -199,11 +218,65 @@ def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return _greedy(spark, d).select(F.col("id").alias("doc_id"), "rank", "accepted")
 
 
-@query(f"""WITH RECURSIVE {_GREEDY}, n AS (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM g WHERE accepted)
-SELECT id AS doc_id, rank, CASE WHEN n <= 50 THEN 'dev' WHEN n <= 170 THEN 'test_representative' ELSE 'test_challenge' END AS split FROM n WHERE n <= 200""")
+def _passes_sql(plain: dict[str, int], hard: dict[str, int]) -> str:
+    """The two passes over o (id, rank, reason) and two (a, b), as greedy selections of their own; ends in taken (id, rank, split, reason)."""
+    n, more = sum(plain.values()), sum(hard.values())
+
+    def greedy(name: str, nodes: str) -> str:
+        return f"""{name}e AS (SELECT x.rank AS rank, list(y.rank) AS earlier FROM two JOIN {nodes} x ON x.id = two.a JOIN {nodes} y ON y.id = two.b WHERE y.rank < x.rank GROUP BY x.rank),
+{name}w AS (SELECT rank, earlier, row_number() OVER (ORDER BY rank) AS k FROM {name}e),
+{name}o AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+  UNION ALL SELECT o.k + 1, CASE WHEN len(list_filter(w.earlier, lambda r: NOT list_contains(o.gone, r))) > 0 THEN list_append(o.gone, w.rank) ELSE o.gone END FROM {name}o o JOIN {name}w w ON w.k = o.k + 1),
+{name}g AS (SELECT unnest(gone) AS rank FROM (SELECT gone FROM {name}o ORDER BY k DESC LIMIT 1)),
+{name} AS (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM {nodes} WHERE rank NOT IN (SELECT rank FROM {name}g))"""
+
+    def named(quotas: dict[str, int]) -> str:
+        out, upto = "CASE", 0
+        for name, many in quotas.items():
+            upto += many
+            out += f" WHEN n <= {upto} THEN '{name}'"
+        return out + " END"
+
+    return f"""two AS (SELECT a, b FROM p UNION SELECT b, a FROM p), {greedy('f', 'o')}, ft AS (SELECT * FROM f WHERE n <= {n}),
+left_ AS (SELECT id, rank, reason FROM o WHERE reason IS NOT NULL AND id NOT IN (SELECT id FROM ft) AND id NOT IN (SELECT two.b FROM two JOIN ft ON ft.id = two.a)), {greedy('h', 'left_')},
+taken AS (SELECT id, rank, {named(plain)} AS split, NULL::VARCHAR AS reason FROM ft UNION ALL SELECT id, rank, {named(hard)}, reason FROM h WHERE n <= {more})"""
+
+
+_HARD_DOC = "CASE WHEN n_chars % 5 = 0 THEN 'every fifth length' END"
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS rank, {_HARD_DOC} AS reason FROM documents),
+{_passes_sql(pipelines.PLAIN, pipelines.HARD)} SELECT id AS doc_id, rank, split, reason FROM taken""")
 def quota_split(spark: SparkSession, d: str) -> DataFrame:
-    kept = _greedy(spark, d).where("accepted").select("id", "rank")
-    return S.quota(kept, "rank", {"dev": 50, "test_representative": 120, "test_challenge": 30}).select(F.col("id").alias("doc_id"), "rank", "split")
+    """Plain quotas in rank order, then a second pass for rows with a reason; whatever tables have for them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("n_chars") % 5 == 0, "every fifth length").alias("reason"))
+    return similarity.two_passes(docs, S.hash_rank(docs.select("id"), "id"), pipelines.PLAIN, pipelines.HARD, strict=False).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT * FROM {_TURNS}),
+r AS (SELECT *, id - row_number() OVER (ORDER BY id) AS run FROM t),
+c AS (SELECT *, min(id) OVER (PARTITION BY conv_id, run) AS component_id FROM r),
+own AS (SELECT DISTINCT component_id FROM c WHERE NOT inbound EXCEPT SELECT component_id FROM c WHERE NOT inbound AND conv_id % 7 = 0),
+able AS (SELECT u.* FROM c u JOIN own USING (component_id) WHERE u.inbound AND EXISTS (SELECT 1 FROM c s WHERE NOT s.inbound AND s.parent_id = u.id AND s.component_id = u.component_id) AND len({_tokens('u.text')}) > 0),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY md5('42:' || id::VARCHAR), id) AS k FROM able) WHERE k = 1),
+o AS (SELECT id, text, component_id, row_number() OVER (ORDER BY md5('42:' || component_id::VARCHAR), component_id) AS rank,
+  CASE WHEN regexp_matches(lower(text), '{R.CHALLENGE_SENSITIVE}') THEN 'security_privacy_or_sensitive_terms' WHEN len({_tokens('text')}) <= 3 AND id <> component_id THEN 'short_followup' WHEN regexp_matches(lower(text), '{R.CHALLENGE_REPEAT}') THEN 'repeated_issue_terms' END AS reason FROM one),
+{_gram_sql('s', 'o', 'id')},
+b AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id),
+p AS (SELECT a, b, c FROM b JOIN sn na ON na.id = a JOIN sn nb ON nb.id = b WHERE c * 100 >= (na.n + nb.n - c) * 80),
+{_passes_sql({'dev': 20, 'test_representative': 30}, {'test_challenge': 10})}
+SELECT k.id AS tweet_id, o.component_id, k.split, k.reason AS challenge_reason, k.id - o.component_id AS n_before FROM taken k JOIN o ON o.id = k.id""")
+def split_builder(spark: SparkSession, d: str) -> DataFrame:
+    """Entry A over conversations as an archive: a turn answers the one before; every seventh conversation has another brand's replies."""
+    turns = _turns(spark, d)
+    id_, up = _number(F.col("id")), _number(F.col("parent_id"))
+    known = turns.select(F.col("id").alias("parent_id")).withColumn("is_there", F.lit(True))
+    rows = turns.join(known, "parent_id", "left").select(
+        id_.cast("long").alias("tweet_id"), F.when(F.col("inbound"), "user").when(F.col("conv_id") % 7 == 0, "Other").otherwise("Brand").alias("author_id"), "inbound", F.timestamp_seconds("ts").alias("created_at"), "text",
+        F.array().cast("array<bigint>").alias("response_ids"), F.when(F.col("is_there"), up.cast("long")).alias("parent_id"),
+    )
+    out = pipelines.build_splits(rows, "Brand", {"dev": 20, "test_representative": 30}, {"test_challenge": 10}, strict=False).examples
+    return out.select("tweet_id", "component_id", "split", "challenge_reason", F.size("path").cast("long").alias("n_before"))
 
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}_]{{2,}}')"
