@@ -15,7 +15,8 @@ longest retained state that the words before it end with.
 A log probability is a sum: the word's own, the escapes on the way to the state, and a correction for each
 pair (state, symbol) with a count. What hangs on broadcast tables is added where the text is read. For the
 rest a slice of texts sends each pair once, with the places of its documents in the slice, packed into a row
-for each bucket of keys, where it meets the table of corrections; a frequent pair is one entry a slice. Sums
+for each bucket of keys, where it meets the table of corrections; a frequent pair is one entry a slice, and
+what a bucket gives goes back to the slice as one row. Sums
 are whole numbers of 2**-32, so they do not follow the order of tasks. Keys are hashes of 64 bits.
 
 Defined cases: a null or empty text is one end token; contexts do not reach beyond a text's beginning; a null
@@ -290,7 +291,7 @@ def _fixed(log10: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text whose pairs make a bucket of the join, on average.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 _SENT = "bucket int, kind int, first long, keys binary, counts binary, data binary"
 _SUMS = ("n_tokens", "n_known", "base", "score")
 
@@ -381,12 +382,12 @@ def score(docs: DataFrame, model: SuffixTree) -> DataFrame:
             own = np.flatnonzero(kinds == kind)
             own = own[np.argsort(keys[own])]
             tables.append((keys[own], base[own], more[own]))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for r in range(sent.num_rows):
             kind, first, data = sent.column("kind")[r].as_py(), sent.column("first")[r].as_py(), sent.column("data")[r].as_py()
             if kind < 0:
                 sums = np.frombuffer(data, np.int64).reshape(len(_SUMS), -1)
-                held.append((first + np.arange(sums.shape[1]), sums))
+                held.setdefault(first, []).append((np.arange(sums.shape[1]), sums))
                 continue
             asked = np.frombuffer(sent.column("keys")[r].as_py(), np.int64)
             counts, doc = np.frombuffer(sent.column("counts")[r].as_py(), np.uint32), np.frombuffer(data, np.uint16)
@@ -400,13 +401,18 @@ def score(docs: DataFrame, model: SuffixTree) -> DataFrame:
                 values = np.full((4, len(asked)), unknown)
                 values[0], values[1] = 0, met
                 values[2, met], values[3, met] = low[place[met]], high[place[met]]
-            held.append(_summed([(first + doc.astype(np.int64), np.repeat(values, counts, axis=1))]))
-        rows, sums = _summed(held) if held else (np.zeros(0, np.int64), np.zeros((len(_SUMS), 0), np.int64))
-        return pa.table({"row": rows, **dict(zip(_SUMS, map(np.ascontiguousarray, sums), strict=True))})
+            held.setdefault(first, []).append(_summed([(doc.astype(np.int64), np.repeat(values, counts, axis=1))]))
+        out = [(first, *_summed(parts)) for first, parts in held.items()]
+        return pa.table({"first": pa.array([f for f, _, _ in out], pa.int64()), "docs": pa.array([d.astype(np.uint16).tobytes() for _, d, _ in out], pa.binary()), "sums": pa.array([v.tobytes() for _, _, v in out], pa.binary())})
+
+    def of_slice(parts: pa.Table) -> pa.Table:
+        held = [(np.frombuffer(d, np.uint16).astype(np.int64), np.frombuffer(v, np.int64).reshape(len(_SUMS), -1)) for d, v in zip(parts["docs"].to_pylist(), parts["sums"].to_pylist(), strict=True)]
+        docs_, sums = _summed(held)
+        return pa.table({"row": parts["first"][0].as_py() + docs_, **dict(zip(_SUMS, map(np.ascontiguousarray, sums), strict=True))})
 
     sent, known = _sent(placed.select(F.col(row).alias("row"), "text"), model, buckets), _table(model, buckets)
-    summed = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "row long, " + ", ".join(f"{c} long" for c in _SUMS))
-    sums = summed.groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    met = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "first long, docs binary, sums binary")
+    sums = met.groupBy("first").applyInArrow(of_slice, "row long, " + ", ".join(f"{c} long" for c in _SUMS))
     told = sums.select(F.col("row").alias(row), "n_tokens", "n_known", (F.col("base") / FIXED).alias("base_score"), (F.col("score") / FIXED).alias("score"))
     return placed.drop("text", *told.columns[1:]).join(told, row).drop(row)
 
