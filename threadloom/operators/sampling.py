@@ -44,10 +44,10 @@ def one_per_group(df: DataFrame, key: str, by: tuple[str, ...], seed: int = 42)
 def quota(df: DataFrame, rank: str, quotas: dict[str, int]) -> DataFrame:
     """Rows in rank order fill the named quotas one after the other; the rest is left out."""
     first = df.orderBy(rank).limit(sum(quotas.values())).withColumn("place_", F.row_number().over(Window.orderBy(rank)))
-    split, upto = None, 0
+    split, upto = F.when(F.lit(False), ""), 0
     for name, n in quotas.items():
         upto += n
-        split = F.when(F.col("place_") <= upto, name) if split is None else split.when(F.col("place_") <= upto, name)
+        split = split.when(F.col("place_") <= upto, name)
     return first.withColumn("split", split).drop("place_")
 
 
