@@ -116,6 +116,62 @@ def test_pairs_and_greedy_match_brute_force(spark):
     assert chosen == set(taken)
 
 
+@pytest.mark.parametrize("stars", [0, 1, 4])
+def test_components_and_greedy_by_stars_match_brute_force(spark, monkeypatch, stars):
+    monkeypatch.setattr(similarity, "STARS", stars)
+    draw = random.Random(stars)
+    base = [f"w{i}" for i in range(24)]
+    rows = _texts(30)
+    for i in range(100, 150):  # chains of small changes, so that ends of a component are not similar
+        base[draw.randrange(24)] = f"v{draw.randrange(9)}"
+        rows.append((i, " ".join(base)))
+    rows += [(200, None), (201, ""), (202, " ".join(base))]
+    pairs = _brute([(i, t or "") for i, t in rows])
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "id long, text string")
+    assert {r.id: r.component_id for r in similarity.near_components(docs).collect()} == root
+    ranked = sampling.hash_rank(docs.select("id"), "id")
+    taken = []
+    for r in ranked.orderBy("rank").collect():
+        if not any((min(r.id, j), max(r.id, j)) in pairs for j in taken):
+            taken.append(r.id)
+    assert {r.id for r in similarity.greedy_dedupe(docs, ranked).where("accepted").collect()} == set(taken)
+
+
+def test_near_copies_make_as_many_links_as_texts(spark, monkeypatch):
+    """3,000 texts that differ in one word are some 4.5 million similar pairs; none of them is held against all others."""
+    seen, plain = [], similarity._verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "_verified", counted)
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{text} own{i} " + text[::-1]) for i in range(3000)] + [(9000, "a text by itself that nothing is like")], "id long, text string")
+    got = similarity.near_components(docs).groupBy("component_id").count().collect()
+    assert sorted((r.component_id, r["count"]) for r in got) == [(0, 3000), (9000, 1)]
+    chosen = similarity.greedy_dedupe(docs, sampling.hash_rank(docs.select("id"), "id")).where("accepted").count()
+    assert chosen == 2 and sum(seen) < 3 * 3000
+
+
+def test_hard_quotas_take_rows_with_a_reason_in_a_second_pass(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(8))
+    rows = [(i, words(i), "why" if i % 4 == 0 else None) for i in range(40)] + [(50, words(0) + " more", "why"), (51, words(4), "why")]
+    docs = spark.createDataFrame(rows, "id long, text string, reason string")
+    ranks = docs.select("id", F.when(F.col("id") >= 50, F.col("id") - 50.5).otherwise(F.col("id")).alias("rank"))
+    got = {r.id: (r.split, r.reason) for r in similarity.two_passes(docs, ranks, {"dev": 3, "test": 4}, {"hard": 5}).collect()}
+    order = [50, 51, *range(40)]  # 0 is like 50 and 4 like 51, so neither is taken
+    plain = [i for i in order if i not in (0, 4)][:7]
+    hard = [i for i in order if i not in (0, 4, *plain) and i % 4 == 0][:5]
+    assert got == {i: ("dev" if k < 3 else "test", None) for k, i in enumerate(plain)} | {i: ("hard", "why") for i in hard}
+    with pytest.raises(ValueError):
+        similarity.two_passes(docs, ranks, {"dev": 3}, {"hard": 30})
+
+
 def test_many_copies_make_no_pairs(spark):
     rows = [(i, "one and the same long text") for i in range(300)] + [(i, None) for i in range(300, 400)] + [(500, "another text of its own")]
     classes = similarity.similar_classes(spark.createDataFrame(rows, "id long, text string"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import DIMENSIONS, FLAGS, INTENTS, REASONS, ROUTES
+from ..schemas import DIMENSIONS, FLAGS, INTENTS, LABEL, REASONS, ROUTES
 
 
 def latest(events: DataFrame, key: str, at: str = "updated_at") -> DataFrame:
@@ -76,6 +76,109 @@ def publish(df: DataFrame, path: str) -> None:
     fs.delete(older, True)
 
 
+class LabelStore:
+    """Labels as a log of events: updates, restorations and compacted states, each a folder that is written whole and never changed.
+
+    The state after an event is what a replay of the log up to it gives. packet (tweet_id) names what may be labelled; packet_id and
+    guide tell which packet and which guide the labels are for, and an export of others is refused. Events are numbered from 1;
+    a writer that finds its number taken fails and leaves nothing.
+    """
+
+    FIELDS = ("intent", "route", "reason", "flag", "notes")
+    ROW = f"tweet_id string, {LABEL}"
+
+    def __init__(self, spark: SparkSession, path: str, packet: DataFrame, packet_id: str, guide: str):
+        self.spark, self.path, self.packet, self.packet_id, self.guide = spark, path.rstrip("/"), packet.select(F.col("tweet_id").cast("string").alias("tweet_id")), packet_id, guide
+
+    def log(self) -> list:
+        """(seq, kind, base) of the events in order; base: the event that a restoration goes back to, or up to which a state is compacted."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        top = make(f"{self.path}/events")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(top)]
+        found = [n.split("-") for n in names if n[0] not in "._"]
+        return sorted((int(seq), kind, int(base)) for seq, kind, base in found)
+
+    def _write(self, rows: DataFrame, kind: str, base: int) -> int:
+        """An event's folder, complete as soon as it has its name."""
+        seq = max((s for s, _, _ in self.log()), default=0) + 1
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        part, final = (make(f"{self.path}/{x}") for x in (f"_part-{uuid.uuid4().hex}", f"events/{seq:012d}-{kind}-{base}"))
+        fs = part.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        rows.coalesce(1).write.parquet(part.toString())
+        fs.mkdirs(final.getParent())
+        if any(s >= seq for s, _, _ in self.log()) or not fs.rename(part, final):
+            fs.delete(part, True)
+            raise Conflict(f"{self.path} has an event {seq} already")
+        return seq
+
+    def _rows(self, event: tuple) -> DataFrame:
+        seq, kind, base = event
+        return self.spark.read.schema(self.ROW).parquet(f"{self.path}/events/{seq:012d}-{kind}-{base}")
+
+    def update(self, labels: DataFrame) -> int:
+        """Appends labels (tweet_id, intent, route, ..., updated_at); one that breaks a domain or is outside the packet refuses all of them. Gives the event's number."""
+        given = [F.col(c).cast("string").alias(c) if c in labels.columns else F.lit(None).cast("string").alias(c) for c in ("tweet_id", *self.FIELDS, "updated_at")]
+        rows = labels.select(*given)
+        bad = label_violations(rows, self.packet).limit(20).collect()
+        if bad:
+            raise ValueError("; ".join(f"{r.tweet_id}: {', '.join(r.violations)}" for r in bad))
+        return self._write(rows, "update", 0)
+
+    def state(self, upto: int | None = None) -> DataFrame:
+        """(tweet_id, fields, updated_at): of each id the last label, as of an event (the last one by default). Later events win; within one the later updated_at."""
+        log = [e for e in self.log() if upto is None or e[0] <= upto]
+        while log and log[-1][1] == "restore":  # the state is that of the event that was gone back to
+            target = log[-1][2]
+            log = [e for e in log if e[0] <= target]
+        begin = max((i for i, (_, kind, _) in enumerate(log) if kind in ("restore", "state")), default=None)
+        parts = []
+        if begin is not None:
+            seq, kind, base = log[begin]
+            before = self.state(base) if kind == "restore" else self._rows(log[begin])
+            parts.append(before.withColumn("seq_", F.lit(seq)))
+            log = log[begin + 1 :]
+        parts += [self._rows(e).withColumn("seq_", F.lit(e[0])) for e in log if e[1] == "update"]
+        every = self.spark.createDataFrame([], f"{self.ROW}, seq_ int")
+        for p in parts:
+            every = every.unionByName(p)
+        last = every.groupBy("tweet_id").agg(F.max(F.struct("seq_", "updated_at", *self.FIELDS)).alias("e"))
+        return last.select("tweet_id", *(F.col(f"e.{c}").alias(c) for c in (*self.FIELDS, "updated_at")))
+
+    def restore(self, seq: int) -> int:
+        """Goes back to the state after an event, as an event of its own."""
+        if seq and seq not in {s for s, _, _ in self.log()}:
+            raise ValueError(f"there is no event {seq}")
+        return self._write(self.spark.createDataFrame([], self.ROW), "restore", seq)
+
+    def compact(self) -> int:
+        """Writes the present state as an event, from which later states are worked out."""
+        last = max((s for s, _, _ in self.log()), default=0)
+        return self._write(self.state(), "state", last)
+
+    def complete(self) -> bool:
+        """Whether all of the packet has an intent and a route."""
+        return self.packet.join(complete_labels(self.state()), "tweet_id", "left_anti").isEmpty()
+
+    def export(self, path: str) -> None:
+        """The present state as JSON lines, with what it is for."""
+        told = self.state().withColumns({"packet_id": F.lit(self.packet_id), "guide_version": F.lit(self.guide)})
+        told.write.mode("errorifexists").json(path)
+
+    def load(self, path: str) -> int:
+        """Makes an export the present state, if it is for this packet and guide and keeps the rules."""
+        rows = self.spark.read.schema(f"{self.ROW}, packet_id string, guide_version string").json(path)
+        other = rows.where(~(F.col("packet_id").eqNullSafe(F.lit(self.packet_id)) & F.col("guide_version").eqNullSafe(F.lit(self.guide))))
+        if not other.isEmpty():
+            raise ValueError("the export is for another packet or guide")
+        bad = label_violations(rows, self.packet).limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0].tweet_id}: {', '.join(bad[0].violations)}")
+        return self._write(rows.select("tweet_id", *self.FIELDS, "updated_at"), "state", 0)
+
+
 class Conflict(Exception):
     """Another writer has published since the version that this one began from."""
 

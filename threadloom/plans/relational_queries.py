@@ -165,9 +165,8 @@ two AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT two.b, reach.root FROM reach JOIN two ON two.a = reach.node)
 SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node""")
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    out = graph.connected_components(similarity.similar_classes(docs).edges(), docs.select(F.col("id").alias("node")))
-    return out.select(F.col("node").alias("doc_id"), "component_id")
+    out = similarity.near_components(_docs(spark, d))
+    return out.select(F.col("id").alias("doc_id"), "component_id")
 
 
 _HITS = f"""{_gram_sql('s', 'documents', 'doc_id')}, {_gram_sql('q', 'benchmark', 'item_id')},

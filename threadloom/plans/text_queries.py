@@ -286,8 +286,9 @@ def handoff_draft(spark: SparkSession, d: str) -> DataFrame:
 _DOMAIN = lambda names: "(" + ", ".join(map(_quote, names)) + ")"
 _CONTRACT = f"""CASE WHEN s.message IS NULL THEN {_quote(R.NO_MESSAGE)} WHEN {' OR '.join(f'o.{c} IS NULL' for c in OUTPUT_FIELDS)} THEN 'Incomplete agent JSON' WHEN o.intent NOT IN {_DOMAIN(INTENTS)} OR o.route NOT IN {_DOMAIN(ROUTES)} THEN 'Invalid labels'
   WHEN o.reply_kind NOT IN {_DOMAIN(REPLY_KINDS)} THEN 'Invalid reply kind' WHEN len(list_filter(o.evidence_ids, lambda e: e IS NULL)) > 0 THEN 'Invalid evidence IDs' END"""
-_ACTION = R.UNSUPPORTED_ACTION.replace("(?i)", "").replace("(?:", "(").replace("'", "''")
-@query(f"""
+def _gate_sql(rules: R.RuleSet) -> str:
+    action = rules.pattern.replace("(?i)", "").replace("(?:", "(") if rules.actions else "[^\\x00-\\x{10FFFF}]"
+    return f"""
 WITH {_SENTIMENT},
 j AS (SELECT o.*, s.message, s.flagged, s.label, {_CONTRACT} AS broken FROM {_OUTPUTS} o JOIN s ON s.id = o.id),
 o AS (SELECT * REPLACE (CASE WHEN broken IS NULL THEN intent ELSE 'other_unclear' END AS intent, CASE WHEN broken IS NULL THEN route ELSE 'escalate' END AS route, CASE WHEN broken IS NULL THEN reason ELSE 'generation unavailable' END AS reason,
@@ -296,14 +297,34 @@ p AS (SELECT *, {_polish('draft')} AS p FROM o),
 r AS (SELECT *, {_risk('message', 'intent', 'flagged')} AS risk FROM p),
 v AS (
   SELECT *, list_filter([CASE WHEN len(list_filter(evidence_ids, lambda e: NOT list_contains(coalesce(allowed_ids, []), e))) > 0 THEN 'Unsupported evidence ID' END,
-    CASE WHEN route = 'auto_handle' AND len(evidence_ids) = 0 THEN 'Automatic reply has no cited evidence' END, CASE WHEN length(p) > 1200 OR p = '' THEN 'Empty or oversized draft' END,
-    CASE WHEN regexp_matches(lower(p), '{_ACTION}', 'i') THEN 'Unsupported action, link or credential request' END, CASE WHEN route = 'auto_handle' AND risk IS NOT NULL THEN risk END], lambda x: x IS NOT NULL) AS viol FROM r),
+    CASE WHEN route = 'auto_handle' AND len(evidence_ids) = 0 THEN 'Automatic reply has no cited evidence' END, CASE WHEN length(p) > {rules.most_chars} OR p = '' THEN 'Empty or oversized draft' END,
+    CASE WHEN regexp_matches(lower(p), {_quote(action)}, 'i') THEN 'Unsupported action, link or credential request' END, CASE WHEN {str(rules.check_risk).lower()} AND route = 'auto_handle' AND risk IS NOT NULL THEN risk END], lambda x: x IS NOT NULL) AS viol FROM r),
 w AS (SELECT *, len(viol) > 0 AS bad, broken IS NULL AND len(viol) = 0 AND route = 'escalate' AND regexp_matches(p, '\\b(this needs (a )?human|human support review)\\b', 'i') AS generic FROM v),
 k AS (SELECT *, {_key('message', 'intent', "(CASE WHEN bad THEN array_to_string(viol, '; ') ELSE reason END)", 'label')} AS k FROM w)
 SELECT id, intent, CASE WHEN bad THEN 'escalate' ELSE route END AS route, CASE WHEN broken IS NOT NULL THEN {_quote(R.UNAVAILABLE)} WHEN bad THEN 'Output check: ' || array_to_string(viol, '; ') ELSE reason END AS reason,
   CASE WHEN bad OR generic OR broken IS NOT NULL THEN {_COPY} ELSE p END AS draft, CASE WHEN bad THEN 'handoff' ELSE reply_kind END AS reply_kind, CASE WHEN bad THEN '' ELSE array_to_string(evidence_ids, ',') END AS cited,
-  array_to_string(viol, ';') AS violations, broken AS api_error FROM k""")
+  array_to_string(viol, ';') AS violations, broken AS api_error FROM k"""
+
+
+@query(_gate_sql(R.RuleSet()))
 def gate_outputs(spark: SparkSession, d: str) -> DataFrame:
     rows = _outputs(spark, d).join(_messages(spark, d).select("id", "message", F.col("flagged").alias("context_flagged")), "id")
     out = G.gate(rows)
     return out.select("id", "intent", "route", "reason", "draft", "reply_kind", F.array_join("evidence_ids", ",").alias("cited"), F.array_join("output_check_violations", ";").alias("violations"), "api_error")
+
+
+#: An older and a newer version of the check: the newer one stops promises too and shorter drafts.
+_OLD = R.RuleSet("older", tuple(a for a in R.ACTIONS if a not in ("promises", "hopes")))
+_NEW = R.RuleSet("newer", most_chars=90)
+
+
+@query(f"""WITH a AS ({_gate_sql(_OLD)}), b AS ({_gate_sql(_NEW)})
+SELECT a.id, a.route AS old_route, b.route AS new_route, a.draft AS old_draft, b.draft AS new_draft,
+  array_to_string(list_filter(string_split(b.violations, ';'), lambda x: x <> '' AND NOT list_contains(string_split(a.violations, ';'), x)), ';') AS gained,
+  array_to_string(list_filter(string_split(a.violations, ';'), lambda x: x <> '' AND NOT list_contains(string_split(b.violations, ';'), x)), ';') AS lost
+FROM a JOIN b ON a.id = b.id WHERE a.route <> b.route OR a.draft <> b.draft OR a.violations <> b.violations""")
+def replay_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Raw outputs under two versions of the check, and what differs."""
+    rows = _outputs(spark, d).join(_messages(spark, d).select("id", "message", F.col("flagged").alias("context_flagged")), "id")
+    out = G.version_diff(rows, _OLD, _NEW, "id")
+    return out.withColumns({c: F.array_join(c, ";") for c in ("gained", "lost")})
