@@ -346,6 +346,26 @@ def test_a_name_may_go_on_over_batches():
         assert covered == set(range(50))
 
 
+def test_a_frequent_phrase_is_divided_by_window(spark, monkeypatch):
+    """Nine common words within other words are one anchor of many windows; they go by names of their own, and repeats among them are found all the same."""
+    draw = random.Random(8)
+    phrase = "we use cookies to make this page work well".split()
+    text = lambda k: " ".join([*(f"a{k}x{i}" for i in range(40)), *phrase, *(f"b{k}x{i}" for i in range(40))])
+    rows = [(k, text(k)) for k in range(300)] + [(1000 + k, text(draw.randrange(300)) + f" end {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    monkeypatch.setattr(substring_dedup, "ONE_OF", 1)
+    assert len(substring_dedup.frequent_anchors(docs)) == 0  # so few are not divided
+    plain = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "LEAST_WINDOWS", 1000)
+    frequent = substring_dedup.frequent_anchors(docs)
+    assert 1 <= len(frequent) <= 12
+    divided = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert divided == plain and sorted(got) == brute_repeats(rows, 35)
+    most = lambda known: max(r["count"] for r in substring_dedup._keyed(docs).select("id", "text_hash", "text").mapInArrow(substring_dedup._map(35, known), substring_dedup.ROWS).where("first >= 0").groupBy("name").count().collect())
+    assert most(np.zeros(0, np.uint64)) >= 250 and most(frequent) <= 30
+
+
 def test_a_task_ships_a_repeated_window_once():
     """What a task has found repeated is settled in later slices without being shipped again."""
     hot, texts = substring_dedup._Hot(), pa.array([" ".join(f"w{i}" for i in range(50))] * 2)

@@ -15,7 +15,9 @@ has no repeat, and in a shared name equal window hashes verify the repeats. Wind
 one slice are settled there, after their words are held against each other one by one, and shipped
 once; what a task has found repeated it remembers (up to ``REMEMBERED``; beyond, it ships again) and
 settles from then on. So a passage that a third of all texts share sends its windows once for each
-task, not for each text, and its name's rows grow with the tasks only.
+task, not for each text, and its name's rows grow with the tasks only. A short frequent phrase gives one
+anchor to many windows that differ; such names, found in a sample of the texts before, are divided by
+window: each of their windows goes by a name of its own, made of the anchor's name and its hash.
 
 Defined cases: null or wordless texts and texts shorter than a window lose nothing; repeated rows
 are repeats of each other; a null doc_id is a text like any other; an empty table gives no rows.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, _powers, binary_array, cut, mix, slices, text_at, words
+from .core import U64, _powers, binary_array, cut, discard, mix, slices, text_at, words
 
 WINDOW = 35
 #: Bytes of a slice: larger than elsewhere, as repeats within one are settled there.
@@ -43,6 +45,9 @@ _COIN = np.random.default_rng(8).integers(0, 1 << 64, 4, dtype=U64)
 _LEFT, _RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 #: Window hashes that a task keeps of what it has found repeated: 32 MB.
 REMEMBERED = 4 << 20
+#: Texts that are looked at for frequent anchors (one of so many, by hash), the share of all windows that makes an anchor frequent
+#: (so there are 10,000 at most, which are broadcast), and the least windows. They change the plan only, never a result.
+ONE_OF, FREQUENT, LEAST_WINDOWS = 64, 10_000, 20_000
 ROWS = "name long, id long, text_hash long, first int, windows binary"
 
 
@@ -139,13 +144,13 @@ class _Hot:
         self.keys = np.unique(np.concatenate([self.keys if len(self.keys) + len(hashed) <= REMEMBERED else self.keys[:0], hashed]))
 
 
-def _map(window: int):
+def _map(window: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _Hot()
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash"))
             for part in slices(batch.column("text"), SLICE):
-                yield _slice(part, ids[part.first : part.first + len(part)], hashes[part.first : part.first + len(part)], window, hot)
+                yield _slice(part, ids[part.first : part.first + len(part)], hashes[part.first : part.first + len(part)], window, hot, frequent)
 
     return run
 
@@ -170,7 +175,8 @@ def verified(hashed: np.ndarray, h: np.ndarray, at: np.ndarray, window: int) ->
     return out
 
 
-def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int, hot: _Hot | None = None) -> pa.RecordBatch:
+def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int, hot: _Hot | None = None, frequent: np.ndarray = np.zeros(0, U64)) -> pa.RecordBatch:
+    """frequent: sorted names of anchors whose windows go by names of their own."""
     hot = hot or _Hot()
     w = words(part)
     h = w.hashes()
@@ -190,11 +196,15 @@ def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int, hot: _Hot | N
     new_doc[1:] = doc[1:] != doc[:-1]
     change = new_doc.copy()
     change[1:] |= anchor[1:] != anchor[:-1]
+    alone = np.isin(names, frequent)[anchor]
+    change |= alone
+    change[1:] |= alone[:-1]
     begin, end = _runs(change)
     ship = np.add.reduceat(firsts, begin) > 0
     begin, end = begin[ship], end[ship]
     shipped = np.repeat(ship, np.diff(np.append(np.flatnonzero(change), len(at))))
     data = np.ascontiguousarray(hashed[shipped]).view(np.uint8)
+    name = np.where(alone[begin], mix(names[anchor[begin]] ^ hashed[begin]), names[anchor[begin]])
     # What is settled here: covered words as (first, end), carried in the same columns under a name that spreads.
     change = new_doc.copy()
     change[1:] |= twice[1:] != twice[:-1]
@@ -204,7 +214,7 @@ def _slice(part, ids: np.ndarray, hashes: np.ndarray, window: int, hot: _Hot | N
     spans = np.stack([offset[b], offset[e - 1] + window], axis=1).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([names[anchor[begin]].view(np.int64), mix(hashes[doc[b]].astype(U64)).view(np.int64)])),
+            pa.array(np.concatenate([name.view(np.int64), mix(hashes[doc[b]].astype(U64)).view(np.int64)])),
             pa.array(np.concatenate([ids[doc[begin]], ids[doc[b]]])),
             pa.array(np.concatenate([hashes[doc[begin]], hashes[doc[b]]])),
             pa.array(np.concatenate([offset[begin], np.full(len(b), -1)]).astype(np.int32)),
@@ -288,9 +298,20 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def frequent_anchors(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
+    """Sorted names of anchors with so many windows in a sample of docs that a task should not get all of them."""
+    few = _keyed(docs).where(F.pmod("text_hash", F.lit(ONE_OF)) == 0).select("id", "text_hash", "text")
+    rows = few.mapInArrow(_map(window, np.zeros(0, U64)), ROWS).where("first >= 0")
+    counts = cut(rows.groupBy("name").agg(F.sum(F.length("windows") / 8).cast("long").alias("n")), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > max(total // FREQUENT, LEAST_WINDOWS // ONE_OF)).select("name").collect()
+    discard(counts)
+    return np.sort(np.array([r.name for r in found], np.int64).view(U64))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, text_hash, first, end): word spans covered by repeated windows; they may overlap."""
-    rows = _keyed(docs).select("id", "text_hash", "text").mapInArrow(_map(window), ROWS)
+    rows = _keyed(docs).select("id", "text_hash", "text").mapInArrow(_map(window, frequent_anchors(docs, window)), ROWS)
     return rows.repartition("name").sortWithinPartitions("name").mapInArrow(_reduce(window), "id long, text_hash long, first int, end int")
 
 
