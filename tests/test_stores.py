@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules as R
-from threadloom.operators import gate, stores
+from threadloom.operators import gate, stores, threads
 from threadloom.schemas import INTENTS, REASONS, ROUTES
 
 ROW = stores.LabelStore.ROW
@@ -88,3 +88,22 @@ def test_two_versions_of_the_check_over_raw_outputs(spark):
     assert back[2].lost == [R.VIOLATION_TEXT["action"]]
     assert R.RuleSet(actions=()).pattern == "(?!)"
     assert spark.range(1).select(R.has_unsupported_action(F.lit("see http://x"), R.RuleSet(actions=()).pattern).alias("x")).first().x is False
+
+
+def test_packet_ids_follow_rows_and_not_partitions(spark):
+    rows = spark.range(40).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    one = stores.packet_id(rows.repartition(5), "id")
+    assert one == stores.packet_id(rows.orderBy(F.desc("id")).select("text", "id"), "id")
+    assert one != stores.packet_id(rows.where("id < 39"), "id") != stores.packet_id(rows.withColumn("text", F.lower("text")).where("id < 38"), "id")
+    with pytest.raises(ValueError):
+        stores.packet_id(rows, "id", most=39)
+
+
+def test_ratings_meet_their_key(spark):
+    items, key = threads.blinded_packet(spark.createDataFrame([(1, "m"), (2, "n")], "id int, message string"), spark.createDataFrame([("a",), ("b",)], "system string"), "s")
+    assert items.columns == ["message", "rating_id"]
+    rated = key.select("rating_id", F.lit(2).alias("score")).limit(3)
+    assert threads.unblinded(rated, key).count() == 3 and set(threads.unblinded(rated, key).columns) == {"rating_id", "score", "system", "id"}
+    for bad in (rated.union(rated.limit(1)), spark.createDataFrame([("none", 1)], "rating_id string, score int")):
+        with pytest.raises(ValueError):
+            threads.unblinded(bad, key)

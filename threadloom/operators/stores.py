@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import content_hash
 from ..schemas import DIMENSIONS, FLAGS, INTENTS, LABEL, REASONS, ROUTES
 
 
@@ -54,6 +55,15 @@ def freeze(spark: SparkSession, path: str, manifest: dict, keys: tuple[str, ...]
     spark.createDataFrame([(k, str(v)) for k, v in sorted(manifest.items())], "key string, value string").coalesce(1).write.mode("errorifexists").json(path)
 
 
+def packet_id(rows: DataFrame, *order: str, most: int = 100_000) -> str:
+    """SHA-256 over the rows in order, each by its own hash of all columns; for packets to be labelled, so more rows than `most` are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a packet has {most} rows at most")
+    hashed = rows.select(F.struct(*order).alias("k"), content_hash(*rows.columns).alias("h"))
+    ordered = hashed.agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("a"))
+    return ordered.select(F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("id")).first().id
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Replaces a table by a renamed new version; the former one stays beside it as `.bak`. Snapshots has no moment without a table; this has one between two renames.
 

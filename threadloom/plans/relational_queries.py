@@ -331,6 +331,17 @@ def blinded_packet(spark: SparkSession, d: str) -> DataFrame:
     return threads.blinded_packet(inputs, systems, "salt")[1]
 
 
+_BLIND = "SELECT substr(sha256(s.system || ':' || conv_id::VARCHAR || 'salt'), 1, 12) AS rating_id, s.system, conv_id AS id FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES ('trivial'), ('simple'), ('guarded')) AS s(system)"
+
+
+@query(f"SELECT rating_id, system, id, ('0x' || substr(rating_id, 1, 2))::INTEGER % 3 AS correctness FROM ({_BLIND}) WHERE substr(rating_id, 3, 1) <> '0'")
+def unblinded_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings that raters gave by surrogate ids, and the systems they are of; some items are unrated."""
+    items, key = threads.blinded_packet(table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct(), spark.createDataFrame([("trivial",), ("simple",), ("guarded",)], "system string"), "salt")
+    rated = items.where(F.substring("rating_id", 3, 1) != "0").select("rating_id", (F.conv(F.substring("rating_id", 1, 2), 16, 10).cast("int") % 3).alias("correctness"))
+    return threads.unblinded(rated, key).select("rating_id", "system", "id", "correctness")
+
+
 @query("""
 WITH a AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE role = 'user'), g AS (SELECT conv_id + 1 AS id FROM conversations WHERE role = 'assistant'), t AS (SELECT id, count(*) AS n FROM g GROUP BY id)
 SELECT coalesce(a.id, t.id) AS id, CASE WHEN a.id IS NULL THEN 'unknown' WHEN t.n IS NULL THEN 'missing' ELSE 'doubled' END AS problem FROM a FULL JOIN t ON a.id = t.id WHERE a.id IS NULL OR t.n IS NULL OR t.n > 1""")
