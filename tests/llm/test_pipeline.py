@@ -71,5 +71,5 @@ def test_stages_on_odd_tables(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
