@@ -98,3 +98,18 @@ def test_copy_holds_its_phrases():
     for key, phrases in R.COPY_PHRASES.items():
         assert all(p.casefold() in R.HANDOFF_COPY[key].casefold() for p in phrases), key
     assert not any(w in R.HANDOFF_COPY[k] for k in ("feature", "feature_waited", "playback", "resolved", "unclear", "catalog_title") for w in ("DMs", "account details", "payment"))
+
+
+def test_full_decoding_leaves_open_what_its_sql_leaves_open(spark, tmp_path):
+    """A title that was cut within a reference (`&amp`) has no semicolon; the SQL decodes closed references only."""
+    import duckdb
+
+    from threadloom.plans import text_queries as Q
+
+    odd = ["and&amp</title>", "&am", "&", "&amp;amp;", "&amp&lt;", "&amp;lt", "&ampx;", "&#39;&#39", "&nbsp;&quot;&quot", None, "", "&hellip;&middot;&copy&copy;"]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").write.parquet(path)
+    got = {r.page_id: r.html for r in Q.html_unescape_full(spark, str(tmp_path)).collect()}
+    assert got == dict(duckdb.sql(Q.ORACLE_SQL["html_unescape_full"].replace("FROM pages", f"FROM '{path}/*.parquet'")).fetchall())
+    closed = {r.x: r.y for r in spark.createDataFrame([("&Zeta;&#65;&#x42;&Zeta&#65&eacute",)], "x string").select("x", T.unescape(F.col("x"), closed=True).alias("y")).collect()}
+    assert closed == {"&Zeta;&#65;&#x42;&Zeta&#65&eacute": "ΖAB&Zeta&#65&eacute"}

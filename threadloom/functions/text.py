@@ -24,6 +24,8 @@ def unescape_basic(text: Column) -> Column:
 
 #: A character reference as HTML readers take it: by number, or by a name of up to 32 characters.
 REFERENCE = r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?))"
+#: The same, closed by its semicolon; what a cut text leaves open is no reference then.
+CLOSED = REFERENCE.replace(";?", ";")
 _ITEM, _PAIR = "\x01", "\x02"
 #: Names of HTML 5 from Python's own table; those without a semicolon also hold as beginnings of a name, longest first.
 _NAMED = _ITEM.join(f"{k}{_PAIR}{v}" for k, v in sorted(html5.items()))
@@ -45,22 +47,25 @@ def _numbered(body: Column) -> Column:
     return F.coalesce(special, F.when(outside, "\ufffd").when(none, "").otherwise(F.decode(F.unhex(code), "UTF-32")))
 
 
-def _referred(ref: Column) -> Column:
-    """What one reference stands for; itself where it is none."""
+def _referred(ref: Column, closed: bool) -> Column:
+    """What one reference stands for; itself where it is none. Beginnings of names count unless closed."""
     name = F.substr(ref, F.lit(2))
     table = F.str_to_map(F.lit(_NAMED), F.lit(_ITEM), F.lit(_PAIR))
     head = F.regexp_extract(name, _BEGINNINGS, 1)
     out = F.when(name.startswith("#"), _numbered(name))
     for entity, char in BASIC_ENTITIES.items():
         out = out.when(ref == entity, char)
+    if closed:
+        return out.otherwise(F.coalesce(F.element_at(table, name), ref))
     named = F.coalesce(F.element_at(table, name), F.when(head != "", F.concat(F.element_at(F.str_to_map(F.lit(_OPEN), F.lit(_ITEM), F.lit(_PAIR)), head), F.substr(name, F.length(head) + 1))), ref)
     return out.otherwise(named)
 
 
-def unescape(text: Column) -> Column:
-    """All character references decoded once, by the whole table of HTML 5 and by number."""
-    rest = F.split(text, REFERENCE, -1)
-    decoded = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r, i: F.concat(_referred(r), F.get(rest, i + 1)))
+def unescape(text: Column, closed: bool = False) -> Column:
+    """All character references decoded once, by the whole table of HTML 5 and by number; only those with a semicolon if closed."""
+    pattern = CLOSED if closed else REFERENCE
+    rest = F.split(text, pattern, -1)
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda r, i: F.concat(_referred(r, closed), F.get(rest, i + 1)))
     return F.when(F.contains(text, F.lit("&")), F.concat(F.get(rest, F.lit(0)), F.array_join(decoded, ""))).otherwise(text)
 
 
