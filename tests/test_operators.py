@@ -456,3 +456,50 @@ def test_stores(spark, tmp_path):
     stores.publish(spark.range(3), target)
     stores.publish(spark.range(5), target)
     assert spark.read.parquet(target).count() == 5 and spark.read.parquet(target + ".bak").count() == 3
+
+
+def _written(monkeypatch):
+    """All tables that similarity writes, by name."""
+    seen, plain = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    return seen
+
+
+def test_whole_sets_are_made_for_candidates_only(spark, monkeypatch):
+    seen = _written(monkeypatch)
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(200)]
+    rows = [*enumerate(texts), (300, texts[7] + " more"), (301, texts[7] + " other")]
+    classes = similarity.similar_classes(spark.createDataFrame(rows, "id long, text string"))
+    assert {(r.a, r.b) for r in classes.pairs.collect()} == {(7, 300), (7, 301), (300, 301)}
+    assert sum(df.count() for _, df in seen if "grams" in df.columns) == 3
+
+
+@pytest.mark.parametrize("frequent,shared", [(1, 1), (500_000, 100)])
+def test_no_order_of_grams_and_no_early_bound_loses_pairs(spark, monkeypatch, frequent, shared):
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    monkeypatch.setattr(similarity, "SHARED", shared)
+    rows = _texts(60, 5)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = similarity.similar_classes(docs)
+    member = {r.id: r.class_id for r in found.members.collect()}
+    between = {(r.a, r.b) for r in found.pairs.collect()}
+    assert between == {(a, b) for a, b in _brute(rows) if member[a] == a and member[b] == b}
+    both = [(i, t) for i, t in rows if i % 2], [(i, t) for i, t in rows if i % 2 == 0]
+    near = {a for a, b in _brute(rows) if a % 2 > b % 2} | {b for a, b in _brute(rows) if b % 2 > a % 2}
+    assert {r.id for r in similarity.similar_ids(*(spark.createDataFrame(x, "id long, text string") for x in both)).collect()} == near
+
+
+def test_first_of_a_greedy_selection_looks_at_low_ranks_first(spark, monkeypatch):
+    tried, plain = [], similarity.greedy_dedupe
+    monkeypatch.setattr(similarity, "greedy_dedupe", lambda docs, ranks, percent: tried.append(docs.count()) or plain(docs, ranks, percent))
+    rows = [(i, " ".join(f"w{max(i, 14)}x{k}" for k in range(9)), i) for i in range(400)]  # the first fifteen are copies
+    got = similarity._first(spark.createDataFrame(rows, "id long, text string, rank int"), 2, 80)
+    assert [r.id for r in got.orderBy("rank").collect()] == [0, 15] and tried == [12, 48]
+
+
+def test_overlap_with_a_small_table_writes_no_table_of_the_large_one(spark, monkeypatch):
+    seen = _written(monkeypatch)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x c d e y"), (3, "b c x d"), (4, "q r"), (5, None)], "id long, text string")
+    bench = spark.createDataFrame([(1, "c d e f"), (2, "Q r!"), (3, "C d e g")], "id long, text string")
+    assert sorted(r.id for r in similarity.overlapping(docs, bench).collect()) == [1, 2, 4]
+    assert [(name, df.count()) for name, df in seen] == [("known", 4)]
