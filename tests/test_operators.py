@@ -503,3 +503,16 @@ def test_overlap_with_a_small_table_writes_no_table_of_the_large_one(spark, monk
     bench = spark.createDataFrame([(1, "c d e f"), (2, "Q r!"), (3, "C d e g")], "id long, text string")
     assert sorted(r.id for r in similarity.overlapping(docs, bench).collect()) == [1, 2, 4]
     assert [(name, df.count()) for name, df in seen] == [("known", 4)]
+
+
+def test_predictions_are_sums_over_no_gathered_vectors(spark, monkeypatch):
+    rows = [(i, ("cold rain " if i % 2 else "warm sun ") * (i % 3 + 1) + f"word{i % 5}", "wet" if i % 2 else "dry", "dev") for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string, split string")
+    model = classify.IntentClassifier(docs)
+    asked = docs.select("id", "text").union(spark.createDataFrame([(90, "nothing known"), (91, None)], "id long, text string"))
+    vectors = {r.id: [(x.t, x.w) for x in r.v] for r in model.space.transform(asked).collect()}
+    pull = {r.t: r.pull for r in model.pull.collect()}
+    monkeypatch.setattr(retrieval.TfIdf, "_weigh", None)
+    for r in model.predict(asked).collect():
+        z = [b + sum(w * pull[t][k] for t, w in vectors.get(r.id, [])) for k, b in enumerate(model.start)]
+        assert r.intent == model.classes[int(np.argmax(z))] and abs(r.confidence - 1 / sum(np.exp(x - max(z)) for x in z)) < 1e-9
