@@ -516,3 +516,49 @@ def test_predictions_are_sums_over_no_gathered_vectors(spark, monkeypatch):
     for r in model.predict(asked).collect():
         z = [b + sum(w * pull[t][k] for t, w in vectors.get(r.id, [])) for k, b in enumerate(model.start)]
         assert r.intent == model.classes[int(np.argmax(z))] and abs(r.confidence - 1 / sum(np.exp(x - max(z)) for x in z)) < 1e-9
+
+
+@pytest.mark.parametrize("ngrams, asked_terms, buckets", [(2, 10**6, (20, 60)), (1, 10**6, (10**6, 10**6)), (2, 0, (20, 60))])
+def test_open_space_is_brute_force_in_slices_and_buckets(spark, monkeypatch, ngrams, asked_terms, buckets):
+    """Few terms of queries or too many to broadcast; several buckets, and slices of a few texts."""
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    monkeypatch.setattr(retrieval, "ASKED_TERMS", asked_terms)
+    monkeypatch.setattr(retrieval, "BUCKET", buckets)
+    monkeypatch.setattr(retrieval, "SLICE_WORDS", 25)
+    r = np.random.default_rng(5)
+    texts = [" ".join(np.char.add(r.choice(list("abcdefghij"), r.integers(1, 14)), "x")) + " the the" * (i % 3) for i in range(50)] + [None, "", "a b", "own words " * 60, "ax ax ax"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(100, "ax bx cx"), (101, "the the ax, unseen bx"), (102, "unseen"), (103, None), (104, "own words own")], "id long, text string")
+
+    def counts(text):
+        w = [x for x in re.findall(r"\w+", (text or "").lower()) if len(x) > 1]
+        return Counter(w + [" ".join(p) for p in zip(w, w[1:])] * (ngrams - 1))
+
+    df = Counter(t for x in texts for t in counts(x))
+    vector = lambda x: {t: (1 + log(n)) * (log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in counts(x).items() if t in df}
+    unit = lambda v: {t: w / sqrt(sum(y * y for y in v.values())) for t, w in v.items()}
+    known = {i: unit(vector(x)) for i, x in enumerate(texts)}
+    want = []
+    for q, text in ((r.id, r.text) for r in asked.collect()):
+        v = unit(vector(text))
+        near = sorted((-round(sum(w * known[i].get(t, 0) for t, w in v.items()), 9), i) for i in known)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near[:4]) if s < 0]
+    space = retrieval.TfIdf.fit(docs, ngrams)
+    got = sorted((t.query, t.rank, t.id, round(t.similarity, 9)) for t in space.top_k(asked, 4).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 1e-8 for x, y in zip(got, want, strict=True))
+    assert {t.id: round(t.norm, 9) for t in space.norms.collect()} == {i: round(sqrt(sum(w * w for w in vector(x).values())), 9) for i, x in enumerate(texts) if counts(x)}
+
+
+def test_open_space_writes_only_terms_that_queries_hold(spark, monkeypatch):
+    seen, plain = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df, name: seen.append((name, out := plain(df, name))) or out)
+    docs = spark.createDataFrame([(i, f"shared word{i} " + " ".join(f"own{i}x{k}" for k in range(40))) for i in range(30)], "id long, text string")
+    asked = spark.createDataFrame([(1, "shared word3 other"), (2, "word9")], "id long, text string")
+    got = retrieval.TfIdf.fit(docs).top_k(asked, 2)
+    assert {(r.query, r.rank): r.id for r in got.collect()} == {(1, 1): 3, (1, 2): 0, (2, 1): 9}
+    terms = {name: sum(len(r.v) for r in df.collect()) for name, df in seen if "v" in df.columns}
+    assert terms == {"asked": 6, "weights": 30 + 2 + 1, "queries": 3 + 1}
+    assert max(df.count() for _, df in seen) == 30
