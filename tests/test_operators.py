@@ -158,6 +158,42 @@ def test_near_copies_make_as_many_links_as_texts(spark, monkeypatch):
     assert chosen == 2 and sum(seen) < 3 * 3000
 
 
+def test_signatures_lose_no_similar_sets():
+    draw = np.random.default_rng(5)
+    seen = 0
+    for _ in range(4000):
+        a = draw.integers(-(2**63), 2**63 - 1, int(draw.integers(1, 300)))
+        both = len(a) - int(draw.integers(0, len(a) // 5 + 1))
+        b = np.concatenate([a[:both], draw.integers(-(2**63), 2**63 - 1, int(draw.integers(0, len(a) // 5 + 1)))])
+        if both * 100 < (len(a) + len(b) - both) * 80:
+            continue
+        size = np.array([len(a), len(b)])
+        row, sign, sketch = similarity._signatures(np.repeat([0, 1], size), np.concatenate([a, b]), size, 80)
+        x, y = (dict(zip(sign[row == i].tolist(), sketch[row == i].tolist())) for i in (0, 1))
+        apart = min(((x[k] ^ y[k]) & 0xFFFFFFFF).bit_count() for k in x.keys() & y.keys())
+        assert apart < similarity.BLOCK and apart <= size.sum() - 2 * both
+        seen += 1
+    assert seen > 1000
+
+
+def test_components_hold_few_texts_of_frequent_passages_against_each_other(spark, monkeypatch):
+    """300 texts of eight out of 60 passages, and each once more with another word at its end: most share passages, few are similar."""
+    tried, plain = [], similarity._verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "_verified", counted)
+    monkeypatch.setattr(similarity, "STARS", 1)
+    draw = random.Random(3)
+    texts = [" ".join(f"p{p}w{k}" for p in draw.sample(range(60), 8) for k in range(12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"{t} more") for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.component_id for r in similarity.near_components(docs).collect()}
+    assert got == {i: i % 1000 for i in (*range(300), *range(1000, 1300))}
+    assert 300 <= sum(tried) < 4 * 300
+
+
 def test_hard_quotas_take_rows_with_a_reason_in_a_second_pass(spark):
     words = lambda i: " ".join(f"w{i}x{k}" for k in range(8))
     rows = [(i, words(i), "why" if i % 4 == 0 else None) for i in range(40)] + [(50, words(0) + " more", "why"), (51, words(4), "why")]
